@@ -93,7 +93,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, window_rows: int
     def in_window(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n_tokens", "key", "piece_no"], ignore_index=True)
         container = fill(rows["n_tokens"].to_numpy(), capacity)
-        return rows.assign(container_id=(rows["window"].astype("int64") << 32) + container)[["key", "piece_no", "n_tokens", "container_id"]]
+        return rows.assign(container_id=rows["window"].astype("int64") * 2**32 + container)[["key", "piece_no", "n_tokens", "container_id"]]
 
     return (
         sized.select("key", F.inline(pieces))
