@@ -9,6 +9,7 @@ from statloom.llm.lookalike import same_looking_pairs
 from statloom.llm.packing import pack
 from statloom.llm.splitting import split_oversized
 from statloom.llm.tokenizer import token_count, token_ids
+from statloom.llm.truncation import readings, storage_limits, truncated, truncation_by_source
 from statloom.tables import load
 
 PIECE_LIMIT, PIECE_OVERLAP = 1_000, 100
@@ -44,7 +45,26 @@ def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sized, "doc_id", "n_tokens", CONTAINER)
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p6_ids": p6_ids, "p7_pack": p7_pack}
+def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readings(load(spark, sf_dir, "documents"), "doc_id", "source", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that were cut on their way."""
+    return truncated(_readings(spark, sf_dir)).select(F.col("key").alias("doc_id")).distinct()
+
+
+def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths at which sources cut, in each measure that exposes them."""
+    return storage_limits(_readings(spark, sf_dir))
+
+
+def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each source's texts that were cut."""
+    return truncation_by_source(_readings(spark, sf_dir))
+
+
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_limits": p8_limits, "p8_sources": p8_sources}
 
 ORACLE_SQL = {
     "p3_found": """
