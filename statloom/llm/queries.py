@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm.lookalike import same_looking_pairs
+from statloom.llm.neighbours import nearest, neighbour_pairs
 from statloom.llm.packing import pack
 from statloom.llm.splitting import split_oversized
 from statloom.llm.tokenizer import token_count, token_ids
@@ -14,6 +15,7 @@ from statloom.tables import load
 
 PIECE_LIMIT, PIECE_OVERLAP = 1_000, 100
 CONTAINER = 4_096
+NEIGHBOURS, DIMENSIONS = 10, 768
 
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +36,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("document_id_a"), F.col("b").alias("document_id_b"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of indexed documents of which one is among the nearest of the other."""
+    pairs = neighbour_pairs(load(spark, sf_dir, "legal_index"), "ord", "embedding", NEIGHBOURS, DIMENSIONS)
+    return pairs.select(F.col("a").alias("ord_a"), F.col("b").alias("ord_b"))
+
+
+def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest documents of each, in order."""
+    return nearest(load(spark, sf_dir, "legal_index"), "ord", "embedding", NEIGHBOURS, DIMENSIONS).withColumnRenamed("id", "ord")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each text."""
     return load(spark, sf_dir, "documents").select("doc_id", token_ids("text").alias("ids"))
@@ -64,7 +77,7 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_by_source(_readings(spark, sf_dir))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_limits": p8_limits, "p8_sources": p8_sources}
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_limits": p8_limits, "p8_sources": p8_sources}
 
 ORACLE_SQL = {
     "p3_found": """
