@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from statloom.plans import problems
+from statloom.plans import problems, retrieval
 
-MODULES = (problems,)
+MODULES = (problems, retrieval)
 
-flagship = problems.p2_found
+flagship = retrieval.keyword_retrieve
 
 
 def queries() -> dict:
