@@ -4,7 +4,8 @@
    ``LEADER`` to no leader so far leads a cell of its own. Cells whose centres are closer than ``LINK`` are one cell. Rows
    that no leader covers are loose; while they are many, another sample is taken among them.
 2. *Units.* Small cells are put together, and cells of more than ``unit_rows`` vectors are split, into units of about that
-   size. Loose rows, and rows of cells too small to hold k neighbours, form units of their own.
+   size; cells too small to hold k neighbours have joined the cell with the nearest centre. Loose rows form units of
+   their own.
 3. *Tiles.* A tile joins two units: a unit with itself (cell by cell), two units of one split cell, or any unit with a loose
    one. Each row is sent to the tiles of its unit; nothing else is compared. In a tile the vectors are quantised to int8;
    the product of two int8 blocks gives each cosine with an error bound, a pair survives if its upper bound reaches the
@@ -67,11 +68,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes (held as float32, in which their products are exact up to 1,040 dimensions), scales, error norms."""
+    """int8 codes, scales, error norms. As float32 the codes' products are exact up to 1,040 dimensions."""
     scale = np.abs(unit).max(1) / 127
     codes = np.rint(unit / scale[:, None])
     error = np.sqrt(np.square(unit - codes * scale[:, None]).sum(1))
-    return codes.astype(np.float32), scale, error
+    return codes.astype(np.int8), scale, error
 
 
 def _vector_id(row: np.ndarray) -> bytes:
@@ -135,6 +136,21 @@ class Cells:
                 root[max(a, b)] = min(a, b)
         self.cell = np.array([find(i) for i in range(n)], np.int64)
 
+    def join_small(self, counts: dict[int, int], least: int) -> dict[int, int]:
+        """Give each cell of fewer than ``least`` vectors to the cell with the nearest centre; the new counts."""
+        counts = dict(counts)
+        for small in sorted((c for c, n in counts.items() if c >= 0 and n < least), key=counts.get):
+            if counts[small] >= least:
+                continue
+            own = self.cell == small
+            cosines = np.where(own[None, :], -2, self.centres[own] @ self.centres.T).max(0)
+            other = int(self.cell[cosines.argmax()])
+            if other == small:
+                break  # there is no other cell
+            self.cell[own] = other
+            counts[other] = counts.get(other, 0) + counts.pop(small)
+        return counts
+
     def of(self, unit: np.ndarray) -> np.ndarray:
         """Cell of each unit row, -1 for a loose one."""
         out = np.full(len(unit), -1, np.int64)
@@ -147,19 +163,17 @@ class Cells:
 
 
 def _per_cell(rows: DataFrame, size: int, cells) -> dict[int, int]:
-    """Rows of each cell; at most MOST_CELLS + 1 numbers come to the driver."""
+    """Distinct vectors of each cell; at most MOST_CELLS + 1 numbers come to the driver."""
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = defaultdict(int)
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, x = _members(batch, size)
             if len(x):
-                for c, n in zip(*np.unique(cells.value.of(_unit(x)), return_counts=True), strict=True):
-                    total[int(c)] += int(n)
-        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int64()), pa.array([*total.values()], pa.int64())], names=["cell", "n"])
+                found = {(_vector_id(row), c) for row, c in zip(x, cells.value.of(_unit(x)).tolist(), strict=True)}
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int64())], names=["vector_id", "cell"])
 
-    counted = rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    return {r.cell: r.n for r in counted.collect()}
+    placed = rows.mapInArrow(place, "vector_id binary, cell long").distinct()
+    return {r.cell: r.n for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
 
 
 def _sample(rows: DataFrame, size: int, cells, share: float) -> np.ndarray:
@@ -171,7 +185,7 @@ def _sample(rows: DataFrame, size: int, cells, share: float) -> np.ndarray:
             if len(x):
                 unit = _unit(x)
                 codes, _, _ = _quantised(unit[cells.value.of(unit) < 0])
-                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in codes.astype(np.int8)], pa.binary())], names=["code"])
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in codes], pa.binary())], names=["code"])
 
     chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     codes = chosen.mapInArrow(pick, "code binary").limit(2 * SAMPLE).toArrow().column("code").to_pylist()
@@ -180,8 +194,8 @@ def _sample(rows: DataFrame, size: int, cells, share: float) -> np.ndarray:
     return _unit(np.stack([np.frombuffer(c, np.int8) for c in codes])).astype(np.float32)
 
 
-def fit_cells(rows: DataFrame, size: int):
-    """Cells (broadcast; at most MOST_CELLS centres) and the number of rows of each."""
+def fit_cells(rows: DataFrame, size: int, k: int):
+    """Cells (broadcast; at most MOST_CELLS centres) of more than k vectors, and the number of vectors of each."""
     context = rows.sparkSession.sparkContext
     total = rows.count()
     cells, counts, loose = Cells(size), {}, total
@@ -194,10 +208,11 @@ def fit_cells(rows: DataFrame, size: int):
         shared = context.broadcast(cells)
         counts = _per_cell(rows, size, shared)
         before, loose = loose, counts.get(-1, 0)
-        # loose rows are sent to every unit: that may cost a fraction of sending each row once
-        if loose * (total // UNIT_ROWS) <= total // 4 or loose > 0.9 * before or len(cells.centres) >= MOST_CELLS:
+        # loose rows are sent to every unit: that may cost a small part of sending each row once
+        if loose * (total // UNIT_ROWS) <= total // 50 or loose > 0.9 * before or len(cells.centres) >= MOST_CELLS:
             break
-    return shared, counts
+    counts = cells.join_small(counts, k + 1)
+    return context.broadcast(cells), counts
 
 
 # --- units and tiles --------------------------------------------------------------------------------------------------
@@ -209,11 +224,12 @@ class Layout:
     def __init__(self, counts: dict[int, int], k: int, unit_rows: int) -> None:
         self.first_unit: dict[int, int] = {}  # of a cell
         self.parts: dict[int, int] = {}  # units over which a cell is split
-        loose = sum(n for c, n in counts.items() if c < 0 or n < 2 * (k + 1))
+        small = k + 1  # a cell that cannot hold k neighbours is loose as well; this is left when there is but one
+        loose = sum(n for c, n in counts.items() if c < 0 or n < small)
         units, filled = 0, unit_rows
         groups: list[range] = []  # units that hold one split cell
         for cell, n in sorted(counts.items()):
-            if cell < 0 or n < 2 * (k + 1):
+            if cell < 0 or n < small:
                 continue
             if n > unit_rows:
                 parts = -(-n // unit_rows)
@@ -277,20 +293,30 @@ def _send(rows: DataFrame, size: int, k: int, cells, layout) -> DataFrame:
 
 
 class _Side:
-    """The distinct vectors of one side of a tile, ordered by cell."""
-
-    def __init__(self, table: pa.Table, k: int) -> None:
-        merged: dict[bytes, tuple[int, bytes, list[int]]] = {}
-        for cell, v, vector, ids in zip(*(table.column(c).to_pylist() for c in ("cell", "vector_id", "vector", "ids")), strict=True):
-            merged[v] = (cell, vector, ids if v not in merged else sorted({*merged[v][2], *ids})[: k + 1])
-        rows = sorted(((c, v, x, ids) for v, (c, x, ids) in merged.items()), key=lambda r: r[:2])
-        self.names = [r[1] for r in rows]
-        self.cells = np.array([r[0] for r in rows], np.int64)
-        self.ids = [r[3] for r in rows]
-        self.unit = _unit(np.stack([np.frombuffer(r[2], np.float32) for r in rows])) if rows else np.empty((0, 0))
-        self.codes, self.scale, self.error = _quantised(self.unit) if rows else (None, None, None)
-        self.found: list[list[tuple[float, int]]] = [[] for _ in rows]
-        self.floor = np.full(len(rows), -2.0)
+    """The distinct vectors of one side of a tile, ordered by cell; as stored, as int8 codes, and what they found."""
+
+    def __init__(self, table: pa.Table, k: int, size: int) -> None:
+        names, cells = table.column("vector_id").to_pylist(), table.column("cell").to_pylist()
+        same: dict[tuple[int, bytes], list[int]] = defaultdict(list)
+        for i, key in enumerate(zip(cells, names, strict=True)):
+            same[key].append(i)
+        keys = sorted(same)
+        self.names, self.cells = [v for _, v in keys], np.array([c for c, _ in keys], np.int64)
+        ids = table.column("ids").to_pylist()
+        self.ids = [sorted({x for i in same[key] for x in ids[i]})[: k + 1] for key in keys]
+        # the vectors lie one after the other in a single buffer
+        column = table.column("vector").combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        first = np.frombuffer(column.buffers()[1], np.int32)[column.offset] if len(column) else 0
+        stored = np.frombuffer(column.buffers()[2], np.float32, len(column) * size, int(first)).reshape(len(column), size) if len(column) else np.empty((0, size), np.float32)
+        self.stored = stored[[same[key][0] for key in keys]] if keys else stored
+        self.codes = np.empty((len(keys), size), np.int8)
+        self.scale, self.error = np.empty(len(keys)), np.empty(len(keys))
+        for start in range(0, len(keys), 512):
+            part = slice(start, start + 512)
+            self.codes[part], self.scale[part], self.error[part] = _quantised(_unit(self.stored[part]))
+        self.found: list[list[tuple[float, int]]] = [[] for _ in keys]
+        self.floor = np.full(len(keys), -2.0)
 
     def add(self, own: np.ndarray, other: _Side, theirs: np.ndarray, cosine: np.ndarray) -> None:
         for i, j, c in zip(own.tolist(), theirs.tolist(), cosine.tolist(), strict=True):
@@ -301,7 +327,7 @@ def _compare(a: _Side, rows_a: slice, b: _Side, rows_b: slice, k: int) -> None:
     """Survivors of one product of int8 blocks go to both sides; a row with itself counts as similarity 1."""
     same = a is b and rows_a == rows_b
     ea, eb = a.error[rows_a][:, None], b.error[rows_b][None, :]
-    near = (a.codes[rows_a] @ b.codes[rows_b].T) * (a.scale[rows_a][:, None] * b.scale[rows_b][None, :])
+    near = (a.codes[rows_a].astype(np.float32) @ b.codes[rows_b].astype(np.float32).T) * (a.scale[rows_a][:, None] * b.scale[rows_b][None, :])
     slack = ea + eb + ea * eb
     low, high = near - slack, near + slack
     floor_a, floor_b = a.floor[rows_a].copy(), b.floor[rows_b].copy()
@@ -314,9 +340,10 @@ def _compare(a: _Side, rows_a: slice, b: _Side, rows_b: slice, k: int) -> None:
     survives = to_a if same else to_a | (high >= floor_b[None, :])
     i, j = np.nonzero(survives)
     cosine = np.empty(len(i))
-    ua, ub = a.unit[rows_a], b.unit[rows_b]
-    for start in range(0, len(i), 4096):
-        part = slice(start, start + 4096)
+    ua = _unit(a.stored[rows_a])
+    ub = ua if same else _unit(b.stored[rows_b])
+    for start in range(0, len(i), 1024):
+        part = slice(start, start + 1024)
         cosine[part] = np.einsum("ij,ij->i", ua[i[part]], ub[j[part]])
     cosine = np.clip(np.round(cosine, 12), -1, 1)
     if same:
@@ -340,11 +367,11 @@ def _blocks(start: int, stop: int, step: int) -> list[slice]:
     return [slice(s, min(s + step, stop)) for s in range(start, stop, step)]
 
 
-def _tile(table: pa.Table, tiles: list[tuple[int, int, str]], k: int, step: int = 1024) -> pa.Table:
+def _tile(table: pa.Table, tiles: list[tuple[int, int, str]], k: int, size: int, step: int = 512) -> pa.Table:
     """Best k + 1 of each row of both sides within one tile."""
     itself = tiles[table.column("tile")[0].as_py()][2]
     on_right = table.column("on_right")
-    left, right = _Side(table.filter(pc.invert(on_right)), k), _Side(table.filter(on_right), k)
+    left, right = _Side(table.filter(pc.invert(on_right)), k, size), _Side(table.filter(on_right), k, size)
     if itself and left.names:
         ends = [len(left.names)] if itself == "in full" else [*(np.flatnonzero(np.diff(left.cells)) + 1).tolist(), len(left.names)]
         for start, stop in zip([0, *ends], ends, strict=False):
@@ -383,14 +410,14 @@ def _vector_of(rows: DataFrame, size: int) -> DataFrame:
 def nearest(df: DataFrame, key: str, vector: str, k: int, size: int, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """(id, neighbour, similarity, rank): the k most similar members of every member, by cosine."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
-    cells, counts = fit_cells(rows, size)
+    cells, counts = fit_cells(rows, size, k)
     plan = Layout(counts, k, unit_rows)
     tiles = plan.tiles
     layout = rows.sparkSession.sparkContext.broadcast(plan)
     best = (
         _send(rows, size, k, cells, layout)
         .groupBy("tile")
-        .applyInArrow(lambda table: _tile(table, tiles, k), HITS)
+        .applyInArrow(lambda table: _tile(table, tiles, k, size), HITS)
         .groupBy("vector_id")
         .agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), 1, k + 1).alias("hits"))
     )
