@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statloom.functions.text import utrim
+
 #: Statuses of a health check by severity.
 SEVERITY = ("healthy", "degraded", "unhealthy")
 
@@ -95,5 +97,5 @@ def health(checks: DataFrame, by: str, status: str) -> DataFrame:
 def input_status(text, most: int):
     """``ok``, ``empty``, ``too-long`` or ``invalid`` (a NUL) for a text column."""
     return (
-        F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "empty").when(F.length(text) > most, "too-long").when(F.contains(text, F.lit("\0")), "invalid").otherwise("ok")
+        F.when(utrim(F.coalesce(text, F.lit(""))) == "", "empty").when(F.length(text) > most, "too-long").when(F.contains(text, F.lit("\0")), "invalid").otherwise("ok")
     )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from statloom.plans import problems, retrieval
+from statloom.plans import evaluation, pipeline, problems, retrieval
 
-MODULES = (problems, retrieval)
+MODULES = (problems, retrieval, evaluation, pipeline)
 
 flagship = retrieval.keyword_retrieve
 
