@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.text import leading_number, non_empty, padded_digits, utrim
 from statloom.operators.nested import inline_shared
+from statloom.operators.statute_nodes import REPEATABLE
 
 # A heading's text; the strict form asks for a letter or digit right after it.
 HEADING = r"^제\s*\d+\s*(편|장|절|관)(?=\s|$)"
@@ -19,7 +20,7 @@ HEADING_STRICT = r"^제\s*\d+\s*(편|장|절|관)(?=[A-Za-z0-9_])"
 
 def search_documents(df: DataFrame, record_id: str, payload: str, source_id: str) -> DataFrame:
     """(record_id, position, document_id, title, text) of each search item."""
-    _, nodes = inline_shared(df, record_id, payload, {"법령ID", "법령일련번호", "법령명한글", "법령구분명", "소관부처명", "공포일자", "시행일자"})
+    _, nodes = inline_shared(df, record_id, payload, {"법령ID", "법령일련번호", "법령명한글", "법령구분명", "소관부처명", "공포일자", "시행일자"}, REPEATABLE)
     items = nodes.filter((F.col("table_name") == "law") & (F.col("parent_table") == "$"))
     attr = lambda n: non_empty(F.col("attrs")[n])
     sources = df.select(F.col(record_id).alias("s_record"), F.col(source_id).alias("s_source")).distinct()
@@ -39,7 +40,7 @@ def search_documents(df: DataFrame, record_id: str, payload: str, source_id: str
 def statute_articles(df: DataFrame, record_id: str, payload: str, strict_headings: bool = False) -> DataFrame:
     """(document_id, record_id, statute_id, article, jo, title, text) of each article, one row for each document_id."""
     names = {"조문번호", "조문가지번호", "조문제목", "조문내용", "항내용", "호내용", "목내용", "법령ID", "법령명_한글", "법령명한글", "법령명", "공포일자", "시행일자"}
-    _, nodes = inline_shared(df, record_id, payload, names)
+    _, nodes = inline_shared(df, record_id, payload, names, REPEATABLE | {"기본정보"})
     attr = lambda n: non_empty(F.col("attrs")[n])
     last, path = F.element_at("path_names", -1), F.col("path_positions")
     unit = F.array_position("path_names", "조문단위")

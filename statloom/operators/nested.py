@@ -143,8 +143,11 @@ class TablePlan:
         return frozenset(self.reasons)
 
 
-def plan_tables(graph: DataFrame) -> TablePlan:
-    """Shared inlining over the element graph, whose size is that of the schema, not of the data."""
+def plan_tables(graph: DataFrame, declared: frozenset[str] = frozenset()) -> TablePlan:
+    """Shared inlining over the element graph, whose size is that of the schema, not of the data.
+
+    ``declared`` names elements that may repeat by their schema, also where no payload at hand repeats them.
+    """
     edges = graph.limit(MAX_EDGES + 1).collect()
     if len(edges) > MAX_EDGES:
         raise ValueError(f"more than {MAX_EDGES} element pairs: the keys of these payloads are data, not a schema")
@@ -170,7 +173,7 @@ def plan_tables(graph: DataFrame) -> TablePlan:
             reasons[name] = "root"
         elif name in ancestors(name):
             reasons[name] = "recursive"
-        elif name in repeated:
+        elif name in repeated or name in declared:
             reasons[name] = "repeated"
         elif len(parents[name]) > 1:
             reasons[name] = "shared"
@@ -237,7 +240,9 @@ def table_of(nodes: DataFrame, name: str, columns: list[str]) -> DataFrame:
     )
 
 
-def inline_shared(df: DataFrame, id_col: str, json_col: str, attributes: set[str] | None = None) -> tuple[TablePlan, DataFrame]:
+def inline_shared(
+    df: DataFrame, id_col: str, json_col: str, attributes: set[str] | None = None, declared: frozenset[str] = frozenset()
+) -> tuple[TablePlan, DataFrame]:
     """The whole operator: analyse, decide, shred."""
-    plan = plan_tables(schema_graph(df, json_col))
+    plan = plan_tables(schema_graph(df, json_col), declared)
     return plan, shred(df, id_col, json_col, plan, attributes)

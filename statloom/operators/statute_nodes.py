@@ -11,6 +11,8 @@ from statloom.operators.nested import inline_shared
 SEARCH, SEARCH_ITEM, LAW_ID, LAW_MASTER_NO = "LawSearch", "law", "법령ID", "법령일련번호"
 ARTICLES, ARTICLE_UNIT, ARTICLE_NO, BRANCH_NO = "조문", "조문단위", "조문번호", "조문가지번호"
 LEVELS = {ARTICLES: "article", ARTICLE_UNIT: "article", "항": "paragraph", "호": "item", "목": "subitem"}
+#: Elements that may repeat by the payloads' schema.
+REPEATABLE = frozenset({SEARCH_ITEM, *LEVELS})
 
 
 def _filled(name: str):
@@ -29,7 +31,7 @@ def statute_nodes(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     A ``조문`` that holds ``조문단위`` is their container, not an article. Paths join the positions from the article down;
     a search item has its own position.
     """
-    _, nodes = inline_shared(df, id_col, json_col, {LAW_ID, LAW_MASTER_NO, ARTICLE_NO, BRANCH_NO})
+    _, nodes = inline_shared(df, id_col, json_col, {LAW_ID, LAW_MASTER_NO, ARTICLE_NO, BRANCH_NO}, REPEATABLE)
     names = F.col("path_names")
     depth = F.size(names)
     name, above = F.element_at(names, -1), F.try_element_at(names, F.lit(-2))
