@@ -1,11 +1,10 @@
 """The k most similar vectors of every vector, as a block matrix join over int8 tiles.
 
 1. *Cells.* Leaders are picked on bounded samples (``SAMPLE`` rows each): a sampled vector that is closer than
-   ``LEADER`` to no leader so far leads a cell of its own. Cells whose centres are closer than ``LINK`` are one cell. Rows
+   ``LEADER`` to no leader so far is one, and leads a cell if at least ``FOLLOWERS`` of the sample belong to it. Cells whose centres are closer than ``LINK`` are one cell. Rows
    that no leader covers are loose; while they are many, another sample is taken among them.
 2. *Units.* Small cells are put together, and cells of more than ``unit_rows`` vectors are split, into units of about that
-   size; cells too small to hold k neighbours have joined the cell with the nearest centre. Loose rows form units of
-   their own.
+   size. Loose rows, and rows of cells too small to hold k neighbours, form units of their own.
 3. *Tiles.* A tile joins two units: a unit with itself (cell by cell), two units of one split cell, or any unit with a loose
    one. Each row is sent to the tiles of its unit; nothing else is compared. In a tile the vectors are quantised to int8;
    the product of two int8 blocks gives each cosine with an error bound, a pair survives if its upper bound reaches the
@@ -39,6 +38,8 @@ from pyspark.sql import functions as F
 SAMPLE, SAMPLES, MOST_CELLS = 16_384, 4, 8_192
 #: Cosine from which a vector belongs to a leader; from which two centres make one cell; to its centre, below which a row is loose.
 LEADER, LINK, LOOSE = 0.5, 0.5, 0.6
+#: How many of a sample make a cell; a vector that is alone shows nothing about where its neighbours are.
+FOLLOWERS = 3
 UNIT_ROWS = 4_096
 
 
@@ -91,7 +92,6 @@ class Cells:
 
     def learn(self, sample: np.ndarray) -> None:
         """Leaders among ``sample`` (unit rows) that no centre covers, moved to the means of their followers."""
-        room = MOST_CELLS - len(self.centres)
         leaders = np.empty((0, sample.shape[1]), np.float32)
         for start in range(0, len(sample), 512):
             part = sample[start : start + 512]
@@ -105,18 +105,17 @@ class Cells:
                     chosen.append(i)
                     free &= near[i] < LEADER
             leaders = np.concatenate([leaders, part[chosen]])
-            if len(leaders) >= room:
-                leaders = leaders[:room]
-                break
-        if not len(leaders):
-            return
-        sums = np.zeros_like(leaders)
+        sums, followers = np.zeros_like(leaders), np.zeros(len(leaders), np.int64)
         for start in range(0, len(sample), 2048):
             part = sample[start : start + 2048]
-            np.add.at(sums, (part @ leaders.T).argmax(1), part)
+            best = (part @ leaders.T).argmax(1)
+            np.add.at(sums, best, part)
+            np.add.at(followers, best, 1)
+        # the largest first, should there be more than a broadcast may hold
+        order = np.argsort(-followers, kind="stable")[: MOST_CELLS - len(self.centres)]
+        sums = sums[order[followers[order] >= FOLLOWERS]]
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
-        leaders = np.where(norms > 0, sums / np.maximum(norms, 1e-9), leaders).astype(np.float32)
-        self.centres = np.concatenate([self.centres, leaders])
+        self.centres = np.concatenate([self.centres, (sums / np.maximum(norms, 1e-9)).astype(np.float32)])
         self._link()
 
     def _link(self) -> None:
@@ -136,21 +135,6 @@ class Cells:
                 root[max(a, b)] = min(a, b)
         self.cell = np.array([find(i) for i in range(n)], np.int64)
 
-    def join_small(self, counts: dict[int, int], least: int) -> dict[int, int]:
-        """Give each cell of fewer than ``least`` vectors to the cell with the nearest centre; the new counts."""
-        counts = dict(counts)
-        for small in sorted((c for c, n in counts.items() if c >= 0 and n < least), key=counts.get):
-            if counts[small] >= least:
-                continue
-            own = self.cell == small
-            cosines = np.where(own[None, :], -2, self.centres[own] @ self.centres.T).max(0)
-            other = int(self.cell[cosines.argmax()])
-            if other == small:
-                break  # there is no other cell
-            self.cell[own] = other
-            counts[other] = counts.get(other, 0) + counts.pop(small)
-        return counts
-
     def of(self, unit: np.ndarray) -> np.ndarray:
         """Cell of each unit row, -1 for a loose one."""
         out = np.full(len(unit), -1, np.int64)
@@ -194,8 +178,8 @@ def _sample(rows: DataFrame, size: int, cells, share: float) -> np.ndarray:
     return _unit(np.stack([np.frombuffer(c, np.int8) for c in codes])).astype(np.float32)
 
 
-def fit_cells(rows: DataFrame, size: int, k: int):
-    """Cells (broadcast; at most MOST_CELLS centres) of more than k vectors, and the number of vectors of each."""
+def fit_cells(rows: DataFrame, size: int):
+    """Cells (broadcast; at most MOST_CELLS centres) and the number of distinct vectors of each."""
     context = rows.sparkSession.sparkContext
     total = rows.count()
     cells, counts, loose = Cells(size), {}, total
@@ -211,8 +195,7 @@ def fit_cells(rows: DataFrame, size: int, k: int):
         # loose rows are sent to every unit: that may cost a small part of sending each row once
         if loose * (total // UNIT_ROWS) <= total // 50 or loose > 0.9 * before or len(cells.centres) >= MOST_CELLS:
             break
-    counts = cells.join_small(counts, k + 1)
-    return context.broadcast(cells), counts
+    return shared, counts
 
 
 # --- units and tiles --------------------------------------------------------------------------------------------------
@@ -224,7 +207,7 @@ class Layout:
     def __init__(self, counts: dict[int, int], k: int, unit_rows: int) -> None:
         self.first_unit: dict[int, int] = {}  # of a cell
         self.parts: dict[int, int] = {}  # units over which a cell is split
-        small = k + 1  # a cell that cannot hold k neighbours is loose as well; this is left when there is but one
+        small = k + 1  # the rows of a cell that cannot hold k neighbours are loose as well
         loose = sum(n for c, n in counts.items() if c < 0 or n < small)
         units, filled = 0, unit_rows
         groups: list[range] = []  # units that hold one split cell
@@ -410,7 +393,7 @@ def _vector_of(rows: DataFrame, size: int) -> DataFrame:
 def nearest(df: DataFrame, key: str, vector: str, k: int, size: int, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """(id, neighbour, similarity, rank): the k most similar members of every member, by cosine."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
-    cells, counts = fit_cells(rows, size, k)
+    cells, counts = fit_cells(rows, size)
     plan = Layout(counts, k, unit_rows)
     tiles = plan.tiles
     layout = rows.sparkSession.sparkContext.broadcast(plan)
