@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statloom.llm import lookalike
 from statloom.llm.lookalike import same_looking_pairs
 from statloom.llm.neighbours import nearest, neighbour_pairs
 from statloom.llm.packing import pack
@@ -44,7 +47,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest documents of each, in order."""
-    return nearest(load(spark, sf_dir, "legal_index"), "ord", "embedding", NEIGHBOURS, DIMENSIONS).withColumnRenamed("id", "ord")
+    near = nearest(load(spark, sf_dir, "legal_index"), "ord", "embedding", NEIGHBOURS, DIMENSIONS)
+    return near.select(F.col("id").alias("ord"), "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +83,44 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_limits": p8_limits, "p8_sources": p8_sources}
 
+_NEAREST_SQL = f"""
+WITH members AS (SELECT ord, any_value(embedding)::DOUBLE[{DIMENSIONS}] AS v FROM legal_index
+                 WHERE len(embedding) = {DIMENSIONS} AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY ord),
+near AS (SELECT ord, neighbour, similarity, rank FROM (
+  SELECT a.ord AS ord, b.ord AS neighbour, array_cosine_similarity(a.v, b.v) AS similarity,
+         row_number() OVER (PARTITION BY a.ord ORDER BY round(array_cosine_similarity(a.v, b.v), 12) DESC, b.ord) AS rank
+  FROM members a JOIN members b ON a.ord <> b.ord) WHERE rank <= {NEIGHBOURS})"""
+
+
+def _plain_sql(column: str) -> str:
+    """DuckDB's side of problem 4: single characters only, which is enough where no token mixes scripts of its own."""
+    pairs = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+    pairs |= {c: " " for c in "\t\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"}
+    for line in lookalike.SAME_MARKS.split("\n"):
+        if line:
+            mark, *codes = line.split()
+            pairs |= {chr(int(c, 16)): mark for c in codes}
+    pairs |= {x: next(iter(row.values())) for x, row in lookalike.spellings().items()}
+    for letter in map(chr, range(0x370, 0x530)):  # composed ones, as far as the spelling is composed too
+        base, marks = (d := unicodedata.normalize("NFD", letter))[0], d[1:]
+        to = unicodedata.normalize("NFC", pairs.get(base, base) + marks)
+        if marks and len(to) == 1:
+            pairs[letter] = to
+    old, new = ("".join(x).replace("'", "''") for x in zip(*((a, b) for a, b in pairs.items() if a != b), strict=True))
+    hidden = r"[\p{Cf}\x{34f}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180d}\x{3164}\x{ffa0}\x{fe00}-\x{fe0f}]"
+    return f"nfc_normalize(translate(regexp_replace(nfc_normalize({column}), '{hidden}', '', 'g'), '{old}', '{new}'))"
+
+
 ORACLE_SQL = {
+    "p4_found": f"""
+WITH rows_of AS (SELECT DISTINCT document_id, title, content FROM legal_documents),
+plain AS (SELECT *, {_plain_sql("title")} AS t, {_plain_sql("content")} AS c FROM rows_of)
+SELECT DISTINCT a.document_id AS document_id_a, b.document_id AS document_id_b FROM plain a JOIN plain b
+  ON a.t IS NOT DISTINCT FROM b.t AND a.c IS NOT DISTINCT FROM b.c AND a.document_id < b.document_id
+WHERE a.title IS DISTINCT FROM b.title OR a.content IS DISTINCT FROM b.content
+""",
+    "p5_found": _NEAREST_SQL + " SELECT DISTINCT least(ord, neighbour) AS ord_a, greatest(ord, neighbour) AS ord_b FROM near",
+    "p5_nearest": _NEAREST_SQL + " SELECT ord, neighbour, round(similarity, 6) AS similarity, rank FROM near",
     "p3_found": """
 SELECT DISTINCT 'legal_documents' AS item_table, document_id AS item_id FROM legal_documents WHERE length(content) > 1000
 UNION
