@@ -169,7 +169,7 @@ cases AS (SELECT doc_id AS case_id, {R.sql_trim("coalesce(text, '')")} <> '' AS
           FROM documents WHERE doc_id % 50 = 0 AND title IS NOT NULL)"""
 
 
-def _metrics(ranked: str, name: str = "metrics") -> str:
+def metrics_cte(ranked: str, name: str = "metrics") -> str:
     return f""",
 {name} AS (
   SELECT c.case_id, c.category, CASE WHEN positive THEN 1 ELSE 0 END AS n_expected, coalesce(r.n, 0) AS n_retrieved,
@@ -186,7 +186,7 @@ def _metrics(ranked: str, name: str = "metrics") -> str:
   LEFT JOIN {ranked} f ON f.query_id = c.case_id AND f.ord = c.case_id AND c.positive)"""
 
 
-_REPORT = """count(*) AS n_cases, count(*) FILTER (n_expected > 0) AS n_positive,
+REPORT = """count(*) AS n_cases, count(*) FILTER (n_expected > 0) AS n_positive,
   round(coalesce(avg(hit) FILTER (n_expected > 0), 0.0)::DOUBLE, 6) AS hit_rate, round(coalesce(avg(recall_at_1) FILTER (n_expected > 0), 0.0)::DOUBLE, 6) AS recall_at_1,
   round(coalesce(avg(recall_at_3) FILTER (n_expected > 0), 0.0)::DOUBLE, 6) AS recall_at_3, round(coalesce(avg(recall_at_5) FILTER (n_expected > 0), 0.0)::DOUBLE, 6) AS recall_at_5,
   round(coalesce(avg(reciprocal_rank) FILTER (n_expected > 0), 0.0)::DOUBLE, 6) AS mrr,
@@ -214,9 +214,9 @@ k_scored AS (SELECT query, ord, sum(n * ((CASE WHEN contains(lt, token) THEN 2 E
 keyword AS (SELECT query_id, ord, rank FROM asked JOIN (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, ord) AS rank FROM k_scored) USING (query) WHERE rank <= 10)"""
 )
 _LEGACY = R.bm25_cte("legacy", retrieval.LEGACY)
-_VARIANTS = R.LISTS + R.RERANK_CTE + _LEGACY + _KEYWORD + _CASES + "".join(_metrics(t, "m_" + t) for t in ("keyword", "bm25", "legacy", "rrf", "reranked"))
+_VARIANTS = R.LISTS + R.RERANK_CTE + _LEGACY + _KEYWORD + _CASES + "".join(metrics_cte(t, "m_" + t) for t in ("keyword", "bm25", "legacy", "rrf", "reranked"))
 _VARIANT_ROWS = ",\nvariants AS (" + " UNION ALL ".join(
-    f"SELECT '{name}' AS variant, {i} AS place, {_REPORT} FROM m_{table}"
+    f"SELECT '{name}' AS variant, {i} AS place, {REPORT} FROM m_{table}"
     for i, (name, table) in enumerate({"keyword": "keyword", "bm25": "bm25", "legacy": "legacy", "hybrid": "rrf", "reranked": "reranked"}.items())
 ) + ")"
 _NAMES = ("hit_rate", "recall_at_1", "recall_at_3", "recall_at_5", "mrr", "failure_count")
@@ -225,32 +225,32 @@ _SWEEP = """SELECT {setting}, round(avg(CASE WHEN first_rank IS NULL THEN 0.0 EL
 FROM (SELECT s.{setting}, c.case_id, min(r.rank) AS first_rank FROM (SELECT DISTINCT {setting} FROM swept) s CROSS JOIN (SELECT * FROM cases WHERE positive) c
       LEFT JOIN swept r ON r.{setting} = s.{setting} AND r.query_id = c.case_id AND r.ord = c.case_id GROUP BY ALL) GROUP BY ALL"""
 
-_BM25 = R.BM25 + _CASES
+BM25_CASES = R.BM25 + _CASES
 ORACLE_SQL = {
-    "case_metrics": _BM25
-    + _metrics("bm25")
+    "case_metrics": BM25_CASES
+    + metrics_cte("bm25")
     + """ SELECT case_id, n_expected, n_retrieved, round(precision::DOUBLE, 6) AS precision, recall::DOUBLE AS recall, hit::DOUBLE AS hit, recall_at_1::DOUBLE AS recall_at_1,
  recall_at_3::DOUBLE AS recall_at_3, recall_at_5::DOUBLE AS recall_at_5, round(reciprocal_rank::DOUBLE, 6) AS reciprocal_rank, first_rank FROM metrics""",
-    "retrieval_metrics": _BM25
-    + _metrics("bm25")
+    "retrieval_metrics": BM25_CASES
+    + metrics_cte("bm25")
     + " "
     + " UNION ALL ".join(f"SELECT case_id, '{m}' AS metric, round({m}::DOUBLE, 6) AS score, round({m}::DOUBLE, 6) >= 1 AS passed FROM metrics" for m in E.METRICS),
-    "metrics_report": _BM25 + _metrics("bm25") + f" SELECT category, {_REPORT} FROM metrics GROUP BY category",
-    "failure_analysis": _BM25 + _ANALYSIS + " SELECT * FROM analysis",
-    "failure_report": _BM25
+    "metrics_report": BM25_CASES + metrics_cte("bm25") + f" SELECT category, {REPORT} FROM metrics GROUP BY category",
+    "failure_analysis": BM25_CASES + _ANALYSIS + " SELECT * FROM analysis",
+    "failure_report": BM25_CASES
     + _ANALYSIS
     + ", names AS ("
     + " UNION ALL ".join(f"SELECT '{c}' AS category, {i} AS place" for i, c in enumerate(E.CATEGORIES))
     + ") SELECT n.category, n.place, count(a.case_id) AS n_cases FROM names n LEFT JOIN analysis a ON a.category = n.category GROUP BY ALL",
-    "missed_documents": _BM25 + _ANALYSIS + " SELECT case_id AS expected_ord, count(*) AS n_missed FROM analysis WHERE NOT success GROUP BY ALL ORDER BY n_missed DESC, expected_ord LIMIT 10",
+    "missed_documents": BM25_CASES + _ANALYSIS + " SELECT case_id AS expected_ord, count(*) AS n_missed FROM analysis WHERE NOT success GROUP BY ALL ORDER BY n_missed DESC, expected_ord LIMIT 10",
     "search_variants": _VARIANTS + _VARIANT_ROWS + " SELECT * FROM variants",
     "best_variant": _VARIANTS + _VARIANT_ROWS + " SELECT variant, hit_rate, failure_count, mrr FROM variants ORDER BY hit_rate DESC, failure_count, mrr DESC, place LIMIT 1",
     "regression_status": R.BM25
     + _LEGACY
     + _CASES
-    + _metrics("bm25", "m_bm25")
-    + _metrics("legacy", "m_legacy")
-    + f", a AS (SELECT {_REPORT} FROM m_bm25), b AS (SELECT {_REPORT} FROM m_legacy), both_reports AS ("
+    + metrics_cte("bm25", "m_bm25")
+    + metrics_cte("legacy", "m_legacy")
+    + f", a AS (SELECT {REPORT} FROM m_bm25), b AS (SELECT {REPORT} FROM m_legacy), both_reports AS ("
     + " UNION ALL ".join(f"SELECT '{m}' AS metric, b.{m}::DOUBLE AS before, a.{m}::DOUBLE AS after, {-1 if m in E.LESS_IS_BETTER else 1} AS sign FROM a, b" for m in _NAMES)
     + """) SELECT metric, before, after, round(after - before, 6) AS delta,
   CASE WHEN abs(round(after - before, 6)) <= 0.01 THEN 'unchanged' WHEN sign * (after - before) > 0 THEN 'improved' ELSE 'regressed' END AS status FROM both_reports""",

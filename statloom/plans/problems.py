@@ -70,7 +70,52 @@ current_rows AS (
   WHERE r.rn = 1)
 """
 
+
+
+def _objects(value: str) -> str:
+    """SQL: the objects that stand at a member, as a list."""
+    return f"CASE json_type({value}) WHEN 'ARRAY' THEN list_filter(json_extract({value}, '$[*]'), lambda x: json_type(x) = 'OBJECT') WHEN 'OBJECT' THEN [{value}] ELSE [] END"
+
+
+def _scalar(value: str) -> str:
+    """SQL: a value, or the content of a wrapped one; null if it is empty."""
+    return f"nullif(trim(CASE json_type({value}) WHEN 'OBJECT' THEN json_extract_string({value}, '$.content') ELSE json_extract_string({value}, '$') END), '')"
+
+
+def _unwrapped(table: str) -> str:
+    return f"SELECT record_id, CASE WHEN json_type(j) = 'VARCHAR' AND json_valid(json_extract_string(j, '$')) THEN json_extract_string(j, '$')::JSON ELSE j END AS j FROM {table}"
+
+
+#: DuckDB's side of problem 1: payloads, search items and articles.
+NODES_SQL = f"""
+WITH payloads AS (SELECT id AS record_id, content AS p FROM raw_legal_data UNION ALL SELECT document_id, raw_data FROM legal_documents),
+once AS (SELECT record_id, CASE WHEN json_valid(p) THEN p::JSON END AS j FROM payloads WHERE json_valid(p)),
+twice AS ({_unwrapped("once")}), thrice AS ({_unwrapped("twice")}),
+laws AS (SELECT record_id, {_objects("json_extract(j, '$.LawSearch.law')")} AS list FROM thrice),
+law AS (SELECT record_id, i - 1 AS position, list[i] AS item FROM (SELECT *, unnest(range(1, len(list) + 1)) AS i FROM laws)),
+roots AS (SELECT record_id, CASE WHEN json_type(j, '$.법령') = 'OBJECT' THEN json_extract(j, '$.법령') ELSE j END AS r FROM thrice),
+articles AS (SELECT record_id, CASE WHEN json_type(r, '$.조문') = 'OBJECT' AND json_exists(r, '$.조문.조문단위') THEN {_objects("json_extract(r, '$.조문.조문단위')")}
+                                    ELSE {_objects("json_extract(r, '$.조문')")} END AS list FROM roots),
+article AS (SELECT record_id, (i - 1)::VARCHAR AS path, list[i] AS item FROM (SELECT *, unnest(range(1, len(list) + 1)) AS i FROM articles))"""
+_LEVEL = """,
+{name} AS (SELECT record_id, up AS parent, up || '.' || (i - 1) AS path, list[i] AS item FROM (
+  SELECT *, unnest(range(1, len(list) + 1)) AS i FROM (SELECT record_id, path AS up, {objects} AS list FROM {above})))"""
+for _name, _above, _member in (("paragraph", "article", "항"), ("item", "paragraph", "호"), ("subitem", "item", "목")):
+    NODES_SQL += _LEVEL.format(name=_name, above=_above, objects=_objects(f"json_extract(item, '$.{_member}')"))
+_BRANCH = _scalar("json_extract(item, '$.조문가지번호')")
+_STRIPPED = "regexp_replace({}, '^0+(.)', '\\1')"  # one zero of zeros alone stays
+
 ORACLE_SQL = {
+    "p1_found": NODES_SQL
+    + f"""
+SELECT DISTINCT record_id, 'law' AS node_level, position::VARCHAR AS node_path, '' AS parent_path,
+  coalesce({_scalar("json_extract(item, '$.법령ID')")}, {_scalar("json_extract(item, '$.법령일련번호')")}, '') AS node_key FROM law
+UNION SELECT record_id, 'article', path, '', coalesce({_STRIPPED.format(_scalar("json_extract(item, '$.조문번호')"))}, '')
+  || CASE WHEN regexp_replace({_BRANCH}, '^0+', '') <> '' THEN '-' || regexp_replace({_BRANCH}, '^0+', '') ELSE '' END FROM article
+UNION SELECT record_id, 'paragraph', path, parent, '' FROM paragraph
+UNION SELECT record_id, 'item', path, parent, '' FROM item
+UNION SELECT record_id, 'subitem', path, parent, '' FROM subitem
+""",
     "p2_found": _P2_CURRENT
     + """
 SELECT n.source, n.snapshot_no, n.document_id, CASE WHEN o.delivery IS NULL THEN 'added' ELSE 'changed' END AS change_kind

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from statloom.plans import evaluation, pipeline, problems, retrieval
+from statloom.plans import evaluation, pipeline, problems, retrieval, unified
 
-MODULES = (problems, retrieval, evaluation, pipeline)
+MODULES = (problems, retrieval, evaluation, pipeline, unified)
 
 flagship = retrieval.keyword_retrieve
 
