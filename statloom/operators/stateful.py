@@ -78,6 +78,16 @@ def circuit_breaker(events: DataFrame, key: str, time_ms: str, event_id: str, fa
     return fold_by_key(events, key, [time_ms, event_id], [failed], lambda: ("closed", 0, 0), step, f"{key} long, {time_ms} long, {event_id} long, admitted boolean, state string")
 
 
+def admission(requests: DataFrame, decisions: DataFrame, event_id: str, text: str, most_characters: int) -> DataFrame:
+    """(event_id, status): 429 where the limiter refused, else 400 where the input is not valid, else 200.
+
+    ``decisions`` is the limiter's (event_id, allowed); a request without a decision was not limited.
+    """
+    joined = requests.select(event_id, text).join(decisions.select(event_id, "allowed"), event_id, "left")
+    status = F.when(~F.coalesce("allowed", F.lit(True)), 429).when(input_status(F.col(text), most_characters) != "ok", 400).otherwise(200)
+    return joined.select(event_id, status.alias("status"))
+
+
 def metric_rollup(events: DataFrame, time: str, name: str, value: str, width: str = "1 hour") -> DataFrame:
     """(window_start, name, n, total, least, greatest) of metric points."""
     return (

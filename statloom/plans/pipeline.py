@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from statloom.functions import text as T
 from statloom.operators import context as C
 from statloom.operators import ingest, stateful, store
+from statloom.plans import problems as P
 from statloom.plans import retrieval as R
 from statloom.tables import load
 
@@ -138,6 +139,11 @@ def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.circuit_breaker(_requests(spark, sf_dir), "user_id", "at_ms", "event_id", "failed", 2, DAY_MS // 2)
 
 
+def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each request: refused by the limiter, invalid (its properties hold more than nine characters), or served."""
+    return stateful.admission(load(spark, sf_dir, "events"), rate_limit(spark, sf_dir), "event_id", "props", 9)
+
+
 def metric_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.metric_rollup(load(spark, sf_dir, "events"), "ts", "event_type", "value", "1 day")
 
@@ -174,6 +180,7 @@ QUERIES = {
     "answer_checks": answer_checks,
     "rate_limit": rate_limit,
     "circuit_breaker": circuit_breaker,
+    "admission": admission,
     "metric_rollup": metric_rollup,
     "health_status": health_status,
     "input_status": input_status,
@@ -203,7 +210,63 @@ _REQUESTS = """
 WITH RECURSIVE ordered AS (
   SELECT user_id, epoch_us(ts) // 1000 AS at_ms, event_id, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS rn FROM events),"""
 
+def _member(item: str, name: str) -> str:
+    return P.scalar_sql(f"json_extract({item}, '$.{name}')")
+
+
+def _number(value: str) -> str:
+    return f"CASE WHEN regexp_extract({value}, '^([+-]?[0-9]+)', 1) = '' THEN {value} ELSE regexp_extract({value}, '^([+-]?[0-9]+)', 1)::HUGEINT::VARCHAR END"
+
+
+def _padded(value: str, width: int) -> str:
+    return f"right(repeat('0', {width}) || regexp_replace({value}, '[^0-9]', '', 'g'), {width})"
+
+
+_ARTICLES_SQL = (
+    P.NODES_SQL
+    + f""",
+lines AS (SELECT record_id, string_split(path, '.')[1] AS article, list(line ORDER BY place) AS lines FROM (
+    SELECT DISTINCT record_id, path, string_split(path, '.')::INT[] AS place, line FROM (
+      SELECT record_id, path, {_member("item", "항내용")} AS line FROM paragraph UNION ALL SELECT record_id, path, {_member("item", "호내용")} FROM item
+      UNION ALL SELECT record_id, path, {_member("item", "목내용")} FROM subitem)
+    WHERE line IS NOT NULL) GROUP BY ALL),
+basics AS (SELECT record_id, max({_member("b", "법령ID")}) AS statute_id, max(coalesce({_member("b", "법령명_한글")}, {_member("b", "법령명한글")}, {_member("b", "법령명")})) AS statute_title,
+    max({_member("b", "공포일자")}) AS promulgated, max({_member("b", "시행일자")}) AS enforced
+  FROM (SELECT record_id, json_extract(r, '$.기본정보') AS b FROM roots) WHERE json_type(b) = 'OBJECT' GROUP BY ALL),
+entries AS (
+  SELECT DISTINCT a.record_id, a.path::INT AS place, {_number(_member("a.item", "조문번호"))} AS number, {_number(_member("a.item", "조문가지번호"))} AS branch,
+    {_member("a.item", "조문제목")} AS article_title, {_member("a.item", "조문내용")} AS content, coalesce(l.lines, []) AS lines, b.statute_id, coalesce(b.statute_title, '') AS st, b.promulgated, b.enforced
+  FROM article a LEFT JOIN lines l ON l.record_id = a.record_id AND l.article = a.path LEFT JOIN basics b ON b.record_id = a.record_id
+  WHERE a.record_id IN (SELECT document_id FROM legal_documents)),
+shown AS (SELECT *, number || CASE WHEN branch <> '0' THEN '-' || branch ELSE '' END AS article FROM entries WHERE number IS NOT NULL AND (content IS NOT NULL OR len(lines) > 0)
+  AND NOT coalesce(article_title IS NULL AND len(lines) = 0 AND regexp_matches(content, '^제\\s*\\d+\\s*(편|장|절|관)(\\s|$)'), false)),
+best AS (SELECT *, coalesce(statute_id, record_id) || ':' || article AS document_id,
+  row_number() OVER (PARTITION BY record_id, coalesce(statute_id, record_id) || ':' || article
+                     ORDER BY (CASE WHEN len(lines) > 0 THEN 2 ELSE 0 END) + coalesce(length(content), 0) / 10000 DESC, place) AS rn FROM shown)
+SELECT document_id, record_id, statute_id, article, {_padded("number", 4)} || {_padded("coalesce(branch, '0')", 2)} AS jo,
+  {R.sql_trim("st || ' 제' || article || '조' || coalesce('(' || article_title || ')', '')")} AS title,
+  concat_ws(chr(10) || chr(10), concat_ws(chr(10), CASE WHEN st <> '' THEN '법령명: ' || st END, '조문: 제' || article || '조', '조문 제목: ' || article_title, '공포일자: ' || promulgated, '시행일자: ' || enforced),
+    nullif(concat_ws(chr(10), regexp_replace(content, '\\r\\n?', chr(10), 'g'), CASE WHEN len(lines) > 0 THEN array_to_string(lines, chr(10)) END), '')) AS text
+FROM best WHERE rn = 1"""
+)
+
+_RATE_LIMIT = (
+    _REQUESTS
+    + f"""
+walk AS (
+  SELECT user_id, at_ms, event_id, rn, at_ms AS opened, 1 AS used, true AS allowed FROM ordered WHERE rn = 1
+  UNION ALL
+  SELECT o.user_id, o.at_ms, o.event_id, o.rn, CASE WHEN o.at_ms - w.opened >= {DAY_MS} THEN o.at_ms ELSE w.opened END,
+    CASE WHEN o.at_ms - w.opened >= {DAY_MS} THEN 1 ELSE least(w.used + 1, 3) END, o.at_ms - w.opened >= {DAY_MS} OR w.used < 3
+  FROM walk w JOIN ordered o ON o.user_id = w.user_id AND o.rn = w.rn + 1)"""
+)
+
 ORACLE_SQL = {
+    "search_documents": P.NODES_SQL
+    + f""" SELECT DISTINCT record_id, position, coalesce({_member("item", "법령ID")}, {_member("item", "법령일련번호")}, source_id) AS document_id, coalesce({_member("item", "법령명한글")}, '') AS title,
+  concat_ws(' ', {", ".join(_member("item", n) for n in ("법령명한글", "법령구분명", "소관부처명", "공포일자", "시행일자"))}) AS text
+FROM law JOIN raw_legal_data r ON r.id = record_id""",
+    "statute_articles": _ARTICLES_SQL,
     "import_policy": """
 SELECT ord, id AS document_id, source_type FROM legal_index i WHERE id IS NULL OR NOT EXISTS (SELECT 1 FROM legal_documents d WHERE d.document_id = i.id)""",
     "import_counts": """
@@ -249,15 +312,10 @@ SELECT count(*) AS n_answers, round(avg(grounded), 6) AS grounded_share, sum(uns
   CASE WHEN contains(lower(coalesce(answer, '')), lower({_first_line('context')})) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS keyword_share,
   document_id IS NOT NULL AS has_citation, 1.0::DOUBLE AS citation_share FROM answers)
 SELECT *, not_empty AND keyword_share >= 1 AND has_citation AS passed FROM checked""",
-    "rate_limit": _REQUESTS
-    + f"""
-walk AS (
-  SELECT user_id, at_ms, event_id, rn, at_ms AS opened, 1 AS used, true AS allowed FROM ordered WHERE rn = 1
-  UNION ALL
-  SELECT o.user_id, o.at_ms, o.event_id, o.rn, CASE WHEN o.at_ms - w.opened >= {DAY_MS} THEN o.at_ms ELSE w.opened END,
-    CASE WHEN o.at_ms - w.opened >= {DAY_MS} THEN 1 ELSE least(w.used + 1, 3) END, o.at_ms - w.opened >= {DAY_MS} OR w.used < 3
-  FROM walk w JOIN ordered o ON o.user_id = w.user_id AND o.rn = w.rn + 1)
-SELECT user_id, at_ms, event_id, allowed, 3 - used AS remaining FROM walk""",
+    "rate_limit": _RATE_LIMIT + " SELECT user_id, at_ms, event_id, allowed, 3 - used AS remaining FROM walk",
+    "admission": _RATE_LIMIT
+    + """ SELECT event_id, CASE WHEN NOT allowed THEN 429 WHEN trim(coalesce(props, '')) = '' OR length(props) > 9 OR contains(props, chr(0)) THEN 400 ELSE 200 END AS status
+FROM walk JOIN events USING (event_id)""",
     "circuit_breaker": _REQUESTS
     + f"""
 walk AS (

@@ -77,7 +77,7 @@ def _objects(value: str) -> str:
     return f"CASE json_type({value}) WHEN 'ARRAY' THEN list_filter(json_extract({value}, '$[*]'), lambda x: json_type(x) = 'OBJECT') WHEN 'OBJECT' THEN [{value}] ELSE [] END"
 
 
-def _scalar(value: str) -> str:
+def scalar_sql(value: str) -> str:
     """SQL: a value, or the content of a wrapped one; null if it is empty."""
     return f"nullif(trim(CASE json_type({value}) WHEN 'OBJECT' THEN json_extract_string({value}, '$.content') ELSE json_extract_string({value}, '$') END), '')"
 
@@ -102,15 +102,15 @@ _LEVEL = """,
   SELECT *, unnest(range(1, len(list) + 1)) AS i FROM (SELECT record_id, path AS up, {objects} AS list FROM {above})))"""
 for _name, _above, _member in (("paragraph", "article", "항"), ("item", "paragraph", "호"), ("subitem", "item", "목")):
     NODES_SQL += _LEVEL.format(name=_name, above=_above, objects=_objects(f"json_extract(item, '$.{_member}')"))
-_BRANCH = _scalar("json_extract(item, '$.조문가지번호')")
+_BRANCH = scalar_sql("json_extract(item, '$.조문가지번호')")
 _STRIPPED = "regexp_replace({}, '^0+(.)', '\\1')"  # one zero of zeros alone stays
 
 ORACLE_SQL = {
     "p1_found": NODES_SQL
     + f"""
 SELECT DISTINCT record_id, 'law' AS node_level, position::VARCHAR AS node_path, '' AS parent_path,
-  coalesce({_scalar("json_extract(item, '$.법령ID')")}, {_scalar("json_extract(item, '$.법령일련번호')")}, '') AS node_key FROM law
-UNION SELECT record_id, 'article', path, '', coalesce({_STRIPPED.format(_scalar("json_extract(item, '$.조문번호')"))}, '')
+  coalesce({scalar_sql("json_extract(item, '$.법령ID')")}, {scalar_sql("json_extract(item, '$.법령일련번호')")}, '') AS node_key FROM law
+UNION SELECT record_id, 'article', path, '', coalesce({_STRIPPED.format(scalar_sql("json_extract(item, '$.조문번호')"))}, '')
   || CASE WHEN regexp_replace({_BRANCH}, '^0+', '') <> '' THEN '-' || regexp_replace({_BRANCH}, '^0+', '') ELSE '' END FROM article
 UNION SELECT record_id, 'paragraph', path, parent, '' FROM paragraph
 UNION SELECT record_id, 'item', path, parent, '' FROM item

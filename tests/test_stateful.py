@@ -30,6 +30,13 @@ def test_circuit_breaker(spark):
     assert got[2:] == [(True, "open"), (False, "open")]
 
 
+def test_admission(spark):
+    requests = spark.createDataFrame([(1, "ok"), (2, "ok"), (3, " "), (4, "too long a text"), (5, None)], "id long, t string")
+    decisions = spark.createDataFrame([(1, True), (2, False), (3, False), (4, True)], "id long, allowed boolean")
+    got = {r.id: r.status for r in stateful.admission(requests, decisions, "id", "t", 10).collect()}
+    assert got == {1: 200, 2: 429, 3: 429, 4: 400, 5: 400}
+
+
 def test_one_key_may_hold_most_rows(spark):
     rows = [(7 if i % 3 else i, i, i, False) for i in range(30_000)]
     got = stateful.rate_limit(events(spark, rows), "user", "at", "id", 10, 1_000)
