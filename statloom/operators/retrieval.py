@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.text import SPACE, query_terms, words
-from statloom.session import cut_lineage
+from statloom.session import written
 
 #: Scores are rounded before they are ranked, so that the order of summation decides nothing.
 DIGITS = 6
@@ -127,7 +127,7 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, config: Bm25Config = PROD
     tokens = query_tokens(queries, query_terms)
     distinct = tokens.select("token").distinct()
     # two steps read the matches, which took two passes over the texts to find
-    found = cut_lineage(matches(corpus, distinct))
+    found = written(matches(corpus, distinct))
     weighted = found.join(document_frequency(corpus, distinct, found).select("token", "idf"), "token")
     lengths = tokens.groupBy("query").agg(F.sum("n").alias("n_tokens"))
     weight = F.col("n") * F.col("idf")
