@@ -6,13 +6,16 @@
 2. *Units.* Small cells are put together, and cells of more than ``unit_rows`` vectors are split, into units of about that
    size. Loose rows, and rows of cells too small to hold k neighbours, form units of their own.
 3. *Tiles.* A tile joins two units: a unit with itself (cell by cell), two units of one split cell, or any unit with a loose
-   one. Each row is sent to the tiles of its unit; nothing else is compared. In a tile the vectors are quantised to int8;
+   one. Each row is sent to the tiles of its unit; nothing else is compared at first. In a tile the vectors are quantised to int8;
    the product of two int8 blocks gives each cosine with an error bound, a pair survives if its upper bound reaches the
    k-th best lower bound of either side, and survivors are recomputed in double precision and kept in order.
-4. *Merge.* The best of each tile are merged for each vector, and expanded to all rows that hold the vector.
+4. *Reach.* Members of a centre lie in shells around it, each between two measured angles. By the triangle inequality a
+   vector's angle to the centre bounds its angle to all of a shell. Where that bound reaches the vector's k-th best so far,
+   the vector is also sent to the units of the shell's cell, and compared there in double precision.
+5. *Merge.* The best of all tiles are merged for each vector, and expanded to all rows that hold the vector.
 
-What is lost: only pairs of different cells, i.e. with centres further apart than ``LINK``, that would still be among the
-best. Data without clusters form one linked or wholly loose cell and are joined in full; nothing is capped.
+Cells decide what is compared first, never what is found: pairs that are left out cannot be among the best. Data without
+clusters reach everywhere, which is quadratic; nothing is capped.
 
 Defined cases
 - A member is an id with ``size`` finite numbers that are not all zero; nulls, other sizes and null ids are no members.
@@ -34,6 +37,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statloom.session import written
+
 #: Most rows that one sample takes to the driver (as int8), most samples, and most cells.
 SAMPLE, SAMPLES, MOST_CELLS = 16_384, 4, 8_192
 #: Cosine from which a vector belongs to a leader; from which two centres make one cell; to its centre, below which a row is loose.
@@ -41,6 +46,8 @@ LEADER, LINK, LOOSE = 0.5, 0.5, 0.6
 #: How many of a sample make a cell; a vector that is alone shows nothing about where its neighbours are.
 FOLLOWERS = 3
 UNIT_ROWS = 4_096
+#: Cosines at which the shells around a centre end, and by how much (in radians) float32 may misjudge two angles.
+SHELLS, SLACK = np.array([0.7, 0.8, 0.9]), 0.01
 
 
 # --- rows -------------------------------------------------------------------------------------------------------------
@@ -135,15 +142,24 @@ class Cells:
                 root[max(a, b)] = min(a, b)
         self.cell = np.array([find(i) for i in range(n)], np.int64)
 
-    def of(self, unit: np.ndarray) -> np.ndarray:
-        """Cell of each unit row, -1 for a loose one."""
-        out = np.full(len(unit), -1, np.int64)
+    def nearest(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Centre of each unit row, -1 for a loose one, and the cosine to it."""
+        out, cosine = np.full(len(unit), -1, np.int64), np.full(len(unit), -1, np.float32)
         if len(self.centres):
             for start in range(0, len(unit), 2048):
                 cosines = unit[start : start + 2048].astype(np.float32) @ self.centres.T
                 best = cosines.argmax(1)
-                out[start : start + 2048] = np.where(np.take_along_axis(cosines, best[:, None], 1)[:, 0] >= LOOSE, self.cell[best], -1)
-        return out
+                cosine[start : start + 2048] = top = np.take_along_axis(cosines, best[:, None], 1)[:, 0]
+                out[start : start + 2048] = np.where(top >= LOOSE, best, -1)
+        return out, cosine
+
+    def cell_of(self, centre: np.ndarray) -> np.ndarray:
+        """Cell of each centre, -1 for none."""
+        return np.where(centre >= 0, self.cell[centre], -1) if len(self.cell) else np.full(len(centre), -1, np.int64)
+
+    def of(self, unit: np.ndarray) -> np.ndarray:
+        """Cell of each unit row, -1 for a loose one."""
+        return self.cell_of(self.nearest(unit)[0])
 
 
 def _per_cell(rows: DataFrame, size: int, cells) -> dict[int, int]:
@@ -198,6 +214,49 @@ def fit_cells(rows: DataFrame, size: int):
     return shared, counts
 
 
+def _angle(cosine: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1, 1))
+
+
+def _shells(rows: DataFrame, size: int, cells) -> list[tuple[int, float, float]]:
+    """(centre, least, greatest angle) of the members in each shell; at most four for each centre come to the driver."""
+
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least, greatest = {}, {}
+        for batch in batches:
+            _, x = _members(batch, size)
+            if len(x):
+                centre, cosine = cells.value.nearest(_unit(x))
+                shell = np.searchsorted(SHELLS, cosine)
+                for c, s, a in zip(centre.tolist(), shell.tolist(), _angle(cosine).tolist(), strict=True):
+                    if c >= 0:
+                        least[c, s], greatest[c, s] = min(a, least.get((c, s), a)), max(a, greatest.get((c, s), a))
+        columns = [c for c, _ in least], [s for _, s in least], [*least.values()], [greatest[key] for key in least]
+        types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["centre", "shell", "least", "greatest"])
+
+    measured = rows.mapInArrow(measure, "centre long, shell long, least double, greatest double")
+    return [(r.centre, r.least, r.greatest) for r in measured.groupBy("centre", "shell").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest")).collect()]
+
+
+class Reach:
+    """Shells around centres, and which of them a vector may have neighbours in."""
+
+    def __init__(self, shells: list[tuple[int, float, float]], cells: Cells) -> None:
+        self.centre = np.array([c for c, _, _ in shells], np.int64)
+        self.least = np.array([a for _, a, _ in shells], np.float32)
+        self.greatest = np.array([a for _, _, a in shells], np.float32)
+        self.cell = cells.cell_of(self.centre)
+        self.used, self.column = np.unique(self.centre, return_inverse=True)
+        self.centres = cells.centres[self.used]
+
+    def of(self, unit: np.ndarray, floor: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """For each unit row and shell of another cell: may a member reach the row's ``floor``?"""
+        angle = _angle(unit.astype(np.float32) @ self.centres.T)[:, self.column]
+        apart = np.maximum(angle - self.greatest, self.least - angle)
+        return (apart <= (_angle(floor) + SLACK)[:, None]) & (cell[:, None] != self.cell)
+
+
 # --- units and tiles --------------------------------------------------------------------------------------------------
 
 
@@ -239,6 +298,11 @@ class Layout:
             if right != left:
                 self.of_unit[right].append((t, True))
 
+    def units(self, cell: int) -> range:
+        """All units of a cell that is not loose."""
+        first = self.first_unit.get(cell, 0)
+        return range(first, first + self.parts.get(cell, 0))
+
     def unit(self, cell: int, vector_id: bytes) -> int:
         spread = int.from_bytes(vector_id[:8], "little")
         if cell not in self.first_unit:
@@ -248,6 +312,9 @@ class Layout:
 
 ROWS = "tile int, on_right boolean, cell long, vector_id binary, vector binary, ids array<long>"
 HITS = "vector_id binary, hits array<struct<distance:double,id:long>>"
+#: What a tile found, and of vectors that reach other cells also the vector, its cell, its k-th best and the units to ask.
+FOUND = HITS + ", vector binary, cell long, floor double, units array<int>"
+_HITS = pa.list_(pa.struct([("distance", pa.float64()), ("id", pa.int64())]))
 
 
 def _send(rows: DataFrame, size: int, k: int, cells, layout) -> DataFrame:
@@ -275,6 +342,14 @@ def _send(rows: DataFrame, size: int, k: int, cells, layout) -> DataFrame:
     return rows.mapInArrow(send, ROWS)
 
 
+def _stored(table: pa.Table, size: int) -> np.ndarray:
+    """The vectors of a table; they lie one after the other in a single buffer."""
+    column = table.column("vector").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset] if len(column) else 0
+    return np.frombuffer(column.buffers()[2], np.float32, len(column) * size, int(first)).reshape(len(column), size) if len(column) else np.empty((0, size), np.float32)
+
+
 class _Side:
     """The distinct vectors of one side of a tile, ordered by cell; as stored, as int8 codes, and what they found."""
 
@@ -287,11 +362,7 @@ class _Side:
         self.names, self.cells = [v for _, v in keys], np.array([c for c, _ in keys], np.int64)
         ids = table.column("ids").to_pylist()
         self.ids = [sorted({x for i in same[key] for x in ids[i]})[: k + 1] for key in keys]
-        # the vectors lie one after the other in a single buffer
-        column = table.column("vector").combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        first = np.frombuffer(column.buffers()[1], np.int32)[column.offset] if len(column) else 0
-        stored = np.frombuffer(column.buffers()[2], np.float32, len(column) * size, int(first)).reshape(len(column), size) if len(column) else np.empty((0, size), np.float32)
+        stored = _stored(table, size)
         self.stored = stored[[same[key][0] for key in keys]] if keys else stored
         self.codes = np.empty((len(keys), size), np.int8)
         self.scale, self.error = np.empty(len(keys)), np.empty(len(keys))
@@ -350,8 +421,18 @@ def _blocks(start: int, stop: int, step: int) -> list[slice]:
     return [slice(s, min(s + step, stop)) for s in range(start, stop, step)]
 
 
-def _tile(table: pa.Table, tiles: list[tuple[int, int, str]], k: int, size: int, step: int = 512) -> pa.Table:
-    """Best k + 1 of each row of both sides within one tile."""
+def _asked(side: _Side, reach: Reach, layout: Layout, step: int = 256) -> list[list[int]]:
+    """Units of other cells that may hold neighbours of each row."""
+    out: list[list[int]] = []
+    for part in _blocks(0, len(side.names), step):
+        for row in reach.of(_unit(side.stored[part]), side.floor[part], side.cells[part]):
+            out.append(sorted({u for c in np.unique(reach.cell[row]).tolist() for u in layout.units(c)}))
+    return out
+
+
+def _tile(table: pa.Table, reach: Reach, layout: Layout, k: int, size: int, step: int = 512) -> pa.Table:
+    """Best k + 1 of each row of both sides within one tile, and where else to look for those of the left one."""
+    tiles = layout.tiles
     itself = tiles[table.column("tile")[0].as_py()][2]
     on_right = table.column("on_right")
     left, right = _Side(table.filter(pc.invert(on_right)), k, size), _Side(table.filter(on_right), k, size)
@@ -367,13 +448,116 @@ def _tile(table: pa.Table, tiles: list[tuple[int, int, str]], k: int, size: int,
         for x in _blocks(0, len(left.names), step):
             for y in _blocks(0, len(right.names), step):
                 _compare(left, x, right, y, k)
-    names, found = [], []
+    names, found, vectors, cells, floors, units = [], [], [], [], [], []
     for side in (left, right):
         _settle(side, k)
         names += side.names
         found += [[{"distance": d, "id": x} for d, x in best] for best in side.found]
-    hits = pa.list_(pa.struct([("distance", pa.float64()), ("id", pa.int64())]))
-    return pa.table({"vector_id": pa.array(names, pa.binary()), "hits": pa.array(found, hits)})
+        # loose rows meet all others anyway
+        asked = _asked(side, reach, layout) if side is left and itself == "by cell" and len(reach.centre) else [[]] * len(side.names)
+        vectors += [row.tobytes() if u else None for row, u in zip(side.stored, asked, strict=True)]
+        cells += side.cells.tolist()
+        floors += side.floor.tolist()
+        units += [u or None for u in asked]
+    columns = (names, found, vectors, cells, floors, units)
+    types = (pa.binary(), _HITS, pa.binary(), pa.int64(), pa.float64(), pa.list_(pa.int32()))
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["vector_id", "hits", "vector", "cell", "floor", "units"])
+
+
+# --- other cells ------------------------------------------------------------------------------------------------------
+
+VISITS = "tile long, asks boolean, vector_id binary, vector binary, cell long, floor double, centre long, cosine float, ids array<long>"
+_VISITS = (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.float64(), pa.int64(), pa.float32(), pa.list_(pa.int64()))
+
+
+def _visits(columns: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _VISITS, strict=True)], names=[c.split()[0] for c in VISITS.split(", ")])
+
+
+def _part(vector_id: bytes, parts: int) -> int:
+    return int.from_bytes(vector_id[8:], "little") % parts
+
+
+def _visiting(found: DataFrame, parts: dict[int, int], most: int) -> DataFrame:
+    """Vectors that reach other cells, once for every unit that they ask."""
+
+    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in _VISITS]
+            for r in batch.to_pylist():
+                for u in r["units"]:
+                    for column, value in zip(out, (u * most + _part(r["vector_id"], parts[u]), True, r["vector_id"], r["vector"], r["cell"], r["floor"], None, None, None), strict=True):
+                        column.append(value)
+                if len(out[0]) >= UNIT_ROWS:
+                    yield _visits(out)
+                    out = [[] for _ in _VISITS]
+            yield _visits(out)
+
+    return found.filter("units is not null").select("vector_id", "vector", "cell", "floor", "units").mapInArrow(send, VISITS)
+
+
+def _visited(rows: DataFrame, size: int, k: int, cells, layout, parts: dict[int, int], most: int) -> DataFrame:
+    """Each distinct vector of a batch whose unit is asked, once for every part of those that ask."""
+
+    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, x = _members(batch, size)
+            if not len(x):
+                continue
+            same: dict[bytes, list[int]] = defaultdict(list)
+            for i, row in enumerate(x):
+                same[_vector_id(row)].append(i)
+            firsts = x[[same[v][0] for v in same]]
+            centre, cosine = cells.value.nearest(_unit(firsts))
+            out: list[list] = [[] for _ in _VISITS]
+            for v, row, c, near, cell in zip(same, firsts, centre.tolist(), cosine.tolist(), cells.value.cell_of(centre).tolist(), strict=True):
+                if cell not in layout.value.first_unit:
+                    continue
+                unit = layout.value.unit(cell, v)
+                smallest = sorted({int(ids[i]) for i in same[v]})[: k + 1]
+                for part in range(parts.get(unit, 0)):
+                    for column, value in zip(out, (unit * most + part, False, v, row.tobytes(), cell, None, c, near, smallest), strict=True):
+                        column.append(value)
+            yield _visits(out)
+
+    return rows.mapInArrow(send, VISITS)
+
+
+def _visit(table: pa.Table, cells: Cells, k: int, size: int, step: int = 512) -> pa.Table:
+    """Best k + 1 that vectors of other cells find in one unit, as far as they reach their k-th best so far."""
+    asks = table.column("asks")
+    guests, hosts = table.filter(asks), table.filter(pc.invert(asks))
+    names, kept = guests.column("vector_id").to_pylist(), []
+    if len(guests) and len(hosts):
+        stored, cell, floor = _stored(guests, size), guests.column("cell").to_numpy(), guests.column("floor").to_numpy().copy()
+        theirs, ids, cosine = _unit(_stored(hosts, size)), hosts.column("ids").to_pylist(), hosts.column("cosine").to_numpy()
+        groups: dict[tuple[int, int], list[int]] = defaultdict(list)
+        for j, key in enumerate(zip(hosts.column("centre").to_pylist(), np.searchsorted(SHELLS, cosine).tolist(), strict=True)):
+            groups[key].append(j)
+        angle = _angle(cosine)
+        reach = Reach([(c, float(angle[g].min()), float(angle[g].max())) for (c, _), g in groups.items()], cells)
+        for part in _blocks(0, len(names), step):
+            own, least = _unit(stored[part]), floor[part]
+            found: list[set[tuple[float, int]]] = [set() for _ in own]
+            for wanted, group in zip(reach.of(own, least, cell[part]).T, groups.values(), strict=True):
+                who = np.flatnonzero(wanted)
+                for block in _blocks(0, len(group), 2048) if len(who) else []:
+                    members = np.array(group[block])
+                    i, j = np.nonzero(own[who] @ theirs[members].T >= least[who][:, None] - 1e-9)
+                    i, j = who[i], members[j]
+                    # few at once, as each pair takes two whole vectors
+                    for at in _blocks(0, len(i), 1024):
+                        exact = np.clip(np.round(np.einsum("ij,ij->i", own[i[at]], theirs[j[at]]), 12), -1, 1)
+                        for a, b, c in zip(i[at].tolist(), j[at].tolist(), exact.tolist(), strict=True):
+                            found[a].update((-c, x) for x in ids[b])
+                    for a in set(i.tolist()):
+                        if len(found[a]) > k:
+                            best = sorted(found[a])[: k + 1]
+                            found[a], least[a] = set(best), max(least[a], -best[-1][0] - 1e-9)
+            kept += [[{"distance": d, "id": x} for d, x in sorted(f)[: k + 1]] for f in found]
+    else:
+        kept = [[] for _ in names]
+    return pa.table({"vector_id": pa.array(names, pa.binary()), "hits": pa.array(kept, _HITS)}).filter(pa.array([bool(f) for f in kept], pa.bool_()))
 
 
 # --- the operator -----------------------------------------------------------------------------------------------------
@@ -395,15 +579,23 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, size: int, unit_rows:
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
     cells, counts = fit_cells(rows, size)
     plan = Layout(counts, k, unit_rows)
-    tiles = plan.tiles
-    layout = rows.sparkSession.sparkContext.broadcast(plan)
-    best = (
-        _send(rows, size, k, cells, layout)
-        .groupBy("tile")
-        .applyInArrow(lambda table: _tile(table, tiles, k, size), HITS)
-        .groupBy("vector_id")
-        .agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), 1, k + 1).alias("hits"))
-    )
+    context = rows.sparkSession.sparkContext
+    layout = context.broadcast(plan)
+    # a single cell has no others, and the rows of small cells are loose
+    shells = [s for s in _shells(rows, size, cells) if int(cells.value.cell[s[0]]) in plan.first_unit] if len(plan.first_unit) > 1 else []
+    reach = context.broadcast(Reach(shells, cells.value))
+    found = _send(rows, size, k, cells, layout).groupBy("tile").applyInArrow(lambda table: _tile(table, reach.value, layout.value, k, size), FOUND)
+    hits = found.select("vector_id", "hits")
+    if shells:
+        found = written(found)
+        hits = found.select("vector_id", "hits")
+        # those that ask one unit are spread, so that a task holds about as many of them as of the unit's own rows
+        parts = {r.unit: -(-r.n // (2 * unit_rows)) for r in found.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count("*").alias("n")).collect()}
+        if parts:
+            most = max(parts.values())
+            visits = _visiting(found, parts, most).unionAll(_visited(rows, size, k, cells, layout, parts, most))
+            hits = hits.unionAll(visits.groupBy("tile").applyInArrow(lambda table: _visit(table, cells.value, k, size), HITS))
+    best = hits.groupBy("vector_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), 1, k + 1).alias("hits"))
     return (
         _vector_of(rows, size)
         .join(best, "vector_id")

@@ -94,3 +94,10 @@ def test_every_pair_of_units_that_must_meet_has_a_tile(loose):
     units = {u for t in plan.tiles for u in t[:2]}
     assert all(frozenset((u, r)) in met for u in units for r in plan.loose_units)
     assert sorted(t[0] for t in plan.tiles if t[2]) == sorted(units)
+
+
+@pytest.mark.parametrize("intrinsic", [6, 8, 12])
+def test_neighbours_across_cells_of_a_continuous_cloud(spark, intrinsic):
+    rng = np.random.default_rng(intrinsic)
+    x = (rng.normal(size=(2_000, intrinsic)) @ np.linalg.qr(rng.normal(size=(48, intrinsic)))[0].T).astype(np.float32)
+    assert run(spark, range(2_000), x, k=10, unit_rows=256) == truth([*range(2_000)], x, 10)
