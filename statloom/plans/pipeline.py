@@ -43,6 +43,15 @@ def upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert(target, load(spark, sf_dir, "legal_document_snapshots").select(*_STORED), "document_id", ["created_at"], ["updated_at"])
 
 
+_WHOLE = ["id", "source", "document_id", "statute_id", "title", "content", "created_at", "updated_at"]
+
+
+def upsert_documents_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored documents after all deliveries, with all columns that deliveries hold."""
+    target = store.latest_by_key(load(spark, sf_dir, "legal_documents").select(*_WHOLE), "document_id", ["updated_at"])
+    return store.upsert(target, load(spark, sf_dir, "legal_document_snapshots").select(*_WHOLE), "document_id", ["created_at"], ["updated_at"])
+
+
 def import_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Import runs, newest first, with their statuses in one spelling."""
     histories = load(spark, sf_dir, "legal_import_histories").distinct()
@@ -64,6 +73,14 @@ def indexed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.indexed_documents(load(spark, sf_dir, "legal_index").select("id", F.col("ord").alias("indexed_ord"), "title"), "id", "indexed_ord", ["title"])
 
 
+_INDEXED = ["document_type", "title", "text", "source_type", "source_id", "embedding"]
+
+
+def indexed_documents_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index by document, with all of its columns: place of the first indexing, values of the last."""
+    return store.indexed_documents(load(spark, sf_dir, "legal_index").select("id", F.col("ord").alias("indexed_ord"), *_INDEXED), "id", "indexed_ord", _INDEXED)
+
+
 def statute_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statutes with the number of their documents; a statute without any has none."""
     counts = load(spark, sf_dir, "documents").groupBy("statute_id").agg(F.count("*").alias("n_documents"))
@@ -168,10 +185,12 @@ QUERIES = {
     "import_policy": import_policy,
     "import_counts": import_counts,
     "upsert_documents": upsert_documents,
+    "upsert_documents_whole": upsert_documents_whole,
     "import_history": import_history,
     "statutes_first_seen": statutes_first_seen,
     "index_batches": index_batches,
     "indexed_documents": indexed_documents,
+    "indexed_documents_whole": indexed_documents_whole,
     "statute_catalogue": statute_catalogue,
     "citations": citations,
     "prompts": prompts,
@@ -261,6 +280,8 @@ walk AS (
   FROM walk w JOIN ordered o ON o.user_id = w.user_id AND o.rn = w.rn + 1)"""
 )
 
+_NEWEST = ", ".join(f"{c} DESC NULLS LAST" for c in ["updated_at", *(c for c in _WHOLE if c not in ("updated_at", "document_id"))])
+
 ORACLE_SQL = {
     "search_documents": P.NODES_SQL
     + f""" SELECT DISTINCT record_id, position, coalesce({_member("item", "법령ID")}, {_member("item", "법령일련번호")}, source_id) AS document_id, coalesce({_member("item", "법령명한글")}, '') AS title,
@@ -281,6 +302,13 @@ SELECT coalesce(s.document_id, f.document_id) AS document_id, CASE WHEN f.rn = 1
        coalesce(s.created_at, f.created_at) AS created_at, CASE WHEN f.rn = 1 THEN f.updated_at ELSE s.updated_at END AS updated_at
 FROM stored s FULL JOIN fresh f ON s.document_id = f.document_id
 UNION ALL SELECT document_id, title, created_at, updated_at FROM legal_document_snapshots WHERE document_id IS NULL""",
+    "upsert_documents_whole": f"""
+WITH stored AS (SELECT * FROM (SELECT {", ".join(_WHOLE)}, row_number() OVER (PARTITION BY document_id ORDER BY {_NEWEST}) AS rn FROM legal_documents) WHERE rn = 1),
+fresh AS (SELECT * FROM (SELECT {", ".join(_WHOLE)}, row_number() OVER (PARTITION BY document_id ORDER BY {_NEWEST}) AS rn FROM legal_document_snapshots WHERE document_id IS NOT NULL) WHERE rn = 1)
+SELECT coalesce(s.document_id, f.document_id) AS document_id, coalesce(s.created_at, f.created_at) AS created_at,
+  {", ".join(f"CASE WHEN f.rn = 1 THEN f.{c} ELSE s.{c} END AS {c}" for c in _WHOLE if c not in ("document_id", "created_at"))}
+FROM stored s FULL JOIN fresh f ON s.document_id = f.document_id
+UNION ALL SELECT document_id, created_at, {", ".join(c for c in _WHOLE if c not in ("document_id", "created_at"))} FROM legal_document_snapshots WHERE document_id IS NULL""",
     "import_history": "SELECT DISTINCT id, source, lower(trim(status)) AS status, imported_count, started_at FROM (SELECT DISTINCT * FROM legal_import_histories)",
     "statutes_first_seen": "SELECT statute_id, min(doc_id) AS first_seen FROM documents WHERE statute_id IS NOT NULL GROUP BY ALL",
     "index_batches": """
@@ -288,6 +316,9 @@ SELECT ord // 100 AS batch, count(*) AS n_total, count(*) FILTER (coalesce(len(e
 FROM legal_index GROUP BY ALL""",
     "indexed_documents": """
 SELECT id, min(ord) AS ord, arg_max(coalesce(title, chr(0)), (ord, coalesce(title, chr(0)))) AS title FROM legal_index GROUP BY id""",
+    "indexed_documents_whole": f"""
+SELECT id, ord, {", ".join(_INDEXED)} FROM (SELECT *EXCLUDE (ord), min(ord) OVER (PARTITION BY id) AS ord, row_number() OVER (PARTITION BY id ORDER BY {", ".join(f"{c} DESC NULLS LAST" for c in ["ord", *_INDEXED])}) AS rn
+FROM legal_index) WHERE rn = 1""",
     "statute_catalogue": f"""
 SELECT s.id, coalesce(nullif({R.sql_trim('title_ko')}, ''), nullif({R.sql_trim('title_en')}, ''), '') AS title, ministry, coalesce(n, 0) AS n_documents
 FROM statutes s LEFT JOIN (SELECT statute_id, count(*) AS n FROM documents GROUP BY ALL) d ON d.statute_id = s.id""",

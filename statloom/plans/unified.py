@@ -51,13 +51,63 @@ def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"unified_report": unified_report, "stored_entities": stored_entities, "index_rows": index_rows}
+_DOCUMENT = ["document_id", "statute_id", "title", "content"]
+
+
+def stored_entities_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as rows of the store, with title and content; the whole document as JSON, nulls left out."""
+    documents = load(spark, sf_dir, "legal_documents").select("source", *_DOCUMENT).distinct()
+    is_case = F.col("statute_id").isNull()
+    document = F.to_json(
+        F.struct(
+            F.col("document_id").alias("id"),
+            F.when(is_case, "COURT_CASE").otherwise("STATUTE_ARTICLE").alias("documentType"),
+            "title",
+            F.col("content").alias("text"),
+            F.struct(F.col("statute_id").alias("statuteId")).alias("metadata"),
+            F.struct(F.when(is_case, "court_case").otherwise("statute_article").alias("sourceType"), F.coalesce("statute_id", "document_id").alias("sourceId")).alias("sourceRef"),
+        )
+    )
+    return documents.select(F.concat("source", F.lit(":"), "document_id").alias("id"), "source", "document_id", "title", "content", document.alias("raw_data"))
+
+
+def index_rows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored documents as rows of the index: text, source and the vector last indexed for the document, null if there is none."""
+    documents = load(spark, sf_dir, "legal_documents").select(*_DOCUMENT).distinct()
+    usable = load(spark, sf_dir, "legal_index").filter(F.size("embedding") == 768)
+    vectors = usable.groupBy(F.col("id").alias("of")).agg(F.max_by("embedding", "ord").alias("embedding"))
+    is_case = F.col("statute_id").isNull()
+    return documents.join(vectors, F.col("document_id") == F.col("of"), "left").select(
+        F.col("document_id").alias("id"),
+        F.when(is_case, "COURT_CASE").otherwise("STATUTE_ARTICLE").alias("document_type"),
+        "title",
+        F.col("content").alias("text"),
+        F.when(is_case, "court_case").otherwise("statute_article").alias("source_type"),
+        F.coalesce("statute_id", "document_id").alias("source_id"),
+        "embedding",
+    )
+
+
+QUERIES = {
+    "unified_report": unified_report,
+    "stored_entities": stored_entities,
+    "index_rows": index_rows,
+    "stored_entities_whole": stored_entities_whole,
+    "index_rows_whole": index_rows_whole,
+}
 
 
 def _unpivoted(sql: str, name: str, metrics: tuple[str, ...]) -> str:
     return " UNION ALL ".join(f"SELECT '{name}' AS report, '{m}' AS metric, {m}::DOUBLE AS value FROM ({sql})" for m in metrics)
 
 
+_KIND = "CASE WHEN statute_id IS NULL THEN 'COURT_CASE' ELSE 'STATUTE_ARTICLE' END"
+
+
+def _json(name: str, column: str) -> str:
+    return f"'\"{name}\":' || to_json({column})"
+
+
 ORACLE_SQL = {
     "unified_report": " UNION ALL ".join(
         [
@@ -73,4 +123,14 @@ FROM (SELECT DISTINCT source, document_id, title FROM legal_documents)""",
 SELECT document_id AS id, CASE WHEN statute_id IS NULL THEN 'COURT_CASE' ELSE 'STATUTE_ARTICLE' END AS document_type, title, length(content) AS n_chars,
   CASE WHEN statute_id IS NULL THEN 'court_case' ELSE 'statute_article' END AS source_type, document_id || '#chunk-0' AS chunk_id
 FROM (SELECT DISTINCT document_id, statute_id, title, content FROM legal_documents)""",
+    "stored_entities_whole": f"""
+SELECT source || ':' || document_id AS id, source, document_id, title, content,
+  '{{' || concat_ws(',', {_json("id", "document_id")}, '"documentType":"' || {_KIND} || '"', {_json("title", "title")}, {_json("text", "content")},
+    '"metadata":{{' || coalesce({_json("statuteId", "statute_id")}, '') || '}}',
+    '"sourceRef":{{' || concat_ws(',', '"sourceType":"' || lower({_KIND}) || '"', {_json("sourceId", "coalesce(statute_id, document_id)")}) || '}}') || '}}' AS raw_data
+FROM (SELECT DISTINCT source, document_id, statute_id, title, content FROM legal_documents)""",
+    "index_rows_whole": f"""
+SELECT document_id AS id, {_KIND} AS document_type, title, content AS text, lower({_KIND}) AS source_type, coalesce(statute_id, document_id) AS source_id, embedding
+FROM (SELECT DISTINCT document_id, statute_id, title, content FROM legal_documents)
+LEFT JOIN (SELECT id AS of, arg_max(embedding, ord) AS embedding FROM legal_index WHERE len(embedding) = 768 GROUP BY id) ON of = document_id""",
 }
