@@ -2,6 +2,9 @@
 
 Within a micro-batch a key's events are taken in order of time. A late event is admitted or refused in the window that
 is open when it arrives. State of a key ends when its window has been over for ``idle_ms`` of processing time.
+
+A task holds all times of one key in a micro-batch, as they have to be sorted. Nothing here bounds them: where a key may
+have many, bound the micro-batch at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
 """
 
 from __future__ import annotations
