@@ -13,7 +13,7 @@ from statloom.llm.neighbours import nearest, neighbour_pairs
 from statloom.llm.packing import pack
 from statloom.llm.splitting import split_oversized
 from statloom.llm.tokenizer import token_count, token_ids
-from statloom.llm.truncation import readings, storage_limits, truncated, truncation_by_source
+from statloom.llm.truncation import cuts_by_step, readings, storage_limits, truncated, truncation_by_source
 from statloom.tables import load
 
 PIECE_LIMIT, PIECE_OVERLAP = 1_000, 100
@@ -81,7 +81,12 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_by_source(_readings(spark, sf_dir))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_limits": p8_limits, "p8_sources": p8_sources}
+def p8_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cut texts of each source stand at a storage limit, and how many were cut mid-transfer."""
+    return cuts_by_step(_readings(spark, sf_dir))
+
+
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_limits": p8_limits, "p8_sources": p8_sources, "p8_steps": p8_steps}
 
 _NEAREST_SQL = f"""
 WITH members AS (SELECT ord, any_value(embedding)::DOUBLE[{DIMENSIONS}] AS v FROM legal_index

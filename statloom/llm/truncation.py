@@ -1,14 +1,19 @@
 """Texts that were cut on their way, and how often each source cuts.
 
-Each text is measured under several encodings and escapings that a store may have counted in, and its ending is read.
-Grouped by source, measure and length, texts that stop inside a sentence heap up at hidden storage limits. An ending
-that is plain decides by itself (most cuts happen mid-transfer, at no limit); one that is not counts as a cut where the
-text stands at a limit that other texts of its source expose.
+1. *Lengths.* Each text is measured under several encodings and escapings that a store may have counted in. Grouped by
+   source, measure and length, texts heap up at hidden storage limits.
+2. *Endings.* What a whole ending is, is counted in all texts: how often lines of a kind (their first token, and how the
+   line of that kind before ended) end without a full stop, and how often a word stands before one. Lines inside a text
+   were not cut, so they show how lines of their kind end.
+3. *Limits.* A heap is a limit if many of its texts stop inside a sentence. A text that stands at one was cut
+   there, unless its ending is plainly whole.
+4. *Elsewhere* a text was cut mid-transfer if its ending is plainly none; an unclear one counts as whole.
 
 Defined cases
 - Null, empty and blank texts are whole. Blanks, invisible characters and ellipses after the stop are not part of it; a
   replacement character there is the rest of a character that was cut.
 - Texts that end with a list entry, heading, table row or closing note, or lack only the last full stop, are whole.
+- Kinds of lines and words that are hardly seen are judged by their form (see WEIGHT), as in a table of few rows.
 - Null sources form a source of their own. Repeated ids are read one by one; the result is distinct.
 """
 
@@ -16,17 +21,18 @@ from __future__ import annotations
 
 import html
 import json
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.llm.lookalike import one_form
+from statloom.llm.lookalike import LINE_ENDS, one_form
 from statloom.session import cut_lineage
 
 
-
 def _line_ends(text: str, as_long_as: int) -> int:
     """By how much ``text`` grows when every line end takes ``as_long_as`` characters."""
     pairs = text.count("\r\n")
@@ -49,8 +55,16 @@ MEASURES = {
 
 #: A limit counts in units of up to this many; a text whose next character did not fit stays below it by less.
 UNIT = 4
-#: How many texts of a source must stop inside a sentence at a limit, and by how much more often than around it.
-LEAST_AT_LIMIT, NEIGHBOURS, TIMES_MORE = 5, 64, 4
+#: How many texts must stand at a limit, by how much more than around it, and the share of them that end in no whole way.
+LEAST_AT_LIMIT, NEIGHBOURS, TIMES_MORE, SHARE_AT_LIMIT = 5, 64, 4, 0.25
+#: How many lines or words the form of an ending weighs as much as, beside what was counted.
+WEIGHT = 16
+#: Share of a kind's lines without a full stop from which such an end is whole, and below which it is plainly none.
+OPEN_KIND, STOP_KIND = 0.5, 0.2
+#: Share of a word's places before a full stop from which a text after it lacks only that stop, off a limit and at one.
+FINAL_WORD, FINAL_WORD_AT_LIMIT = 0.5, 0.9
+#: Line kinds and words that one task counts before it hands the counts on.
+COUNTED = 100_000
 
 # How lines look that are no sentences, and how Korean sentences end.
 _NO_SENTENCE = regex.compile(
@@ -71,11 +85,18 @@ _NO_SENTENCE = regex.compile(
     regex.VERBOSE,
 )
 _NUMBERED = regex.compile(r"\d+\.\s")
-_BLANK = regex.compile(r"[\s\p{Cf}\p{Cc}]")
-_FULL_STOP = regex.compile(r"[.?!。]['\"”’)\]」』]*$")
-_NUMBER_STOP = regex.compile(r"(?:^|[\s.])\d+\.$")
 _KOREAN_FINAL = regex.compile(r"(?:(?<![가-힣])(?!마다|보다|다|에다)[가-힣]+다|나요|까요|세요|지요|어요|아요|네요|데요|시오|없음|있음|않음|였음|하였음|바람)['\"”’)\]]*$")
 _OPEN = regex.compile(r"[\[<(【][^\])>】]*$")
+_FULL_STOP = regex.compile(r"[.?!。]['\"”’)\]」』]*$")
+_LINES = regex.compile(f"[{LINE_ENDS}\n]+")
+_BLANK = regex.compile(r"[\s\p{Cf}\p{Cc}]")
+_UNSEEN = regex.compile(r"^[\s\p{Cf}\p{Cc}]+|[\s\p{Cf}\p{Cc}]+$")
+_NUMBER_STOP = regex.compile(r"(?:^|[\s.])\d+\.$")
+_DIGITS = regex.compile(r"\p{Nd}+")
+_LETTERED = regex.compile(r"(?:[가-힣]|\p{Ll})\.$")
+# Marks that close a sentence, quotes after them, and brackets.
+STOPS, QUOTES = ".?!。", "'\"”’」』"
+BRACKETS = {")": "(", "]": "[", ">": "<", "】": "【"}
 
 
 def where_it_stops(text: str) -> int:
@@ -91,14 +112,18 @@ def where_it_stops(text: str) -> int:
     return at
 
 
+def _last_line(stop: str) -> str:
+    return one_form(stop[max(stop.rfind("\n"), stop.rfind("\r")) + 1 :]).strip()
+
+
 def ending(text: str) -> str:
-    """``inside`` a sentence, ``whole``, or ``unclear``."""
+    """``inside`` a sentence, ``whole``, or ``unclear``, by the form of the ending alone."""
     stop = text[: where_it_stops(text)]
     if not stop:
         return "whole"
     if stop.endswith("�"):
         return "inside"
-    last = one_form(stop[max(stop.rfind("\n"), stop.rfind("\r")) + 1 :]).strip()
+    last = _last_line(stop)
     # numbered paragraphs of a decision are sentences, numbered lines elsewhere entries
     sentences = "【" in text
     if sentences and (numbered := _NUMBERED.match(last)):
@@ -110,64 +135,202 @@ def ending(text: str) -> str:
     return "whole" if _KOREAN_FINAL.search(last) else "inside"
 
 
+def _without_notes(line: str) -> str:
+    """``line`` without quotes and whole brackets at its end."""
+    line = line.rstrip(QUOTES + " ")
+    while line and line[-1] in BRACKETS and (start := line.rfind(BRACKETS[line[-1]])) >= 0:
+        line = line[:start].rstrip(QUOTES + " ")
+    return line
+
+
+def line_kind(line: str) -> str:
+    """What ``line`` begins with, apart from its numbers; a row of a table, or a line of one token, is a kind of its own."""
+    if " | " in line:
+        return "|"
+    token = one_form(line.split(maxsplit=1)[0][:24])
+    if token and "①" <= token[0] <= "⑳":
+        return "①"
+    token = _DIGITS.sub("0", token)
+    if _LETTERED.match(token):
+        return "가." if token[0] >= "가" else "a."
+    bracket = token.find("(", 1)
+    if bracket > 0:
+        token = token[: bracket + 1]
+    return token if " " in _without_notes(line) else token + "$"
+
+
+def ends_open(line: str) -> bool:
+    """Does ``line`` end without a full stop? That of a number or date is none; a note in brackets may follow it."""
+    bare = _without_notes(line)
+    return not bare or bare[-1] not in STOPS or bool(_NUMBER_STOP.search(bare))
+
+
+def lines_of(text: str) -> list[tuple[str, str, bool, str]]:
+    """(kind, how the line of that kind before ended, or what stands before the first, open end, line) of each line that is not blank."""
+    out, ended, above = [], {}, "^"
+    for line in _LINES.split(text):
+        if line := _UNSEEN.sub("", line):
+            kind, is_open = line_kind(line), ends_open(line)
+            out.append((kind, ended.get(kind, f"after {above}"), is_open, line))
+            ended[kind] = "open" if is_open else "closed"
+            above = "letters" if kind[:1].isalpha() else kind
+    return out
+
+
+def final_word(line: str) -> str:
+    """The last word of ``line`` as words are counted: two syllables of a Korean one, others whole, without their figures."""
+    word = _without_notes(line).split()[-1:] or [""]
+    bare = word[0].lower().rstrip(STOPS + ",;:" + QUOTES)
+    return bare[-2:] if bare[-1:] >= "가" else _DIGITS.sub("0", bare)
+
+
+def counted_lines(texts: DataFrame, text: str) -> DataFrame:
+    """(kind, before, n, n_open) of all lines; each task hands on one row for each kind, not its lines."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, n_open = Counter(), Counter()
+
+        def told() -> pa.RecordBatch:
+            columns = ([k for k, _ in n], [b for _, b in n], [*n.values()], [n_open[x] for x in n])
+            types = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kind", "before", "n", "n_open"])
+
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                for kind, before, is_open, _ in lines_of(x[: where_it_stops(x)]) if x else ():
+                    n[kind, before] += 1
+                    n_open[kind, before] += is_open
+            if len(n) > COUNTED:
+                yield told()
+                n.clear()
+                n_open.clear()
+        yield told()
+
+    counts = texts.select(text).mapInArrow(count, "kind string, before string, n long, n_open long")
+    return counts.groupBy("kind", "before").agg(F.sum("n").alias("n"), F.sum("n_open").alias("n_open"))
+
+
+def counted_words(texts: DataFrame, text: str) -> DataFrame:
+    """(word, n_word, n_final) of all words: how often they occur, and how often right before a full stop."""
+    word = F.rtrim("word", F.lit(QUOTES + "".join(BRACKETS)))
+    bare = F.rtrim(word, F.lit(STOPS + ",;:" + QUOTES))
+    return (
+        texts.select(F.explode(F.split(F.lower(text), r"[\s\u00a0\u2000-\u200b\u2028\u2029\u202f\u3000]+")).alias("word"))
+        .select(
+            F.when(F.right(bare, F.lit(1)) >= "가", F.right(bare, F.lit(2))).otherwise(F.regexp_replace(bare, r"\p{Nd}+", "0")).alias("word"),
+            F.right(word, F.lit(1)).isin(*STOPS).alias("final"),
+        )
+        .filter("word <> ''")
+        .groupBy("word")
+        .agg(F.count("*").alias("n_word"), F.count_if("final").alias("n_final"))
+    )
+
+
 def measured(text: Column | str) -> Column:
-    """Column of struct<ending, lengths: map of measure to length>; null for null and blank texts."""
+    """Column of the lengths of a text and what its ending shows; null for null and blank texts."""
     names = [*MEASURES]
-
-    @F.arrow_udf(f"struct<ending:string,{','.join(f'{n}:int' for n in names)}>")
+    shown = {"kind": pa.string(), "before": pa.string(), "word": pa.string(), "is_open": pa.bool_(), "torn": pa.bool_(), "unclosed": pa.bool_(), "no_sentence": pa.float64(), "is_final": pa.float64()}
+
+    def show(text: str) -> tuple:
+        stop = text[: where_it_stops(text)]
+        if not stop:
+            return "", "", "", False, False, False, 1.0, 1.0
+        kind, before, is_open, line = lines_of(stop)[-1]
+        form, line = ending(stop), one_form(line)
+        is_final = bool(_KOREAN_FINAL.search(line))
+        return kind, before, final_word(line), is_open, stop.endswith("\ufffd"), bool(_OPEN.search(line)), float(form != "inside" and not is_final), float(is_final)
+
+    @F.arrow_udf(f"struct<kind:string,before:string,word:string,is_open:boolean,torn:boolean,unclosed:boolean,no_sentence:double,is_final:double,{','.join(f'{n}:int' for n in names)}>")
     def measure(texts: pa.Array) -> pa.Array:
         rows = [x if x and not x.isspace() else None for x in texts.to_pylist()]
-        columns = [pa.array([x and ending(x) for x in rows], pa.string())]
+        ends = [show(x) if x else (None,) * len(shown) for x in rows]
+        columns = [pa.array([e[i] for e in ends], t) for i, t in enumerate(shown.values())]
         columns += [pa.array([x and f(x) for x in rows], pa.int32()) for f in MEASURES.values()]
-        return pa.StructArray.from_arrays(columns, names=["ending", *names])
+        return pa.StructArray.from_arrays(columns, names=[*shown, *names])
 
     return measure(text)
 
 
 def readings(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
-    """(key, source, ending and one column for each measure), written to the checkpoint folder: two steps read it."""
-    return cut_lineage(df.select(F.col(key).alias("key"), F.col(source).alias("source"), measured(text).alias("m")).select("key", "source", "m.*"))
+    """(key, source, ending, final_share and one column for each measure), written to the checkpoint folder: several steps read it.
+
+    ``ending`` is ``whole``, ``final`` (only the full stop may lack), ``inside`` or ``unclear``, judged by how all texts end
+    their lines; null for blank texts. ``final_share`` is how often the last word stands before a full stop. The form of an
+    ending weighs as much as WEIGHT lines or words, so that it decides where a kind is hardly seen.
+    """
+    lines = cut_lineage(counted_lines(df, text)).withColumnsRenamed({"n": "n_exact", "n_open": "open_exact"})
+    kinds = lines.groupBy("kind").agg(F.sum("n_exact").alias("n_kind"), F.sum("open_exact").alias("open_kind"))
+    read = df.select(F.col(key).alias("key"), F.col(source).alias("source"), measured(text).alias("m")).select("key", "source", "m.*")
+    joined = read.join(lines, ["kind", "before"], "left").join(kinds, "kind", "left").join(counted_words(df, text), "word", "left")
+    weighed = lambda hits, of, prior: (hits + WEIGHT * prior) / (of + WEIGHT)
+    # an open last line is among what was counted, but shows nothing about itself
+    others = lambda n: F.greatest(F.coalesce(n, F.lit(0)) - 1, F.lit(0))
+    share = weighed(others("open_exact"), others("n_exact"), weighed(others("open_kind"), others("n_kind"), F.col("no_sentence")))
+    final = weighed(F.coalesce("n_final", F.lit(0)), F.coalesce("n_word", F.lit(0)), F.col("is_final"))
+    ending = (
+        F.when(F.col("is_open").isNull(), None)
+        .when(F.col("torn"), "inside")
+        .when(~F.col("is_open"), "whole")
+        .when(share >= OPEN_KIND, F.when(F.col("unclosed"), "unclear").otherwise("whole"))
+        .when(final >= FINAL_WORD, "final")
+        .when(share >= STOP_KIND, "unclear")
+        .otherwise("inside")
+    )
+    return cut_lineage(joined.select("key", "source", ending.alias("ending"), final.alias("final_share"), *MEASURES))
 
 
 def _at_lengths(read: DataFrame) -> DataFrame:
     lengths = F.array(*(F.struct(F.lit(n).alias("measure"), F.col(n).alias("length")) for n in MEASURES))
-    return read.filter("ending is not null").select("key", "source", "ending", F.inline(lengths))
+    return read.filter("ending is not null").select("key", "source", "ending", "final_share", F.inline(lengths))
 
 
 def storage_limits(read: DataFrame) -> DataFrame:
-    """(source, measure, storage_limit, n_at, n_inside): lengths at which texts of a source stop inside sentences.
+    """(source, measure, storage_limit, n_at, n_inside): lengths at which texts of a source heap up and stop inside sentences.
 
     Counted by length first, so that what meets in a window is one row for each length of a source, not its texts.
     """
-    counted = _at_lengths(read).groupBy("source", "measure", "length").agg(F.count("*").alias("n"), F.count_if(F.col("ending") == "inside").alias("n_in"))
+    counted = _at_lengths(read).groupBy("source", "measure", "length").agg(F.count("*").alias("n"), F.count_if(F.col("ending") != "whole").alias("n_in"))
     w = Window.partitionBy("source", "measure").orderBy("length")
     total = lambda c, a, b: F.coalesce(F.sum(c).over(w.rangeBetween(a, b)), F.lit(0))
+    enough = (F.col("n_at") >= LEAST_AT_LIMIT) & (F.col("n_at") >= TIMES_MORE * F.col("around") * UNIT / NEIGHBOURS)
     return (
         counted.withColumn("n_at", total("n", 1 - UNIT, 0))
         .withColumn("n_inside", total("n_in", 1 - UNIT, 0))
-        .withColumn("around", total("n_in", -NEIGHBOURS, -UNIT) + total("n_in", 1, NEIGHBOURS))
-        .filter((F.col("n_in") > 0) & (F.col("n_inside") >= LEAST_AT_LIMIT) & (F.col("n_inside") >= TIMES_MORE * F.col("around") * UNIT / NEIGHBOURS) & (F.col("n_inside") > F.col("around")))
+        .withColumn("around", total("n", -NEIGHBOURS // 2, -UNIT) + total("n", UNIT, NEIGHBOURS // 2))
+        .filter((F.col("n_in") > 0) & enough & (F.col("n_inside") >= SHARE_AT_LIMIT * F.col("n_at")))
         .select("source", "measure", F.col("length").alias("storage_limit"), "n_at", "n_inside")
     )
 
 
-def truncated(read: DataFrame) -> DataFrame:
-    """(key, source) of the texts that were cut."""
-    plain = read.filter("ending = 'inside'").select("key", "source")
+def cuts(read: DataFrame) -> DataFrame:
+    """(key, source, step) of each text that was cut: ``limit`` where it stands at a storage limit, else ``transfer``."""
     limits = storage_limits(read).select(F.col("source").alias("l_source"), F.col("measure").alias("l_measure"), "storage_limit")
-    unclear = _at_lengths(read.filter("ending = 'unclear'"))
-    at_limit = unclear.join(
+    # a word that may well end a sentence does not excuse a text that stands at a limit
+    open_ends = _at_lengths(read).filter(F.col("ending").isin("inside", "unclear") | ((F.col("ending") == "final") & (F.col("final_share") < FINAL_WORD_AT_LIMIT)))
+    at_limit = open_ends.join(
         limits,
         F.col("source").eqNullSafe(F.col("l_source")) & (F.col("measure") == F.col("l_measure")) & F.col("length").between(F.col("storage_limit") - UNIT + 1, F.col("storage_limit")),
         "left_semi",
-    ).select("key", "source")
-    return plain.unionAll(at_limit).distinct()
+    ).select("key", "source", F.lit("limit").alias("step"))
+    elsewhere = read.filter("ending = 'inside'").select("key", "source", F.lit("transfer").alias("step"))
+    # "limit" comes first
+    return at_limit.unionAll(elsewhere).groupBy("key", "source").agg(F.min("step").alias("step"))
+
+
+def truncated(read: DataFrame) -> DataFrame:
+    """(key, source) of the texts that were cut."""
+    return cuts(read).select("key", "source")
+
+
+def cuts_by_step(read: DataFrame) -> DataFrame:
+    """(source, step, n): how many of a source's texts each step found."""
+    return cuts(read).groupBy("source", "step").agg(F.count("*").alias("n"))
 
 
 def truncation_by_source(read: DataFrame) -> DataFrame:
     """(source, n_texts, n_cut, share): of a source's texts that are not blank, those that were cut."""
     texts = read.filter("ending is not null").groupBy("source").agg(F.count("*").alias("n_texts"))
-    cuts = truncated(read).groupBy(F.col("source").alias("c_source")).agg(F.count("*").alias("n_cut"))
-    return texts.join(cuts, F.col("source").eqNullSafe(F.col("c_source")), "left").select(
+    cut = truncated(read).groupBy(F.col("source").alias("c_source")).agg(F.count("*").alias("n_cut"))
+    return texts.join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left").select(
         "source", "n_texts", F.coalesce("n_cut", F.lit(0)).alias("n_cut"), (F.coalesce("n_cut", F.lit(0)) / F.col("n_texts")).alias("share")
     )

@@ -1,6 +1,6 @@
 import pytest
 
-from statloom.llm.truncation import MEASURES, ending, readings, storage_limits, truncated, truncation_by_source
+from statloom.llm.truncation import MEASURES, cuts_by_step, ending, readings, storage_limits, truncated, truncation_by_source
 
 WHOLE = [
     "이 법은 국민이 정한다.", "정한다", "정한다 \n\n", "1. 관리번호\n2. 그 밖의 사항", "가. 작은 것", "제12장 폐기절차", "제3조(목적)", "구분 | 비고\n가 | 3일 | -", "정한다.\n<개정 2029. 5. 22.>", "정한다.\n(이하 여백)",
@@ -49,7 +49,30 @@ def test_limits_expose_unclear_cuts(spark):
     limits = {(r.measure, r.storage_limit) for r in storage_limits(read).collect()}
     assert ("code_points", 100) in limits and not any(r.source is None for r in storage_limits(read).collect())
     assert sorted(r.key for r in truncated(read).collect()) == [*inside, 200, 302]
+    steps = {(r.source, r.step): r.n for r in cuts_by_step(read).collect()}
+    assert steps["narrow", "limit"] == len(inside) + 1 and steps[None, "transfer"] == 1
     shares = {r.source: (r.n_texts, r.n_cut) for r in truncation_by_source(read).collect()}
     assert shares == {"narrow": (92, len(inside) + 1), None: (3, 1)}
     empty = readings(df.limit(0), "id", "source", "text")
     assert truncated(empty).count() == truncation_by_source(empty).count() == 0
+
+
+def test_lines_show_how_their_kind_ends(spark):
+    sentence = "이 법은 모든 국민이 지켜야 할 사항을 정한다."
+    rows = [(i, f"{sentence}\n[표 {i}] 관리번호의 수량") for i in range(40)]  # no form knows this kind of heading
+    rows += [(100 + i, f"【이유】\n1. {sentence}\n2. {sentence}") for i in range(40)]
+    rows += [(200 + i, f"{sentence}\n1. 관리번호\n2. 동의서\n3. 그 밖의 사항") for i in range(40)]
+    rows += [(300, f"【이유】\n1. {sentence}\n2. 이 법은 모든"), (301, f"{sentence}\n1. 관리번호\n2. 이 법은 모든"), (302, f"{sentence}\n이 법은 모든")]
+    read = readings(spark.createDataFrame(rows, "id long, text string").selectExpr("*", "'x' AS source"), "id", "source", "text")
+    assert sorted(r.key for r in truncated(read).collect()) == [300, 302]
+
+
+def test_whole_and_cut_texts_at_one_length(spark):
+    """A heap of whole texts is no limit; at a limit a word that may end a sentence does not excuse a text."""
+    words = "the board shall keep every record of the fee"
+    cut = [(i, (words + " and no person shall remove a record without notice")[: 60]) for i in range(20)]
+    whole = [(100 + i, "The board keeps the record of each fee it collected in full.") for i in range(20)]
+    rows = [(*r, "a") for r in cut] + [(*r, "b") for r in whole] + [(200 + i, f"The board keeps the fee {i}. " * (i + 1), s) for i in range(30) for s in "ab"]
+    read = readings(spark.createDataFrame(rows, "id long, text string, source string"), "id", "source", "text")
+    assert {r.source for r in storage_limits(read).collect()} == {"a"}
+    assert sorted(r.key for r in truncated(read).collect()) == [*range(20)]
