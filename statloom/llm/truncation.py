@@ -23,6 +23,7 @@ import html
 import json
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.llm.lookalike import LINE_ENDS, one_form
-from statloom.session import cut_lineage
+from statloom.session import written
 
 
 def _line_ends(text: str, as_long_as: int) -> int:
@@ -63,7 +64,7 @@ WEIGHT = 16
 OPEN_KIND, STOP_KIND = 0.5, 0.2
 #: Share of a word's places before a full stop from which a text after it lacks only that stop, off a limit and at one.
 FINAL_WORD, FINAL_WORD_AT_LIMIT = 0.5, 0.9
-#: Line kinds and words that one task counts before it hands the counts on.
+#: First tokens of lines that a worker remembers; it bounds memory, not what is counted.
 COUNTED = 100_000
 
 # How lines look that are no sentences, and how Korean sentences end.
@@ -143,20 +144,24 @@ def _without_notes(line: str) -> str:
     return line
 
 
-def line_kind(line: str) -> str:
-    """What ``line`` begins with, apart from its numbers; a row of a table, or a line of one token, is a kind of its own."""
-    if " | " in line:
-        return "|"
-    token = one_form(line.split(maxsplit=1)[0][:24])
+@lru_cache(COUNTED)
+def _token_kind(token: str) -> str:
+    token = one_form(token)
     if token and "①" <= token[0] <= "⑳":
         return "①"
     token = _DIGITS.sub("0", token)
     if _LETTERED.match(token):
         return "가." if token[0] >= "가" else "a."
     bracket = token.find("(", 1)
-    if bracket > 0:
-        token = token[: bracket + 1]
-    return token if " " in _without_notes(line) else token + "$"
+    return token[: bracket + 1] if bracket > 0 else token
+
+
+def line_kind(line: str) -> str:
+    """What ``line`` begins with, apart from its numbers; a row of a table, or a line of one token, is a kind of its own."""
+    if " | " in line:
+        return "|"
+    kind = _token_kind(line.split(maxsplit=1)[0][:24])
+    return kind if " " in line and " " in _without_notes(line) else kind + "$"
 
 
 def ends_open(line: str) -> bool:
@@ -177,78 +182,67 @@ def lines_of(text: str) -> list[tuple[str, str, bool, str]]:
     return out
 
 
-def final_word(line: str) -> str:
-    """The last word of ``line`` as words are counted: two syllables of a Korean one, others whole, without their figures."""
-    word = _without_notes(line).split()[-1:] or [""]
-    bare = word[0].lower().rstrip(STOPS + ",;:" + QUOTES)
+def _bare(word: str) -> str:
+    """A word as words are counted: the last two syllables of a Korean one, others whole, without their figures."""
+    bare = word.lower().rstrip(STOPS + ",;:" + QUOTES)
     return bare[-2:] if bare[-1:] >= "가" else _DIGITS.sub("0", bare)
 
 
-def counted_lines(texts: DataFrame, text: str) -> DataFrame:
-    """(kind, before, n, n_open) of all lines; each task hands on one row for each kind, not its lines."""
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, n_open = Counter(), Counter()
+def final_word(line: str) -> str:
+    return _bare((_without_notes(line).split()[-1:] or [""])[0])
 
-        def told() -> pa.RecordBatch:
-            columns = ([k for k, _ in n], [b for _, b in n], [*n.values()], [n_open[x] for x in n])
-            types = (pa.string(), pa.string(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kind", "before", "n", "n_open"])
 
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                for kind, before, is_open, _ in lines_of(x[: where_it_stops(x)]) if x else ():
-                    n[kind, before] += 1
-                    n_open[kind, before] += is_open
-            if len(n) > COUNTED:
-                yield told()
-                n.clear()
-                n_open.clear()
-        yield told()
-
-    counts = texts.select(text).mapInArrow(count, "kind string, before string, n long, n_open long")
-    return counts.groupBy("kind", "before").agg(F.sum("n").alias("n"), F.sum("n_open").alias("n_open"))
-
-
-def counted_words(texts: DataFrame, text: str) -> DataFrame:
-    """(word, n_word, n_final) of all words: how often they occur, and how often right before a full stop."""
-    word = F.rtrim("word", F.lit(QUOTES + "".join(BRACKETS)))
-    bare = F.rtrim(word, F.lit(STOPS + ",;:" + QUOTES))
-    return (
-        texts.select(F.explode(F.split(F.lower(text), r"[\s\u00a0\u2000-\u200b\u2028\u2029\u202f\u3000]+")).alias("word"))
-        .select(
-            F.when(F.right(bare, F.lit(1)) >= "가", F.right(bare, F.lit(2))).otherwise(F.regexp_replace(bare, r"\p{Nd}+", "0")).alias("word"),
-            F.right(word, F.lit(1)).isin(*STOPS).alias("final"),
-        )
-        .filter("word <> ''")
-        .groupBy("word")
-        .agg(F.count("*").alias("n_word"), F.count_if("final").alias("n_final"))
-    )
+# what is said of a text's ending, what was counted, and the lengths
+_TOLD = {
+    "kind": pa.string(), "before": pa.string(), "word": pa.string(), "is_open": pa.bool_(), "torn": pa.bool_(), "unclosed": pa.bool_(), "no_sentence": pa.float64(), "is_final": pa.float64(),
+    "n": pa.int64(), "n_hit": pa.int64(), **dict.fromkeys(MEASURES, pa.int32()),
+}
+_TOLD_DDL = ", ".join(f"{c} {({pa.string(): 'string', pa.bool_(): 'boolean', pa.float64(): 'double', pa.int64(): 'long', pa.int32(): 'int'})[t]}" for c, t in _TOLD.items())
 
 
-def measured(text: Column | str) -> Column:
-    """Column of the lengths of a text and what its ending shows; null for null and blank texts."""
-    names = [*MEASURES]
-    shown = {"kind": pa.string(), "before": pa.string(), "word": pa.string(), "is_open": pa.bool_(), "torn": pa.bool_(), "unclosed": pa.bool_(), "no_sentence": pa.float64(), "is_final": pa.float64()}
+def _shown(text: str, lines: list[tuple[str, str, bool, str]]) -> tuple:
+    """The values of _TOLD that the ending of a text gives."""
+    if not lines:
+        return "", "", "", False, False, False, 1.0, 1.0
+    kind, before, is_open, line = lines[-1]
+    form, line = ending(text), one_form(line)
+    is_final = bool(_KOREAN_FINAL.search(line))
+    return kind, before, final_word(line), is_open, text[: where_it_stops(text)].endswith("\ufffd"), bool(_OPEN.search(line)), float(form != "inside" and not is_final), float(is_final)
 
-    def show(text: str) -> tuple:
-        stop = text[: where_it_stops(text)]
-        if not stop:
-            return "", "", "", False, False, False, 1.0, 1.0
-        kind, before, is_open, line = lines_of(stop)[-1]
-        form, line = ending(stop), one_form(line)
-        is_final = bool(_KOREAN_FINAL.search(line))
-        return kind, before, final_word(line), is_open, stop.endswith("\ufffd"), bool(_OPEN.search(line)), float(form != "inside" and not is_final), float(is_final)
 
-    @F.arrow_udf(f"struct<kind:string,before:string,word:string,is_open:boolean,torn:boolean,unclosed:boolean,no_sentence:double,is_final:double,{','.join(f'{n}:int' for n in names)}>")
-    def measure(texts: pa.Array) -> pa.Array:
-        rows = [x if x and not x.isspace() else None for x in texts.to_pylist()]
-        ends = [show(x) if x else (None,) * len(shown) for x in rows]
-        columns = [pa.array([e[i] for e in ends], t) for i, t in enumerate(shown.values())]
-        columns += [pa.array([x and f(x) for x in rows], pa.int32()) for f in MEASURES.values()]
-        return pa.StructArray.from_arrays(columns, names=[*shown, *names])
+def _told(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, source, text) read once: sort ``text`` for each text, ``line`` and ``word`` for what a task counted in all of them."""
 
-    return measure(text)
+    def tell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sources, texts = batch.columns
+            texts = [x if x and not x.isspace() else None for x in texts.to_pylist()]
+            lines = [lines_of(x[: where_it_stops(x)]) if x else None for x in texts]
+            n, n_open, tokens = Counter(), Counter(), Counter()
+            for x, of in zip(texts, lines, strict=True):
+                if x:
+                    tokens.update(x.split())
+                    for kind, before, is_open, _ in of:
+                        n[kind, before] += 1
+                        n_open[kind, before] += is_open
+            words, final = Counter(), Counter()
+            for token, times in tokens.items():
+                word = token.rstrip(QUOTES + "".join(BRACKETS))
+                if bare := _bare(word):
+                    words[bare] += times
+                    final[bare] += times * (word[-1] in STOPS)
+            none = [None] * len(_TOLD)
+            ends = [(*_shown(x, of), None, None, *(f(x) for f in MEASURES.values())) if x else none for x, of in zip(texts, lines, strict=True)]
+            counts = [("line", (k, b, *none[2:8], n[k, b], n_open[k, b], *none[10:])) for k, b in n]
+            counts += [("word", (None, None, w, *none[3:8], words[w], final[w], *none[10:])) for w in words]
+            ends += [c for _, c in counts]
+            sorts = pa.array(["text"] * len(texts) + [s for s, _ in counts], pa.string())
+            first = [pa.concat_arrays([c, pa.nulls(len(counts), c.type)]) for c in (keys, sources)]
+            columns = [pa.array([e[i] for e in ends], t) for i, t in enumerate(_TOLD.values())]
+            yield pa.RecordBatch.from_arrays([sorts, *first, *columns], names=["sort", "key", "source", *_TOLD])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(tell, f"sort string, key {kinds['key']}, source {kinds['source']}, {_TOLD_DDL}")
 
 
 def readings(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
@@ -258,25 +252,29 @@ def readings(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     their lines; null for blank texts. ``final_share`` is how often the last word stands before a full stop. The form of an
     ending weighs as much as WEIGHT lines or words, so that it decides where a kind is hardly seen.
     """
-    lines = cut_lineage(counted_lines(df, text)).withColumnsRenamed({"n": "n_exact", "n_open": "open_exact"})
-    kinds = lines.groupBy("kind").agg(F.sum("n_exact").alias("n_kind"), F.sum("open_exact").alias("open_kind"))
-    read = df.select(F.col(key).alias("key"), F.col(source).alias("source"), measured(text).alias("m")).select("key", "source", "m.*")
-    joined = read.join(lines, ["kind", "before"], "left").join(kinds, "kind", "left").join(counted_words(df, text), "word", "left")
+    told = written(_told(df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).cast("string").alias("text"))))
+    lines = told.filter("sort = 'line'").groupBy("kind", "before").agg(F.sum("n").alias("n_exact"), F.sum("n_hit").alias("open_exact"))
+    kinds = told.filter("sort = 'line'").groupBy("kind").agg(F.sum("n").alias("n_kind"), F.sum("n_hit").alias("open_kind"))
+    words = told.filter("sort = 'word'").groupBy("word").agg(F.sum("n").alias("n_word"), F.sum("n_hit").alias("n_final"))
+    read = told.filter("sort = 'text'").drop("sort", "n", "n_hit")
+    # only open ends are judged by what was counted; a kind or word that half of them share is no more than a key of small tables
+    is_open = read.filter("is_open and not torn")
+    joined = is_open.join(lines, ["kind", "before"], "left").join(kinds, "kind", "left").join(words, "word", "left")
     weighed = lambda hits, of, prior: (hits + WEIGHT * prior) / (of + WEIGHT)
     # an open last line is among what was counted, but shows nothing about itself
     others = lambda n: F.greatest(F.coalesce(n, F.lit(0)) - 1, F.lit(0))
     share = weighed(others("open_exact"), others("n_exact"), weighed(others("open_kind"), others("n_kind"), F.col("no_sentence")))
     final = weighed(F.coalesce("n_final", F.lit(0)), F.coalesce("n_word", F.lit(0)), F.col("is_final"))
     ending = (
-        F.when(F.col("is_open").isNull(), None)
-        .when(F.col("torn"), "inside")
-        .when(~F.col("is_open"), "whole")
-        .when(share >= OPEN_KIND, F.when(F.col("unclosed"), "unclear").otherwise("whole"))
+        F.when(share >= OPEN_KIND, F.when(F.col("unclosed"), "unclear").otherwise("whole"))
         .when(final >= FINAL_WORD, "final")
         .when(share >= STOP_KIND, "unclear")
         .otherwise("inside")
     )
-    return cut_lineage(joined.select("key", "source", ending.alias("ending"), final.alias("final_share"), *MEASURES))
+    judged = joined.select("key", "source", ending.alias("ending"), final.alias("final_share"), *MEASURES)
+    plain = F.when(F.col("torn"), "inside").when(~F.col("is_open"), "whole")
+    rest = read.filter("not coalesce(is_open and not torn, false)").select("key", "source", plain.alias("ending"), F.lit(0.0).alias("final_share"), *MEASURES)
+    return written(judged.unionAll(rest))
 
 
 def _at_lengths(read: DataFrame) -> DataFrame:
