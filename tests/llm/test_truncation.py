@@ -72,7 +72,7 @@ def test_whole_and_cut_texts_at_one_length(spark):
     words = "The board shall keep every record of the fee"
     cut = [(i, (words + " and no person shall remove a record without notice")[: 60]) for i in range(20)]
     whole = [(100 + i, "The board keeps the record of each fee it collected in full.") for i in range(20)]
-    rows = [(*r, "a") for r in cut] + [(*r, "b") for r in whole] + [(200 + i, f"The board keeps the fee {i}. " * (i + 1), s) for i in range(90) for s in "ab"]
+    rows = [(*r, "a") for r in cut] + [(*r, "b") for r in whole] + [(200 + i, f"The board keeps fee {i} in full. " * (i + 1), s) for i in range(90) for s in "ab"]
     read = readings(spark.createDataFrame(rows, "id long, text string, source string"), "id", "source", "text")
     assert {r.source for r in storage_limits(read).collect()} == {"a"}
     assert sorted(r.key for r in truncated(read).collect()) == [*range(20)]
