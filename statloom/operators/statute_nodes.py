@@ -29,7 +29,8 @@ def statute_nodes(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """(record_id, node_level, node_path, parent_path, node_key), distinct.
 
     A ``조문`` that holds ``조문단위`` is their container, not an article. Paths join the positions from the article down;
-    a search item has its own position.
+    a search item has its own position. The parent is the row that shredding names as such, or, where that is of an element
+    between two levels, the nearest row above it that has a level.
     """
     _, nodes = inline_shared(df, id_col, json_col, {LAW_ID, LAW_MASTER_NO, ARTICLE_NO, BRANCH_NO}, REPEATABLE)
     names = F.col("path_names")
@@ -39,6 +40,8 @@ def statute_nodes(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     unit = F.array_position(names, ARTICLE_UNIT)
     start = F.when(unit > 0, unit).otherwise(F.array_position(names, ARTICLES)).cast("int")
     container = (name == ARTICLES) & F.array_contains("members", ARTICLE_UNIT)
+    # as far down as the parent row; what is inlined between it and the node has no row to link to
+    above_levels = F.transform("path_names", lambda x, i: F.when(x.isin(*LEVELS) & (i < F.col("parent_depth")), i + 1).otherwise(0))
     branch = _filled(BRANCH_NO)
     joined = lambda down_to: F.array_join(F.slice("path_positions", start, F.greatest(down_to - start + 1, F.lit(0))), ".")
     is_law = (name == SEARCH_ITEM) & (above == SEARCH)
@@ -50,7 +53,7 @@ def statute_nodes(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
             "record_id",
             "node_level",
             F.when(is_law, F.element_at("path_positions", -1).cast("string")).otherwise(joined(depth)).alias("node_path"),
-            F.when(is_law, "").otherwise(joined(depth - 1)).alias("parent_path"),
+            F.when(is_law, "").otherwise(joined(F.array_max(above_levels))).alias("parent_path"),
             F.when(is_law, F.coalesce(_filled(LAW_ID), _filled(LAW_MASTER_NO), F.lit("")))
             .when(
                 F.col("node_level") == "article",

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.operators.nested import plan_tables, row_key, schema_graph, shred
+from statloom.operators.nested import inline_shared, plan_tables, schema_graph, shred, table_of
 from statloom.operators.snapshots import snapshot_changes, validity_intervals
-from statloom.operators.statute_nodes import statute_nodes
+from statloom.operators.statute_nodes import REPEATABLE, statute_nodes
 from statloom.tables import load
 
 
@@ -26,14 +26,35 @@ def p1_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of all flat tables, with their keys and those of their parent rows."""
     payloads = _payloads(spark, sf_dir)
     nodes = shred(payloads, "record_id", "payload", plan_tables(schema_graph(payloads, "payload")))
-    return nodes.select(
-        "record_id",
-        "table_name",
-        row_key().alias("node_id"),
-        "parent_table",
-        F.when(F.col("parent_depth") > 0, row_key(F.col("parent_depth"))).alias("parent_id"),
-        F.to_json("attrs").alias("attrs"),
-    ).distinct()
+    return nodes.select("record_id", "table_name", "node_id", "parent_table", "parent_id", _json_of("attrs").alias("attrs")).distinct()
+
+
+def _json_of(attrs: str) -> Column:
+    """A map as JSON, by name, so that its order decides nothing."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(attrs))))
+
+
+# Element and columns of each flat table.
+FLAT_TABLES = {
+    "p1_laws": ("law", ["법령ID", "법령일련번호", "법령명한글", "공포일자", "시행일자"]),
+    "p1_containers": ("조문", ["조문번호", "조문가지번호", "조문제목", "조문내용"]),
+    "p1_articles": ("조문단위", ["조문번호", "조문가지번호", "조문제목", "조문내용"]),
+    "p1_paragraphs": ("항", ["항번호", "항내용"]),
+    "p1_items": ("호", ["호번호", "호내용"]),
+    "p1_subitems": ("목", ["목번호", "목내용"]),
+    "p1_cited_statutes": ("referencedStatuteIds[]", ["content"]),
+}
+
+
+def _flat_table(name: str):
+    element, columns = FLAT_TABLES[name]
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _, nodes = inline_shared(_payloads(spark, sf_dir), "record_id", "payload", {*columns, "referencedStatuteIds"}, REPEATABLE)
+        return table_of(nodes, element, columns).distinct()
+
+    query.__doc__ = f"The flat table of {element}: its columns, its key and that of its parent row."
+    return query
 
 
 _SNAPSHOT_COLUMNS = ("source", "snapshot_no", "document_id", "updated_at", ["title", "content"])
@@ -51,7 +72,7 @@ def p2_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.select("source", F.col("key").alias("document_id"), "valid_from", "valid_to")
 
 
-QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables, "p2_found": p2_found, "p2_intervals": p2_intervals}
+QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables, "p2_found": p2_found, "p2_intervals": p2_intervals} | {name: _flat_table(name) for name in FLAT_TABLES}
 
 _P2_CURRENT = """
 WITH rows_of AS (
@@ -105,7 +126,58 @@ for _name, _above, _member in (("paragraph", "article", "항"), ("item", "paragr
 _BRANCH = scalar_sql("json_extract(item, '$.조문가지번호')")
 _STRIPPED = "regexp_replace({}, '^0+(.)', '\\1')"  # one zero of zeros alone stays
 
+#: DuckDB's side of shared inlining: all elements with their ancestors, the tables that follow, and their rows.
+
+
+def _inlined_sql(declared: frozenset[str]) -> str:
+    always = "false" if not declared else "key IN (" + ", ".join(f"'{x}'" for x in sorted(declared)) + ")"
+    is_node = f"json_type(x) = 'OBJECT' AND ({always} OR NOT (len(json_keys(x)) = 1 AND coalesce(json_type(x, '$.content') NOT IN ('OBJECT', 'ARRAY', 'NULL'), false)))"
+    known = "false" if not declared else "e.name IN (" + ", ".join(f"'{x}'" for x in sorted(declared)) + ")"
+    return NODES_SQL[: NODES_SQL.index(",\nlaws AS")].replace("WITH payloads", "WITH RECURSIVE payloads") + f""",
+element AS (
+  SELECT record_id, '$' AS name, ['$'] AS names, ['$:0'] AS paths, '' AS parent, false AS listed, j AS v FROM thrice WHERE json_type(j) = 'OBJECT'
+  UNION ALL
+  SELECT record_id, key, list_append(names, key), list_append(paths, paths[-1] || '/' || key || ':' || (i - 1)), name, listed, nodes[i] FROM (
+    SELECT *, unnest(range(1, len(nodes) + 1)) AS i FROM (
+      SELECT record_id, name, names, paths, key, json_type(m) = 'ARRAY' AS listed, list_filter(CASE json_type(m) WHEN 'ARRAY' THEN json_extract(m, '$[*]') ELSE [m] END, lambda x: {is_node}) AS nodes
+      FROM (SELECT *, json_extract(v, '$."' || key || '"') AS m FROM (SELECT *, unnest(json_keys(v)) AS key FROM element)) WHERE json_type(m) IN ('OBJECT', 'ARRAY')))),
+tables AS (SELECT e.name FROM element e GROUP BY e.name HAVING e.name = '$' OR bool_or(e.listed) OR count(DISTINCT e.parent) > 1 OR {known}),
+table_names AS (SELECT list(name) AS t FROM tables),
+located AS (SELECT e.*, list_filter(range(1, len(names) + 1), lambda i: list_contains(t, names[i])) AS spots FROM element e, table_names),
+entry AS (SELECT record_id, names, paths, spots, key, json_extract(v, '$."' || key || '"') AS m FROM (SELECT *, unnest(json_keys(v)) AS key FROM located)),
+scalar AS (
+  SELECT record_id, paths[spots[-1]] AS node_id, list_aggregate(list_append(names[spots[-1] + 1:], key), 'string_agg', '.') AS name,
+         CASE json_type(m) WHEN 'OBJECT' THEN json_extract_string(m, '$.content') ELSE json_extract_string(m, '$') END AS value
+  FROM entry WHERE json_type(m) NOT IN ('OBJECT', 'ARRAY', 'NULL') OR (json_type(m) = 'OBJECT' AND json_type(m, '$.content') NOT IN ('OBJECT', 'ARRAY', 'NULL'))),
+repeated_scalar AS (
+  SELECT record_id, key || '[]' AS table_name, paths[-1] || '/' || key || '[]:' || (i - 1) AS node_id, names[spots[-1]] AS parent_table, paths[spots[-1]] AS parent_id,
+         CASE json_type(xs[i]) WHEN 'OBJECT' THEN json_extract_string(xs[i], '$.content') ELSE json_extract_string(xs[i], '$') END AS value
+  FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS i FROM (SELECT *, json_extract(m, '$[*]') AS xs FROM entry WHERE json_type(m) = 'ARRAY'))
+  WHERE json_type(xs[i]) NOT IN ('OBJECT', 'ARRAY', 'NULL') OR (json_type(xs[i]) = 'OBJECT' AND NOT ({is_node.replace("(x", "(xs[i]")}))),
+flat AS (SELECT record_id, name AS table_name, paths[-1] AS node_id, CASE WHEN len(spots) > 1 THEN names[spots[-2]] END AS parent_table, CASE WHEN len(spots) > 1 THEN paths[spots[-2]] END AS parent_id
+         FROM located WHERE spots[-1] = len(names))"""
+
+
+def _flat_sql(name: str) -> str:
+    element, columns = FLAT_TABLES[name]
+    if element.endswith("[]"):
+        return _inlined_sql(REPEATABLE) + f" SELECT DISTINCT record_id, node_id, parent_table, parent_id, value AS content FROM repeated_scalar WHERE table_name = '{element}'"
+    values = ", ".join(f"max(CASE WHEN name = '{c}' THEN value END) AS \"{c}\"" for c in columns)
+    return (
+        _inlined_sql(REPEATABLE)
+        + f""" SELECT DISTINCT f.record_id, f.node_id, parent_table, parent_id, {", ".join(f'"{c}"' for c in columns)}
+FROM flat f LEFT JOIN (SELECT record_id, node_id, {values} FROM scalar GROUP BY ALL) s ON s.record_id = f.record_id AND s.node_id = f.node_id WHERE table_name = '{element}'"""
+    )
+
+
 ORACLE_SQL = {
+    "p1_tables": _inlined_sql(frozenset())
+    + """, attrs AS (SELECT record_id, node_id, '{' || string_agg(to_json(name)::VARCHAR || ':' || to_json(value)::VARCHAR, ',' ORDER BY name) || '}' AS attrs
+          FROM (SELECT DISTINCT record_id, node_id, name, value FROM scalar) GROUP BY ALL)
+SELECT DISTINCT f.*, coalesce(attrs, '{}') AS attrs FROM flat f LEFT JOIN attrs a ON a.record_id = f.record_id AND a.node_id = f.node_id
+UNION SELECT record_id, table_name, node_id, parent_table, parent_id, '{"content":' || to_json(value)::VARCHAR || '}' FROM repeated_scalar
+""",
+    **{name: _flat_sql(name) for name in FLAT_TABLES},
     "p1_found": NODES_SQL
     + f"""
 SELECT DISTINCT record_id, 'law' AS node_level, position::VARCHAR AS node_path, '' AS parent_path,
