@@ -1,21 +1,23 @@
 """The k most similar vectors of every vector, as a block matrix join over int8 tiles.
 
-1. *Cells.* Leaders are picked on bounded samples (``SAMPLE`` rows each): a sampled vector that is closer than
-   ``LEADER`` to no leader so far is one, and leads a cell if at least ``FOLLOWERS`` of the sample belong to it. Cells whose centres are closer than ``LINK`` are one cell. Rows
-   that no leader covers are loose; while they are many, another sample is taken among them.
+1. *Cells.* Centres are learned in tasks, so that their number grows with the rows: sampled rows (int8) meet by their
+   nearest pivot, and in each such group a row that is closer than ``LEADER`` to no leader so far leads a cell. What
+   would be more than ``CELL_ROWS`` rows (data without clusters, or all close to each other), and what no leader
+   gathers, is cut at random members instead. Every row belongs to its nearest centre.
 2. *Units.* Small cells are put together, and cells of more than ``unit_rows`` vectors are split, into units of about that
-   size. Loose rows, and rows of cells too small to hold k neighbours, form units of their own.
-3. *Tiles.* A tile joins two units: a unit with itself (cell by cell), two units of one split cell, or any unit with a loose
-   one. Each row is sent to the tiles of its unit; nothing else is compared at first. In a tile the vectors are quantised to int8;
-   the product of two int8 blocks gives each cosine with an error bound, a pair survives if its upper bound reaches the
-   k-th best lower bound of either side, and survivors are recomputed in double precision and kept in order.
+   size. A tile joins a unit with itself (cell by cell), or two units of one split cell.
+3. *Tiles.* The product of two int8 blocks gives each cosine with an error bound; a pair survives if its upper bound
+   reaches the k-th best lower bound of either side. Survivors are recomputed in double precision and kept in a heap of
+   k + 1 for each row. The products of the codes are integers, and exact: below 2^24 a float32 holds every integer, so
+   the blocks go through the same matrix product as floats, several times as fast as the integer kernels at hand.
 4. *Reach.* Members of a centre lie in shells around it, each between two measured angles. By the triangle inequality a
-   vector's angle to the centre bounds its angle to all of a shell. Where that bound reaches the vector's k-th best so far,
-   the vector is also sent to the units of the shell's cell, and compared there in double precision.
-5. *Merge.* The best of all tiles are merged for each vector, and expanded to all rows that hold the vector.
+   vector's angle to the centre bounds its angle to all of a shell. Where that bound reaches the vector's k-th best so
+   far, the vector is also sent to the units of the shell's cell, and compared there in double precision.
+5. *Merge.* The sorted lists of all tiles are merged by heaps for each vector, and expanded to all rows that hold it.
 
-Cells decide what is compared first, never what is found: pairs that are left out cannot be among the best. Data without
-clusters reach everywhere, which is quadratic; nothing is capped.
+Accuracy. With ``probes`` None the result is exact: cells decide what is compared first, never what is found. This is
+quadratic where vectors have no clusters, as they reach everywhere. With a number, each vector asks that many other cells
+at most, the likeliest first, which bounds the work for each row; see the README for the measured recall.
 
 Defined cases
 - A member is an id with ``size`` finite numbers that are not all zero; nulls, other sizes and null ids are no members.
@@ -30,6 +32,8 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
+from heapq import heappush, heappushpop, merge
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +43,20 @@ from pyspark.sql import functions as F
 
 from statloom.session import written
 
-#: Most rows that one sample takes to the driver (as int8), most samples, and most cells.
-SAMPLE, SAMPLES, MOST_CELLS = 16_384, 4, 8_192
-#: Cosine from which a vector belongs to a leader; from which two centres make one cell; to its centre, below which a row is loose.
-LEADER, LINK, LOOSE = 0.5, 0.5, 0.6
-#: How many of a sample make a cell; a vector that is alone shows nothing about where its neighbours are.
-FOLLOWERS = 3
+#: Pivots are drawn from this many rows at most; a group of sampled rows has about GROUP_ROWS for each pivot.
+PIVOT_ROWS, GROUP_ROWS = 8_192, 2_048
+#: Share of the rows that centres are learned from: all of a small table, a quarter of a large one.
+LEARN_ROWS, LEARN_SHARE = 16_384, 0.25
+#: Centres that come to the driver and are broadcast (24 MB as int8). Beyond them cells grow, and none of their rows is left out.
+MOST_CELLS = 32_768
+#: Cosine from which a vector belongs to a leader.
+LEADER = 0.5
+#: How many sampled rows make a cell; a vector that is alone shows nothing about where its neighbours are.
+FOLLOWERS = 2
+#: Rows that a cell should not exceed, as a sample tells.
+CELL_ROWS = 8_192
+#: Centres that each row is compared with in full; beyond, only with those of the NEAR_GROUPS nearest groups of centres.
+DIRECT, NEAR_GROUPS = 4_096, 8
 UNIT_ROWS = 4_096
 #: Cosines at which the shells around a centre end, and by how much (in radians) float32 may misjudge two angles.
 SHELLS, SLACK = np.array([0.7, 0.8, 0.9]), 0.01
@@ -90,153 +102,167 @@ def _vector_id(row: np.ndarray) -> bytes:
 # --- cells ------------------------------------------------------------------------------------------------------------
 
 
+def _lead(sample: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centres, followers and whether each was cut at random, of one group of ``sample`` (unit rows); cells hold ``most`` of them."""
+    leaders = np.empty((0, sample.shape[1]), np.float32)
+    for start in range(0, len(sample), 512):
+        part = sample[start : start + 512]
+        free = np.ones(len(part), bool)
+        if len(leaders):
+            free &= (part @ leaders.T).max(1) < LEADER
+        near = part @ part.T
+        chosen = []
+        for i in range(len(part)):
+            if free[i]:
+                chosen.append(i)
+                free &= near[i] < LEADER
+        leaders = np.concatenate([leaders, part[chosen]])
+    own = np.concatenate([(sample[s : s + 2048] @ leaders.T).argmax(1) for s in range(0, len(sample), 2048)])
+    followers = np.bincount(own, minlength=len(leaders))
+    large, small = followers > most, followers < FOLLOWERS
+    sums = np.zeros_like(leaders)
+    np.add.at(sums, own, sample)
+    plain = ~large & ~small
+    centres, counts, cut = [sums[plain]], [followers[plain]], [np.zeros(plain.sum(), bool)]
+    for rows in [*(np.flatnonzero(own == c) for c in np.flatnonzero(large)), np.flatnonzero(small[own])]:
+        if len(rows):
+            # rows come in the order of their hash, so the first are as good as any
+            at = sample[rows[: int(-(-len(rows) // most))]]
+            nearest = (sample[rows] @ at.T).argmax(1)
+            centres.append(at)
+            counts.append(np.bincount(nearest, minlength=len(at)))
+            cut.append(np.ones(len(at), bool))
+    return np.concatenate(centres), np.concatenate(counts), np.concatenate(cut)
+
+
 class Cells:
-    """Centres and the cell of each; grows with every sample."""
-
-    def __init__(self, size: int) -> None:
-        self.centres = np.empty((0, size), np.float32)
-        self.cell = np.empty(0, np.int64)
-
-    def learn(self, sample: np.ndarray) -> None:
-        """Leaders among ``sample`` (unit rows) that no centre covers, moved to the means of their followers."""
-        leaders = np.empty((0, sample.shape[1]), np.float32)
-        for start in range(0, len(sample), 512):
-            part = sample[start : start + 512]
-            free = np.ones(len(part), bool)
-            if len(leaders):
-                free &= (part @ leaders.T).max(1) < LEADER
-            near = part @ part.T
-            chosen = []
-            for i in range(len(part)):
-                if free[i]:
-                    chosen.append(i)
-                    free &= near[i] < LEADER
-            leaders = np.concatenate([leaders, part[chosen]])
-        sums, followers = np.zeros_like(leaders), np.zeros(len(leaders), np.int64)
-        for start in range(0, len(sample), 2048):
-            part = sample[start : start + 2048]
-            best = (part @ leaders.T).argmax(1)
-            np.add.at(sums, best, part)
-            np.add.at(followers, best, 1)
-        # the largest first, should there be more than a broadcast may hold
-        order = np.argsort(-followers, kind="stable")[: MOST_CELLS - len(self.centres)]
-        sums = sums[order[followers[order] >= FOLLOWERS]]
-        norms = np.linalg.norm(sums, axis=1, keepdims=True)
-        self.centres = np.concatenate([self.centres, (sums / np.maximum(norms, 1e-9)).astype(np.float32)])
-        self._link()
-
-    def _link(self) -> None:
-        """Cells are the connected components of the centres under LINK."""
-        n = len(self.centres)
-        root = np.arange(n)
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for start in range(0, n, 1024):
-            for i, j in np.argwhere(self.centres[start : start + 1024] @ self.centres.T >= LINK):
-                a, b = find(start + i), find(j)
-                root[max(a, b)] = min(a, b)
-        self.cell = np.array([find(i) for i in range(n)], np.int64)
+    """Centres, each of which is a cell of its own, and groups of centres to search them by."""
+
+    def __init__(self, centres: np.ndarray) -> None:
+        self.centres = centres
+        self.group_of = None
+        if len(centres) > DIRECT:
+            self.heads = centres[:: int(len(centres) ** 0.5)]
+            self.group_of = np.concatenate([(centres[s : s + 2048] @ self.heads.T).argmax(1) for s in range(0, len(centres), 2048)])
+
+    def candidates(self, unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, centres) to compare: all with all, or by the groups of centres nearest to each row."""
+        if self.group_of is None:
+            yield np.arange(len(unit)), np.arange(len(self.centres))
+            return
+        near = np.argpartition(-(unit @ self.heads.T), NEAR_GROUPS, axis=1)[:, :NEAR_GROUPS]
+        for g in np.unique(near):
+            yield np.flatnonzero((near == g).any(1)), np.flatnonzero(self.group_of == g)
 
     def nearest(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Centre of each unit row, -1 for a loose one, and the cosine to it."""
-        out, cosine = np.full(len(unit), -1, np.int64), np.full(len(unit), -1, np.float32)
-        if len(self.centres):
-            for start in range(0, len(unit), 2048):
-                cosines = unit[start : start + 2048].astype(np.float32) @ self.centres.T
+        """Centre of each unit row and the cosine to it."""
+        unit = unit.astype(np.float32)
+        out, cosine = np.zeros(len(unit), np.int64), np.full(len(unit), -2, np.float32)
+
+        def settle(rows: np.ndarray, centres: np.ndarray) -> None:
+            for start in range(0, len(rows), 2048):
+                r = rows[start : start + 2048]
+                cosines = unit[r] @ self.centres[centres].T
                 best = cosines.argmax(1)
-                cosine[start : start + 2048] = top = np.take_along_axis(cosines, best[:, None], 1)[:, 0]
-                out[start : start + 2048] = np.where(top >= LOOSE, best, -1)
+                top = np.take_along_axis(cosines, best[:, None], 1)[:, 0]
+                better = top > cosine[r]
+                out[r[better]], cosine[r[better]] = centres[best[better]], top[better]
+
+        for rows, centres in self.candidates(unit):
+            settle(rows, centres)
+        if self.group_of is not None:
+            # where no centre of those groups is near, all are asked
+            settle(np.flatnonzero(cosine < LEADER), np.arange(len(self.centres)))
         return out, cosine
 
-    def cell_of(self, centre: np.ndarray) -> np.ndarray:
-        """Cell of each centre, -1 for none."""
-        return np.where(centre >= 0, self.cell[centre], -1) if len(self.cell) else np.full(len(centre), -1, np.int64)
 
-    def of(self, unit: np.ndarray) -> np.ndarray:
-        """Cell of each unit row, -1 for a loose one."""
-        return self.cell_of(self.nearest(unit)[0])
+def _merged(centres: np.ndarray, followers: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Unit centres, those with the most followers first; of leaders that are close to each other one stays."""
+    order = np.lexsort((-followers, cut))
+    unit, cut = _unit(centres[order]).astype(np.float32), cut[order]
+    kept = np.empty((0, unit.shape[1]), np.float32)
+    for start in range(0, len(unit), 1024):
+        part, own = unit[start : start + 1024], cut[start : start + 1024]
+        free = own | ((part @ kept.T).max(1) < LEADER if len(kept) else np.ones(len(part), bool))
+        near = part @ part.T
+        for i in range(len(part)):
+            if free[i] and not own[i]:
+                free[i + 1 :] &= own[i + 1 :] | (near[i, i + 1 :] < LEADER)
+        kept = np.concatenate([kept, part[free]])
+    return kept[:MOST_CELLS]
 
 
-def _per_cell(rows: DataFrame, size: int, cells) -> dict[int, int]:
-    """Distinct vectors of each cell; at most MOST_CELLS + 1 numbers come to the driver."""
+def _sampled(rows: DataFrame, size: int, share: float, salt: int) -> DataFrame:
+    """About ``share`` of the rows as int8 codes; the choice depends on ids alone."""
 
-    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, x = _members(batch, size)
-            if len(x):
-                found = {(_vector_id(row), c) for row, c in zip(x, cells.value.of(_unit(x)).tolist(), strict=True)}
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int64())], names=["vector_id", "cell"])
-
-    placed = rows.mapInArrow(place, "vector_id binary, cell long").distinct()
-    return {r.cell: r.n for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+            ids, x = _members(batch, size)
+            codes = _quantised(_unit(x))[0] if len(x) else ()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "code"])
 
+    chosen = rows.filter(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return chosen.mapInArrow(pick, "id long, code binary")
 
-def _sample(rows: DataFrame, size: int, cells, share: float) -> np.ndarray:
-    """About ``share`` of the loose rows, as unit rows of int8 precision; the choice depends on ids alone."""
 
-    def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, x = _members(batch, size)
-            if len(x):
-                unit = _unit(x)
-                codes, _, _ = _quantised(unit[cells.value.of(unit) < 0])
-                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in codes], pa.binary())], names=["code"])
-
-    chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    codes = chosen.mapInArrow(pick, "code binary").limit(2 * SAMPLE).toArrow().column("code").to_pylist()
-    if not codes:
-        return np.empty((0, size), np.float32)
+def _of_codes(codes: list[bytes]) -> np.ndarray:
     return _unit(np.stack([np.frombuffer(c, np.int8) for c in codes])).astype(np.float32)
 
 
 def fit_cells(rows: DataFrame, size: int):
-    """Cells (broadcast; at most MOST_CELLS centres) and the number of distinct vectors of each."""
+    """Cells (broadcast; at most MOST_CELLS centres); empty without a row."""
     context = rows.sparkSession.sparkContext
-    total = rows.count()
-    cells, counts, loose = Cells(size), {}, total
-    shared = context.broadcast(cells)
-    for _ in range(SAMPLES):
-        sample = _sample(rows, size, shared, min(1.0, SAMPLE / max(1, loose)))
-        if not len(sample):
-            break
-        cells.learn(sample)
-        shared = context.broadcast(cells)
-        counts = _per_cell(rows, size, shared)
-        before, loose = loose, counts.get(-1, 0)
-        # loose rows are sent to every unit: that may cost a small part of sending each row once
-        if loose * (total // UNIT_ROWS) <= total // 50 or loose > 0.9 * before or len(cells.centres) >= MOST_CELLS:
-            break
-    return shared, counts
+    total = max(1, rows.count())
+    share = max(min(1.0, LEARN_ROWS / total), LEARN_SHARE)
+    groups = max(1, int(total * share) // GROUP_ROWS)
+    first = [bytes(r.code) for r in _sampled(rows, size, min(1.0, 2 * min(groups, PIVOT_ROWS) / total), 1).select("code").limit(2 * PIVOT_ROWS).collect()]
+    pivots = _of_codes(first[:groups]) if first else np.empty((0, size), np.float32)
+    shared = context.broadcast(pivots)
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column(1).to_pylist()
+            # a pivot far from all others may stand alone: codes that no pivot is near to are spread
+            nearest = (_of_codes(codes) @ shared.value.T).argmax(1) if codes and len(shared.value) else np.zeros(len(codes), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nearest, pa.int64()), batch.column(0), batch.column(1)], names=["pivot", "id", "code"])
+
+    def learn(table: pa.Table) -> pa.Table:
+        order = np.argsort([blake2b(i.to_bytes(8, "little", signed=True), digest_size=8).digest() for i in table.column("id").to_pylist()])
+        codes = table.column("code").to_pylist()
+        centres, followers, cut = _lead(_of_codes([codes[i] for i in order]), max(1.0, CELL_ROWS * share))
+        packed = [c.tobytes() for c in _quantised(_unit(centres))[0]]
+        return pa.table({"code": pa.array(packed, pa.binary()), "followers": pa.array(followers, pa.int64()), "cut": pa.array(cut, pa.bool_())})
+
+    # a sample by pivot, equal codes once; a pivot with many rows is spread over several groups
+    placed = _sampled(rows, size, share, 2).mapInArrow(place, "pivot long, id long, code binary").groupBy("pivot", "code").agg(F.min("id").alias("id"))
+    part = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("n") / (8 * GROUP_ROWS))))
+    sizes = placed.groupBy("pivot").agg(F.count("*").alias("n")).withColumnRenamed("pivot", "of_pivot") if groups > 1 else None
+    spread = placed.join(sizes, F.col("pivot") == F.col("of_pivot")).withColumn("part", part).drop("of_pivot", "n") if sizes is not None else placed.withColumn("part", F.lit(0).cast("long"))
+    learned = spread.groupBy("pivot", "part").applyInArrow(learn, "code binary, followers long, cut boolean")
+    most = 4 * MOST_CELLS  # leaders of several groups may be one
+    found = learned.orderBy("cut", F.desc("followers"), "code").limit(most).collect()
+    if not found:
+        return context.broadcast(Cells(np.empty((0, size), np.float32)))
+    return context.broadcast(Cells(_merged(_of_codes([bytes(r.code) for r in found]), np.array([r.followers for r in found]), np.array([r.cut for r in found]))))
 
 
 def _angle(cosine: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosine, -1, 1))
 
 
-def _shells(rows: DataFrame, size: int, cells) -> list[tuple[int, float, float]]:
-    """(centre, least, greatest angle) of the members in each shell; at most four for each centre come to the driver."""
+def _shells(rows: DataFrame, size: int, cells) -> list:
+    """(centre, least, greatest angle, n) of the distinct vectors in each shell, n to a few per cent; at most four for each centre come to the driver."""
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least, greatest = {}, {}
         for batch in batches:
             _, x = _members(batch, size)
             if len(x):
                 centre, cosine = cells.value.nearest(_unit(x))
-                shell = np.searchsorted(SHELLS, cosine)
-                for c, s, a in zip(centre.tolist(), shell.tolist(), _angle(cosine).tolist(), strict=True):
-                    if c >= 0:
-                        least[c, s], greatest[c, s] = min(a, least.get((c, s), a)), max(a, greatest.get((c, s), a))
-        columns = [c for c, _ in least], [s for _, s in least], [*least.values()], [greatest[key] for key in least]
-        types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["centre", "shell", "least", "greatest"])
+                columns = [pa.array(centre, pa.int64()), pa.array(np.searchsorted(SHELLS, cosine), pa.int64()), pa.array(_angle(cosine).astype(np.float64)), pa.array([_vector_id(r) for r in x], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["centre", "shell", "angle", "vector_id"])
 
-    measured = rows.mapInArrow(measure, "centre long, shell long, least double, greatest double")
-    return [(r.centre, r.least, r.greatest) for r in measured.groupBy("centre", "shell").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest")).collect()]
+    measured = rows.mapInArrow(measure, "centre long, shell long, angle double, vector_id binary")
+    return measured.groupBy("centre", "shell").agg(F.min("angle").alias("least"), F.max("angle").alias("greatest"), F.approx_count_distinct("vector_id").alias("n")).collect()
 
 
 class Reach:
@@ -246,15 +272,33 @@ class Reach:
         self.centre = np.array([c for c, _, _ in shells], np.int64)
         self.least = np.array([a for _, a, _ in shells], np.float32)
         self.greatest = np.array([a for _, _, a in shells], np.float32)
-        self.cell = cells.cell_of(self.centre)
+        self.cell = self.centre
         self.used, self.column = np.unique(self.centre, return_inverse=True)
         self.centres = cells.centres[self.used]
 
+    def apart(self, unit: np.ndarray) -> np.ndarray:
+        """For each unit row and shell: the least angle to a member."""
+        angle = _angle(unit.astype(np.float32) @ self.centres.T)[:, self.column]
+        return np.maximum(angle - self.greatest, self.least - angle)
+
     def of(self, unit: np.ndarray, floor: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """For each unit row and shell of another cell: may a member reach the row's ``floor``?"""
-        angle = _angle(unit.astype(np.float32) @ self.centres.T)[:, self.column]
-        apart = np.maximum(angle - self.greatest, self.least - angle)
-        return (apart <= (_angle(floor) + SLACK)[:, None]) & (cell[:, None] != self.cell)
+        return (self.apart(unit) <= (_angle(floor) + SLACK)[:, None]) & (cell[:, None] != self.cell)
+
+    def likeliest(self, unit: np.ndarray, floor: np.ndarray, cell: np.ndarray, most: int | None) -> list[np.ndarray]:
+        """For each unit row the cells that it reaches, the ``most`` nearest of them at most."""
+        apart = self.apart(unit)
+        reached = (apart <= (_angle(floor) + SLACK)[:, None]) & (cell[:, None] != self.cell)
+        out = []
+        for row, angles in zip(reached, apart, strict=True):
+            at = np.flatnonzero(row)
+            if most is None or len(at) <= most:
+                out.append(np.unique(self.cell[at]))
+            else:
+                _, first = np.unique(self.cell[at[np.argsort(angles[at], kind="stable")]], return_index=True)
+                by_angle = self.cell[at[np.argsort(angles[at], kind="stable")]]
+                out.append(by_angle[np.sort(first)[:most]])
+        return out
 
 
 # --- units and tiles --------------------------------------------------------------------------------------------------
@@ -263,16 +307,12 @@ class Reach:
 class Layout:
     """Which unit a row belongs to, and which tiles a unit takes part in; its size follows the number of units."""
 
-    def __init__(self, counts: dict[int, int], k: int, unit_rows: int) -> None:
+    def __init__(self, counts: dict[int, int], unit_rows: int) -> None:
         self.first_unit: dict[int, int] = {}  # of a cell
         self.parts: dict[int, int] = {}  # units over which a cell is split
-        small = k + 1  # the rows of a cell that cannot hold k neighbours are loose as well
-        loose = sum(n for c, n in counts.items() if c < 0 or n < small)
         units, filled = 0, unit_rows
         groups: list[range] = []  # units that hold one split cell
         for cell, n in sorted(counts.items()):
-            if cell < 0 or n < small:
-                continue
             if n > unit_rows:
                 parts = -(-n // unit_rows)
                 self.first_unit[cell], self.parts[cell] = units, parts
@@ -283,31 +323,22 @@ class Layout:
                     units, filled = units + 1, 0
                 self.first_unit[cell], self.parts[cell] = units - 1, 1
                 filled += n
-        self.loose_units = range(units, units + -(-loose // unit_rows))
-        # (left unit, right unit, how the left one is joined with itself in this tile: by cell, in full or not)
-        tiles: list[tuple[int, int, str]] = []
-        for u in range(units):
-            tiles += [(u, r, "by cell" if r == self.loose_units.start else "") for r in self.loose_units] or [(u, u, "by cell")]
-        for g in [*groups, self.loose_units]:
-            tiles += [(a, b, "") for a in g for b in g if a < b]
-        tiles += [(u, u, "in full") for u in self.loose_units]
-        self.tiles = tiles
+        # (left unit, right unit): a unit with itself, or two of one split cell
+        self.tiles: list[tuple[int, int]] = [(u, u) for u in range(units)]
+        for g in groups:
+            self.tiles += [(a, b) for a in g for b in g if a < b]
         self.of_unit: dict[int, list[tuple[int, bool]]] = defaultdict(list)  # (tile, on the right?)
-        for t, (left, right, _) in enumerate(tiles):
+        for t, (left, right) in enumerate(self.tiles):
             self.of_unit[left].append((t, False))
             if right != left:
                 self.of_unit[right].append((t, True))
 
     def units(self, cell: int) -> range:
-        """All units of a cell that is not loose."""
-        first = self.first_unit.get(cell, 0)
-        return range(first, first + self.parts.get(cell, 0))
+        """All units of a cell."""
+        return range(self.first_unit[cell], self.first_unit[cell] + self.parts[cell])
 
     def unit(self, cell: int, vector_id: bytes) -> int:
-        spread = int.from_bytes(vector_id[:8], "little")
-        if cell not in self.first_unit:
-            return self.loose_units.start + spread % len(self.loose_units)
-        return self.first_unit[cell] + spread % self.parts[cell]
+        return self.first_unit[cell] + int.from_bytes(vector_id[:8], "little") % self.parts[cell]
 
 
 ROWS = "tile int, on_right boolean, cell long, vector_id binary, vector binary, ids array<long>"
@@ -331,7 +362,7 @@ def _send(rows: DataFrame, size: int, k: int, cells, layout) -> DataFrame:
             names = [*same]
             firsts = x[[same[v][0] for v in names]]
             out: list[list] = [[] for _ in range(6)]
-            for v, row, cell in zip(names, firsts, cells.value.of(_unit(firsts)), strict=True):
+            for v, row, cell in zip(names, firsts, cells.value.nearest(_unit(firsts))[0], strict=True):
                 smallest = sorted({int(ids[i]) for i in same[v]})[: k + 1]
                 for tile, on_right in layout.value.of_unit[layout.value.unit(int(cell), v)]:
                     for column, value in zip(out, (tile, on_right, int(cell), v, row.tobytes(), smallest), strict=True):
@@ -369,30 +400,40 @@ class _Side:
         for start in range(0, len(keys), 512):
             part = slice(start, start + 512)
             self.codes[part], self.scale[part], self.error[part] = _quantised(_unit(self.stored[part]))
-        self.found: list[list[tuple[float, int]]] = [[] for _ in keys]
+        self.found: list[list[tuple[float, int]]] = [[] for _ in keys]  # heaps of (cosine, -id), the worst first
         self.floor = np.full(len(keys), -2.0)
 
-    def add(self, own: np.ndarray, other: _Side, theirs: np.ndarray, cosine: np.ndarray) -> None:
+    def add(self, own: np.ndarray, other: _Side, theirs: np.ndarray, cosine: np.ndarray, most: int) -> None:
         for i, j, c in zip(own.tolist(), theirs.tolist(), cosine.tolist(), strict=True):
-            self.found[i] += [(-c, x) for x in other.ids[j]]
+            heap = self.found[i]
+            for x in other.ids[j]:
+                if len(heap) < most:
+                    heappush(heap, (c, -x))
+                elif heap[0] < (c, -x):
+                    heappushpop(heap, (c, -x))
+                else:
+                    break  # ids are in order: the others are no better
+            if len(heap) == most:
+                self.floor[i] = max(self.floor[i], heap[0][0] - 1e-9)
 
 
 def _compare(a: _Side, rows_a: slice, b: _Side, rows_b: slice, k: int) -> None:
-    """Survivors of one product of int8 blocks go to both sides; a row with itself counts as similarity 1."""
+    """Survivors of one product of int8 blocks go to the heaps of both sides; a row with itself counts as similarity 1."""
     same = a is b and rows_a == rows_b
     ea, eb = a.error[rows_a][:, None], b.error[rows_b][None, :]
-    near = (a.codes[rows_a].astype(np.float32) @ b.codes[rows_b].astype(np.float32).T) * (a.scale[rows_a][:, None] * b.scale[rows_b][None, :])
+    # integers, and exact as float32: see the head of this module
+    product = a.codes[rows_a].astype(np.float32) @ b.codes[rows_b].astype(np.float32).T
+    near = product * (a.scale[rows_a][:, None] * b.scale[rows_b][None, :])
     slack = ea + eb + ea * eb
     low, high = near - slack, near + slack
-    floor_a, floor_b = a.floor[rows_a].copy(), b.floor[rows_b].copy()
     need = k + 1  # a row's own ids are among what it finds
     if low.shape[1] > need:
-        a.floor[rows_a] = floor_a = np.maximum(floor_a, np.partition(low, -need, axis=1)[:, -need])
+        a.floor[rows_a] = np.maximum(a.floor[rows_a], np.partition(low, -need, axis=1)[:, -need])
     if not same and low.shape[0] > need:
-        b.floor[rows_b] = floor_b = np.maximum(floor_b, np.partition(low, -need, axis=0)[-need])
-    to_a = high >= floor_a[:, None]
-    survives = to_a if same else to_a | (high >= floor_b[None, :])
-    i, j = np.nonzero(survives)
+        b.floor[rows_b] = np.maximum(b.floor[rows_b], np.partition(low, -need, axis=0)[-need])
+    to_a = high >= a.floor[rows_a][:, None]
+    to_b = to_a if same else high >= b.floor[rows_b][None, :]
+    i, j = np.nonzero(to_a | to_b)
     cosine = np.empty(len(i))
     ua = _unit(a.stored[rows_a])
     ub = ua if same else _unit(b.stored[rows_b])
@@ -402,59 +443,49 @@ def _compare(a: _Side, rows_a: slice, b: _Side, rows_b: slice, k: int) -> None:
     cosine = np.clip(np.round(cosine, 12), -1, 1)
     if same:
         cosine[i == j] = 1.0
-    a.add(i + rows_a.start, b, j + rows_b.start, cosine)
-    if not same:
-        b.add(j + rows_b.start, a, i + rows_a.start, cosine)
-
-
-def _settle(side: _Side, k: int) -> None:
-    """Keep the best k + 1 of each row, and remember how good the last of them is."""
-    for i, found in enumerate(side.found):
-        if len(found) > k:
-            found = sorted(set(found))[: k + 1]
-            side.found[i] = found
-            if len(found) > k:
-                side.floor[i] = -found[-1][0] - 1e-9
+    for side, other, rows, others, own, theirs, wanted in ((a, b, rows_a, rows_b, i, j, to_a[i, j]), (b, a, rows_b, rows_a, j, i, to_b[i, j])):
+        side.add(own[wanted] + rows.start, other, theirs[wanted] + others.start, cosine[wanted], need)
+        if same:
+            break
 
 
 def _blocks(start: int, stop: int, step: int) -> list[slice]:
     return [slice(s, min(s + step, stop)) for s in range(start, stop, step)]
 
 
-def _asked(side: _Side, reach: Reach, layout: Layout, step: int = 256) -> list[list[int]]:
+def _asked(side: _Side, reach: Reach, layout: Layout, probes: int | None, step: int = 256) -> list[list[int]]:
     """Units of other cells that may hold neighbours of each row."""
     out: list[list[int]] = []
     for part in _blocks(0, len(side.names), step):
-        for row in reach.of(_unit(side.stored[part]), side.floor[part], side.cells[part]):
-            out.append(sorted({u for c in np.unique(reach.cell[row]).tolist() for u in layout.units(c)}))
+        for cells in reach.likeliest(_unit(side.stored[part]), side.floor[part], side.cells[part], probes):
+            out.append(sorted({u for c in cells.tolist() for u in layout.units(c)}))
     return out
 
 
-def _tile(table: pa.Table, reach: Reach, layout: Layout, k: int, size: int, step: int = 512) -> pa.Table:
+def _best(heap: list[tuple[float, int]]) -> list[dict]:
+    return [{"distance": -c, "id": -x} for c, x in sorted(heap, reverse=True)]
+
+
+def _tile(table: pa.Table, reach: Reach, layout: Layout, k: int, size: int, probes: int | None, step: int = 512) -> pa.Table:
     """Best k + 1 of each row of both sides within one tile, and where else to look for those of the left one."""
-    tiles = layout.tiles
-    itself = tiles[table.column("tile")[0].as_py()][2]
+    unit, other = layout.tiles[table.column("tile")[0].as_py()]
     on_right = table.column("on_right")
     left, right = _Side(table.filter(pc.invert(on_right)), k, size), _Side(table.filter(on_right), k, size)
-    if itself and left.names:
-        ends = [len(left.names)] if itself == "in full" else [*(np.flatnonzero(np.diff(left.cells)) + 1).tolist(), len(left.names)]
+    if unit == other and left.names:
+        ends = [*(np.flatnonzero(np.diff(left.cells)) + 1).tolist(), len(left.names)]
         for start, stop in zip([0, *ends], ends, strict=False):
             blocks = _blocks(start, stop, step)
             for n, x in enumerate(blocks):
                 for y in blocks[n:]:
                     _compare(left, x, left, y, k)
-        _settle(left, k)
-    if left.names and right.names:
-        for x in _blocks(0, len(left.names), step):
-            for y in _blocks(0, len(right.names), step):
-                _compare(left, x, right, y, k)
+    for x in _blocks(0, len(left.names), step):
+        for y in _blocks(0, len(right.names), step):
+            _compare(left, x, right, y, k)
     names, found, vectors, cells, floors, units = [], [], [], [], [], []
     for side in (left, right):
-        _settle(side, k)
         names += side.names
-        found += [[{"distance": d, "id": x} for d, x in best] for best in side.found]
-        # loose rows meet all others anyway
-        asked = _asked(side, reach, layout) if side is left and itself == "by cell" and len(reach.centre) else [[]] * len(side.names)
+        found += [_best(heap) for heap in side.found]
+        asked = _asked(side, reach, layout, probes) if side is left and unit == other and len(reach.centre) else [[]] * len(side.names)
         vectors += [row.tobytes() if u else None for row, u in zip(side.stored, asked, strict=True)]
         cells += side.cells.tolist()
         floors += side.floor.tolist()
@@ -510,13 +541,11 @@ def _visited(rows: DataFrame, size: int, k: int, cells, layout, parts: dict[int,
             firsts = x[[same[v][0] for v in same]]
             centre, cosine = cells.value.nearest(_unit(firsts))
             out: list[list] = [[] for _ in _VISITS]
-            for v, row, c, near, cell in zip(same, firsts, centre.tolist(), cosine.tolist(), cells.value.cell_of(centre).tolist(), strict=True):
-                if cell not in layout.value.first_unit:
-                    continue
-                unit = layout.value.unit(cell, v)
+            for v, row, c, near in zip(same, firsts, centre.tolist(), cosine.tolist(), strict=True):
+                unit = layout.value.unit(c, v)
                 smallest = sorted({int(ids[i]) for i in same[v]})[: k + 1]
                 for part in range(parts.get(unit, 0)):
-                    for column, value in zip(out, (unit * most + part, False, v, row.tobytes(), cell, None, c, near, smallest), strict=True):
+                    for column, value in zip(out, (unit * most + part, False, v, row.tobytes(), c, None, c, near, smallest), strict=True):
                         column.append(value)
             yield _visits(out)
 
@@ -574,17 +603,43 @@ def _vector_of(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(name, "id long, vector_id binary").groupBy("id").agg(F.min("vector_id").alias("vector_id"))
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int, size: int, unit_rows: int = UNIT_ROWS) -> DataFrame:
-    """(id, neighbour, similarity, rank): the k most similar members of every member, by cosine."""
+def _merge_hits(hits: DataFrame, k: int) -> DataFrame:
+    """(vector_id, hits): the best k + 1 of the sorted lists of each vector."""
+
+    def tell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = ((v, [(h["distance"], h["id"]) for h in found]) for batch in batches for v, found in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        names, best = [], []
+        for name, of_one in groupby(lists, lambda x: x[0]):
+            kept: list[dict] = []
+            for distance, x in merge(*(found for _, found in of_one)):
+                if not kept or (kept[-1]["distance"], kept[-1]["id"]) != (distance, x):
+                    kept.append({"distance": distance, "id": x})
+                if len(kept) > k:
+                    break
+            names.append(name)
+            best.append(kept)
+            if len(names) == UNIT_ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(best, _HITS)], names=["vector_id", "hits"])
+                names, best = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(best, _HITS)], names=["vector_id", "hits"])
+
+    return hits.repartition("vector_id").sortWithinPartitions("vector_id").mapInArrow(tell, HITS)
+
+
+def nearest(df: DataFrame, key: str, vector: str, k: int, size: int, unit_rows: int = UNIT_ROWS, probes: int | None = None) -> DataFrame:
+    """(id, neighbour, similarity, rank): the k most similar members of every member, by cosine; exact without ``probes``."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
-    cells, counts = fit_cells(rows, size)
-    plan = Layout(counts, k, unit_rows)
+    cells = fit_cells(rows, size)
+    measured = _shells(rows, size, cells) if len(cells.value.centres) else []
+    counts: dict[int, int] = defaultdict(int)
+    for shell in measured:
+        counts[shell.centre] += shell.n
+    plan = Layout(counts, unit_rows)
     context = rows.sparkSession.sparkContext
     layout = context.broadcast(plan)
-    # a single cell has no others, and the rows of small cells are loose
-    shells = [s for s in _shells(rows, size, cells) if int(cells.value.cell[s[0]]) in plan.first_unit] if len(plan.first_unit) > 1 else []
+    shells = [(s.centre, s.least, s.greatest) for s in measured] if len(counts) > 1 else []  # a single cell has no others
     reach = context.broadcast(Reach(shells, cells.value))
-    found = _send(rows, size, k, cells, layout).groupBy("tile").applyInArrow(lambda table: _tile(table, reach.value, layout.value, k, size), FOUND)
+    found = _send(rows, size, k, cells, layout).groupBy("tile").applyInArrow(lambda table: _tile(table, reach.value, layout.value, k, size, probes), FOUND)
     hits = found.select("vector_id", "hits")
     if shells:
         found = written(found)
@@ -595,17 +650,16 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, size: int, unit_rows:
             most = max(parts.values())
             visits = _visiting(found, parts, most).unionAll(_visited(rows, size, k, cells, layout, parts, most))
             hits = hits.unionAll(visits.groupBy("tile").applyInArrow(lambda table: _visit(table, cells.value, k, size), HITS))
-    best = hits.groupBy("vector_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), 1, k + 1).alias("hits"))
     return (
         _vector_of(rows, size)
-        .join(best, "vector_id")
+        .join(_merge_hits(hits, k), "vector_id")
         .select("id", F.slice(F.filter("hits", lambda h: h["id"] != F.col("id")), 1, k).alias("hits"))
         .select("id", F.posexplode("hits").alias("at", "hit"))
         .select("id", F.col("hit.id").alias("neighbour"), (-F.col("hit.distance")).alias("similarity"), (F.col("at") + 1).alias("rank"))
     )
 
 
-def neighbour_pairs(df: DataFrame, key: str, vector: str, k: int, size: int) -> DataFrame:
+def neighbour_pairs(df: DataFrame, key: str, vector: str, k: int, size: int, probes: int | None = None) -> DataFrame:
     """(a, b), a < b: one of the two is among the k most similar members of the other."""
-    near = nearest(df, key, vector, k, size)
+    near = nearest(df, key, vector, k, size, probes=probes)
     return near.select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b")).distinct()

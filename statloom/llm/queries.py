@@ -18,7 +18,7 @@ from statloom.tables import load
 
 PIECE_LIMIT, PIECE_OVERLAP = 1_000, 100
 CONTAINER = 4_096
-NEIGHBOURS, DIMENSIONS = 10, 768
+NEIGHBOURS, DIMENSIONS, PROBES = 10, 768, 24
 
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,13 +41,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of indexed documents of which one is among the nearest of the other."""
-    pairs = neighbour_pairs(load(spark, sf_dir, "legal_index"), "ord", "embedding", NEIGHBOURS, DIMENSIONS)
+    pairs = neighbour_pairs(load(spark, sf_dir, "legal_index"), "ord", "embedding", NEIGHBOURS, DIMENSIONS, probes=PROBES)
     return pairs.select(F.col("a").alias("ord_a"), F.col("b").alias("ord_b"))
 
 
 def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest documents of each, in order."""
-    near = nearest(load(spark, sf_dir, "legal_index"), "ord", "embedding", NEIGHBOURS, DIMENSIONS)
+    near = nearest(load(spark, sf_dir, "legal_index"), "ord", "embedding", NEIGHBOURS, DIMENSIONS, probes=PROBES)
     return near.select(F.col("id").alias("ord"), "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
 
 

@@ -49,7 +49,7 @@ def test_vectors_without_clusters_are_joined_in_full(spark):
 
 
 def test_more_loose_rows_than_a_sample_takes(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "SAMPLE", 40)
+    monkeypatch.setattr(neighbours, "LEARN_ROWS", 40)
     x = clustered(800, 32, 30, 4)
     assert recall(run(spark, range(800), x), truth([*range(800)], x, 5)) >= 0.9
 
@@ -84,16 +84,40 @@ def test_quantisation_bound_holds():
     assert (np.abs(near - unit @ unit.T) <= slack + 1e-12).all()
 
 
-@pytest.mark.parametrize("loose", [0, 700])
-def test_every_pair_of_units_that_must_meet_has_a_tile(loose):
-    plan = neighbours.Layout({-1: loose, 1: 300, 2: 20, 3: 20, 4: 900}, 5, 256)
-    met = {frozenset(t[:2]) for t in plan.tiles}
+def test_every_pair_of_units_that_must_meet_has_a_tile():
+    plan = neighbours.Layout({1: 300, 2: 20, 3: 20, 4: 900}, 256)
+    met = {frozenset(t) for t in plan.tiles}
     split = [plan.first_unit[4] + i for i in range(plan.parts[4])]
     assert plan.parts == {1: 2, 2: 1, 3: 1, 4: 4} and plan.first_unit[2] == plan.first_unit[3]
-    assert all(frozenset((a, b)) in met for a in split for b in split if a < b)
-    units = {u for t in plan.tiles for u in t[:2]}
-    assert all(frozenset((u, r)) in met for u in units for r in plan.loose_units)
-    assert sorted(t[0] for t in plan.tiles if t[2]) == sorted(units)
+    assert all(frozenset((a, b)) in met for a in split for b in split)
+    assert all(frozenset((u,)) in met for c in plan.first_unit for u in plan.units(c))
+
+
+def test_cells_grow_with_the_rows(spark, monkeypatch):
+    """Every cluster gets a centre, however few rows a group learns from, and no row is without a cell."""
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 64)
+    monkeypatch.setattr(neighbours, "LEARN_ROWS", 100)
+    for clusters in (40, 160):
+        x = clustered(clusters * 30, 48, clusters, 9)
+        df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vector array<float>")
+        centres = neighbours.fit_cells(df, 48).value.centres
+        assert clusters <= len(centres) <= 2 * clusters
+    near = neighbours.Cells(centres)
+    want = near.nearest(neighbours._unit(x))[0]
+    monkeypatch.setattr(neighbours, "DIRECT", 16)
+    got = neighbours.Cells(centres).nearest(neighbours._unit(x))[0]
+    assert (got == want).mean() > 0.97
+    assert recall(run(spark, range(len(x)), x), truth([*range(len(x))], x, 5)) == 1
+
+
+def test_bounded_probes_keep_recall(spark):
+    rng = np.random.default_rng(11)
+    x = (rng.normal(size=(2_000, 8)) @ np.linalg.qr(rng.normal(size=(48, 8)))[0].T).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "ord long, embedding array<float>")
+    found = {}
+    for r in nearest(df, "ord", "embedding", 10, 48, 256, probes=16).collect():
+        found.setdefault(r.id, []).append(r.neighbour)
+    assert recall(found, truth([*range(2_000)], x, 10)) >= 0.9
 
 
 @pytest.mark.parametrize("intrinsic", [6, 8, 12])
