@@ -3,7 +3,8 @@
 1. *Cells.* Centres are learned in tasks, so that their number grows with the rows: sampled rows (int8) meet by their
    nearest pivot, and in each such group a row that is closer than ``LEADER`` to no leader so far leads a cell. What
    would be more than ``CELL_ROWS`` rows (data without clusters, or all close to each other), and what no leader
-   gathers, is cut at random members instead. Every row belongs to its nearest centre.
+   gathers, is cut at random members instead. The few rows that are far from every centre so far are learned from again,
+   and may lead cells alone. Every row belongs to its nearest centre.
 2. *Units.* Small cells are put together, and cells of more than ``unit_rows`` vectors are split, into units of about that
    size. A tile joins a unit with itself (cell by cell), or two units of one split cell.
 3. *Tiles.* The product of two int8 blocks gives each cosine with an error bound; a pair survives if its upper bound
@@ -17,7 +18,9 @@
 
 Accuracy. With ``probes`` None the result is exact: cells decide what is compared first, never what is found. This is
 quadratic where vectors have no clusters, as they reach everywhere. With a number, each vector asks that many other cells
-at most, the likeliest first, which bounds the work for each row; see the README for the measured recall.
+at most, the likeliest first, and the bound of step 4 is sharpened: it allows that a vector and a member lie in the same
+direction from the centre; here they are aligned at most ``ALIGNED_BY`` times as well as a sample of such pairs is on
+average (in few dimensions this changes nothing). The README gives the measured recall.
 
 Defined cases
 - A member is an id with ``size`` finite numbers that are not all zero; nulls, other sizes and null ids are no members.
@@ -59,7 +62,11 @@ CELL_ROWS = 8_192
 DIRECT, NEAR_GROUPS = 4_096, 8
 UNIT_ROWS = 4_096
 #: Cosines at which the shells around a centre end, and by how much (in radians) float32 may misjudge two angles.
-SHELLS, SLACK = np.array([0.7, 0.8, 0.9]), 0.01
+SHELLS, SLACK = np.array([LEADER, 0.7, 0.8, 0.9]), 0.01
+#: Rows that no leader covers are learned from again, so many times at most, and only while they are no larger share.
+ROUNDS, STRAY_SHARE = 3, 0.05
+#: Rows that show how directions away from a centre are aligned, and by how many times their spread two may be at most.
+ALIGNED_ROWS, ALIGNED_BY = 1_024, 16
 
 
 # --- rows -------------------------------------------------------------------------------------------------------------
@@ -102,8 +109,8 @@ def _vector_id(row: np.ndarray) -> bytes:
 # --- cells ------------------------------------------------------------------------------------------------------------
 
 
-def _lead(sample: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Centres, followers and whether each was cut at random, of one group of ``sample`` (unit rows); cells hold ``most`` of them."""
+def _lead(sample: np.ndarray, most: float, fewest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centres, followers and whether each was cut at random, of one group of ``sample`` (unit rows); cells hold ``fewest`` to ``most`` of them."""
     leaders = np.empty((0, sample.shape[1]), np.float32)
     for start in range(0, len(sample), 512):
         part = sample[start : start + 512]
@@ -119,7 +126,7 @@ def _lead(sample: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.n
         leaders = np.concatenate([leaders, part[chosen]])
     own = np.concatenate([(sample[s : s + 2048] @ leaders.T).argmax(1) for s in range(0, len(sample), 2048)])
     followers = np.bincount(own, minlength=len(leaders))
-    large, small = followers > most, followers < FOLLOWERS
+    large, small = followers > most, followers < fewest
     sums = np.zeros_like(leaders)
     np.add.at(sums, own, sample)
     plain = ~large & ~small
@@ -192,13 +199,17 @@ def _merged(centres: np.ndarray, followers: np.ndarray, cut: np.ndarray) -> np.n
     return kept[:MOST_CELLS]
 
 
-def _sampled(rows: DataFrame, size: int, share: float, salt: int) -> DataFrame:
-    """About ``share`` of the rows as int8 codes; the choice depends on ids alone."""
+def _sampled(rows: DataFrame, size: int, share: float, salt: int, cells) -> DataFrame:
+    """About ``share`` of the rows that are far from all centres so far, as int8 codes; the choice depends on ids alone."""
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, x = _members(batch, size)
-            codes = _quantised(_unit(x))[0] if len(x) else ()
+            unit = _unit(x) if len(x) else x
+            if len(x) and len(cells.value.centres):
+                far = cells.value.nearest(unit)[1] < LEADER
+                ids, unit = ids[far], unit[far]
+            codes = _quantised(unit)[0] if len(unit) else ()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "code"])
 
     chosen = rows.filter(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 20)) < int(share * (1 << 20)))
@@ -209,41 +220,60 @@ def _of_codes(codes: list[bytes]) -> np.ndarray:
     return _unit(np.stack([np.frombuffer(c, np.int8) for c in codes])).astype(np.float32)
 
 
-def fit_cells(rows: DataFrame, size: int):
-    """Cells (broadcast; at most MOST_CELLS centres); empty without a row."""
+def _learned(rows: DataFrame, size: int, cells, total: int, fewest: int) -> np.ndarray:
+    """Centres for about ``total`` rows that are far from those so far; at most MOST_CELLS come to the driver."""
     context = rows.sparkSession.sparkContext
-    total = max(1, rows.count())
-    share = max(min(1.0, LEARN_ROWS / total), LEARN_SHARE)
+    share = max(min(1.0, LEARN_ROWS / max(1, total)), LEARN_SHARE)
     groups = max(1, int(total * share) // GROUP_ROWS)
-    first = [bytes(r.code) for r in _sampled(rows, size, min(1.0, 2 * min(groups, PIVOT_ROWS) / total), 1).select("code").limit(2 * PIVOT_ROWS).collect()]
-    pivots = _of_codes(first[:groups]) if first else np.empty((0, size), np.float32)
+    pivots = np.empty((0, size), np.float32)
+    if groups > 1:
+        first = _sampled(rows, size, min(1.0, 2 * min(groups, PIVOT_ROWS) / total), 1, cells).select("code").limit(min(groups, PIVOT_ROWS)).collect()
+        pivots = _of_codes([bytes(r.code) for r in first]) if first else pivots
     shared = context.broadcast(pivots)
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = batch.column(1).to_pylist()
-            # a pivot far from all others may stand alone: codes that no pivot is near to are spread
             nearest = (_of_codes(codes) @ shared.value.T).argmax(1) if codes and len(shared.value) else np.zeros(len(codes), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(nearest, pa.int64()), batch.column(0), batch.column(1)], names=["pivot", "id", "code"])
 
     def learn(table: pa.Table) -> pa.Table:
         order = np.argsort([blake2b(i.to_bytes(8, "little", signed=True), digest_size=8).digest() for i in table.column("id").to_pylist()])
         codes = table.column("code").to_pylist()
-        centres, followers, cut = _lead(_of_codes([codes[i] for i in order]), max(1.0, CELL_ROWS * share))
+        centres, followers, cut = _lead(_of_codes([codes[i] for i in order]), max(1.0, CELL_ROWS * share), fewest)
         packed = [c.tobytes() for c in _quantised(_unit(centres))[0]]
         return pa.table({"code": pa.array(packed, pa.binary()), "followers": pa.array(followers, pa.int64()), "cut": pa.array(cut, pa.bool_())})
 
-    # a sample by pivot, equal codes once; a pivot with many rows is spread over several groups
-    placed = _sampled(rows, size, share, 2).mapInArrow(place, "pivot long, id long, code binary").groupBy("pivot", "code").agg(F.min("id").alias("id"))
-    part = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("n") / (8 * GROUP_ROWS))))
-    sizes = placed.groupBy("pivot").agg(F.count("*").alias("n")).withColumnRenamed("pivot", "of_pivot") if groups > 1 else None
-    spread = placed.join(sizes, F.col("pivot") == F.col("of_pivot")).withColumn("part", part).drop("of_pivot", "n") if sizes is not None else placed.withColumn("part", F.lit(0).cast("long"))
-    learned = spread.groupBy("pivot", "part").applyInArrow(learn, "code binary, followers long, cut boolean")
-    most = 4 * MOST_CELLS  # leaders of several groups may be one
-    found = learned.orderBy("cut", F.desc("followers"), "code").limit(most).collect()
+    # equal codes count once; a pivot with many rows is spread over several groups
+    placed = _sampled(rows, size, share, 2, cells).mapInArrow(place, "pivot long, id long, code binary").groupBy("pivot", "code").agg(F.min("id").alias("id"))
+    if groups > 1:
+        placed = written(placed)  # counted, then learned from
+        sizes = placed.groupBy(F.col("pivot").alias("of_pivot")).agg(F.count("*").alias("n"))
+        part = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("n") / (8 * GROUP_ROWS))))
+        placed = placed.join(sizes, F.col("pivot") == F.col("of_pivot")).withColumn("part", part).drop("of_pivot", "n")
+    else:
+        placed = placed.withColumn("part", F.lit(0).cast("long"))
+    found = placed.groupBy("pivot", "part").applyInArrow(learn, "code binary, followers long, cut boolean").orderBy("cut", F.desc("followers"), "code").limit(2 * MOST_CELLS).collect()
     if not found:
-        return context.broadcast(Cells(np.empty((0, size), np.float32)))
-    return context.broadcast(Cells(_merged(_of_codes([bytes(r.code) for r in found]), np.array([r.followers for r in found]), np.array([r.cut for r in found]))))
+        return np.empty((0, size), np.float32)
+    return _merged(_of_codes([bytes(r.code) for r in found]), np.array([r.followers for r in found]), np.array([r.cut for r in found]))
+
+
+def fit_cells(rows: DataFrame, size: int) -> tuple:
+    """Cells (broadcast; at most MOST_CELLS centres) and the shells of their members."""
+    context = rows.sparkSession.sparkContext
+    shared, measured, fewest, strays = context.broadcast(Cells(np.empty((0, size), np.float32))), [], FOLLOWERS, rows.count()
+    for _ in range(ROUNDS):
+        more = _learned(rows, size, shared, strays, fewest)
+        if not len(more):
+            break
+        shared = context.broadcast(Cells(np.concatenate([shared.value.centres, more])[:MOST_CELLS]))
+        measured = _shells(rows, size, shared)
+        total, strays, fewest = sum(s.n for s in measured), sum(s.n for s in measured if s.shell == 0), 1
+        # many strays mean that there are no clusters to find
+        if not strays or strays > STRAY_SHARE * total:
+            break
+    return shared, measured
 
 
 def _angle(cosine: np.ndarray) -> np.ndarray:
@@ -276,31 +306,44 @@ class Reach:
         self.used, self.column = np.unique(self.centre, return_inverse=True)
         self.centres = cells.centres[self.used]
 
-    def apart(self, unit: np.ndarray) -> np.ndarray:
-        """For each unit row and shell: the least angle to a member."""
+    def most_similar(self, unit: np.ndarray, aligned: float = 1.0) -> np.ndarray:
+        """For each unit row and shell: the greatest cosine to a member, if both lie aligned by ``aligned`` around the centre."""
         angle = _angle(unit.astype(np.float32) @ self.centres.T)[:, self.column]
-        return np.maximum(angle - self.greatest, self.least - angle)
+        best = np.clip(np.arctan2(aligned * np.sin(angle), np.cos(angle)), self.least, self.greatest)
+        return np.cos(angle) * np.cos(best) + aligned * np.sin(angle) * np.sin(best)
 
     def of(self, unit: np.ndarray, floor: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """For each unit row and shell of another cell: may a member reach the row's ``floor``?"""
-        return (self.apart(unit) <= (_angle(floor) + SLACK)[:, None]) & (cell[:, None] != self.cell)
+        return (self.most_similar(unit) >= np.cos(np.minimum(_angle(floor) + SLACK, np.pi))[:, None]) & (cell[:, None] != self.cell)
 
-    def likeliest(self, unit: np.ndarray, floor: np.ndarray, cell: np.ndarray, most: int | None) -> list[np.ndarray]:
+    def likeliest(self, unit: np.ndarray, floor: np.ndarray, cell: np.ndarray, most: int | None, aligned: float) -> list[np.ndarray]:
         """For each unit row the cells that it reaches, the ``most`` nearest of them at most."""
-        apart = self.apart(unit)
-        reached = (apart <= (_angle(floor) + SLACK)[:, None]) & (cell[:, None] != self.cell)
+        similar = self.most_similar(unit, aligned)
+        reached = (similar >= np.cos(np.minimum(_angle(floor) + SLACK, np.pi))[:, None]) & (cell[:, None] != self.cell)
         out = []
-        for row, angles in zip(reached, apart, strict=True):
+        for row, cosines in zip(reached, similar, strict=True):
             at = np.flatnonzero(row)
-            if most is None or len(at) <= most:
-                out.append(np.unique(self.cell[at]))
-            else:
-                _, first = np.unique(self.cell[at[np.argsort(angles[at], kind="stable")]], return_index=True)
-                by_angle = self.cell[at[np.argsort(angles[at], kind="stable")]]
-                out.append(by_angle[np.sort(first)[:most]])
+            by_cosine = self.cell[at[np.argsort(-cosines[at], kind="stable")]]
+            _, first = np.unique(by_cosine, return_index=True)
+            out.append(by_cosine[np.sort(first)[:most]])
         return out
 
 
+def _alignment(rows: DataFrame, size: int, cells) -> float:
+    """How well a vector and a member of another cell are aligned around that cell's centre at most, by a sample of such pairs."""
+    everything = rows.sparkSession.sparkContext.broadcast(Cells(np.empty((0, size), np.float32)))
+    sample = _sampled(rows, size, min(1.0, 2 * ALIGNED_ROWS / max(1, rows.count())), 3, everything).select("code").limit(ALIGNED_ROWS).collect()
+    if len(sample) < 2:
+        return 1.0
+    x = _of_codes([bytes(r.code) for r in sample])
+    centre, cosine = cells.value.nearest(x)
+    to_centre = x @ cells.value.centres[centre].T
+    spread = np.sqrt(np.maximum(1 - to_centre**2, 1e-6) * np.maximum(1 - cosine**2, 1e-6)[None, :])
+    aligned = (x @ x.T - to_centre * cosine[None, :]) / spread
+    others = (centre[:, None] != centre[None, :]) & (cosine < 0.999)[None, :]
+    return float(min(1.0, ALIGNED_BY * np.sqrt(np.mean(aligned[others] ** 2)))) if others.any() else 1.0
+
+
 # --- units and tiles --------------------------------------------------------------------------------------------------
 
 
@@ -453,11 +496,11 @@ def _blocks(start: int, stop: int, step: int) -> list[slice]:
     return [slice(s, min(s + step, stop)) for s in range(start, stop, step)]
 
 
-def _asked(side: _Side, reach: Reach, layout: Layout, probes: int | None, step: int = 256) -> list[list[int]]:
+def _asked(side: _Side, reach: Reach, layout: Layout, probes: int | None, aligned: float, step: int = 256) -> list[list[int]]:
     """Units of other cells that may hold neighbours of each row."""
     out: list[list[int]] = []
     for part in _blocks(0, len(side.names), step):
-        for cells in reach.likeliest(_unit(side.stored[part]), side.floor[part], side.cells[part], probes):
+        for cells in reach.likeliest(_unit(side.stored[part]), side.floor[part], side.cells[part], probes, aligned):
             out.append(sorted({u for c in cells.tolist() for u in layout.units(c)}))
     return out
 
@@ -466,7 +509,7 @@ def _best(heap: list[tuple[float, int]]) -> list[dict]:
     return [{"distance": -c, "id": -x} for c, x in sorted(heap, reverse=True)]
 
 
-def _tile(table: pa.Table, reach: Reach, layout: Layout, k: int, size: int, probes: int | None, step: int = 512) -> pa.Table:
+def _tile(table: pa.Table, reach: Reach, layout: Layout, k: int, size: int, probes: int | None, aligned: float, step: int = 512) -> pa.Table:
     """Best k + 1 of each row of both sides within one tile, and where else to look for those of the left one."""
     unit, other = layout.tiles[table.column("tile")[0].as_py()]
     on_right = table.column("on_right")
@@ -485,7 +528,7 @@ def _tile(table: pa.Table, reach: Reach, layout: Layout, k: int, size: int, prob
     for side in (left, right):
         names += side.names
         found += [_best(heap) for heap in side.found]
-        asked = _asked(side, reach, layout, probes) if side is left and unit == other and len(reach.centre) else [[]] * len(side.names)
+        asked = _asked(side, reach, layout, probes, aligned) if side is left and unit == other and len(reach.centre) else [[]] * len(side.names)
         vectors += [row.tobytes() if u else None for row, u in zip(side.stored, asked, strict=True)]
         cells += side.cells.tolist()
         floors += side.floor.tolist()
@@ -629,8 +672,7 @@ def _merge_hits(hits: DataFrame, k: int) -> DataFrame:
 def nearest(df: DataFrame, key: str, vector: str, k: int, size: int, unit_rows: int = UNIT_ROWS, probes: int | None = None) -> DataFrame:
     """(id, neighbour, similarity, rank): the k most similar members of every member, by cosine; exact without ``probes``."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
-    cells = fit_cells(rows, size)
-    measured = _shells(rows, size, cells) if len(cells.value.centres) else []
+    cells, measured = fit_cells(rows, size)
     counts: dict[int, int] = defaultdict(int)
     for shell in measured:
         counts[shell.centre] += shell.n
@@ -639,7 +681,8 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, size: int, unit_rows:
     layout = context.broadcast(plan)
     shells = [(s.centre, s.least, s.greatest) for s in measured] if len(counts) > 1 else []  # a single cell has no others
     reach = context.broadcast(Reach(shells, cells.value))
-    found = _send(rows, size, k, cells, layout).groupBy("tile").applyInArrow(lambda table: _tile(table, reach.value, layout.value, k, size, probes), FOUND)
+    aligned = _alignment(rows, size, cells) if shells and probes is not None else 1.0
+    found = _send(rows, size, k, cells, layout).groupBy("tile").applyInArrow(lambda table: _tile(table, reach.value, layout.value, k, size, probes, aligned), FOUND)
     hits = found.select("vector_id", "hits")
     if shells:
         found = written(found)

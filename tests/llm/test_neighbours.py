@@ -100,7 +100,7 @@ def test_cells_grow_with_the_rows(spark, monkeypatch):
     for clusters in (40, 160):
         x = clustered(clusters * 30, 48, clusters, 9)
         df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vector array<float>")
-        centres = neighbours.fit_cells(df, 48).value.centres
+        centres = neighbours.fit_cells(df, 48)[0].value.centres
         assert clusters <= len(centres) <= 2 * clusters
     near = neighbours.Cells(centres)
     want = near.nearest(neighbours._unit(x))[0]
