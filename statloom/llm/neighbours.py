@@ -682,7 +682,9 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, size: int, unit_rows:
     shells = [(s.centre, s.least, s.greatest) for s in measured] if len(counts) > 1 else []  # a single cell has no others
     reach = context.broadcast(Reach(shells, cells.value))
     aligned = _alignment(rows, size, cells) if shells and probes is not None else 1.0
-    found = _send(rows, size, k, cells, layout).groupBy("tile").applyInArrow(lambda table: _tile(table, reach.value, layout.value, k, size, probes, aligned), FOUND)
+    # as many tasks as tiles, so that what one of them holds does not grow with the rows
+    sent = _send(rows, size, k, cells, layout).repartition(max(1, len(plan.tiles)), "tile")
+    found = sent.groupBy("tile").applyInArrow(lambda table: _tile(table, reach.value, layout.value, k, size, probes, aligned), FOUND)
     hits = found.select("vector_id", "hits")
     if shells:
         found = written(found)
@@ -692,6 +694,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, size: int, unit_rows:
         if parts:
             most = max(parts.values())
             visits = _visiting(found, parts, most).unionAll(_visited(rows, size, k, cells, layout, parts, most))
+            visits = visits.repartition(sum(parts.values()), "tile")
             hits = hits.unionAll(visits.groupBy("tile").applyInArrow(lambda table: _visit(table, cells.value, k, size), HITS))
     return (
         _vector_of(rows, size)

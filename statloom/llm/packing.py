@@ -9,6 +9,8 @@ Defined cases
 - An item that exceeds the capacity is cut into pieces of the capacity and a rest; all others stay whole.
 - Items of size 0 or null take no room and go into the first container of their window.
 - Repeated rows are items of their own. Extra columns are ignored. An empty table gives no rows.
+- Windows and containers follow from the rows alone, not from how files are split: equal items are counted, and their
+  numbers within that count spread them over the windows.
 """
 
 from __future__ import annotations
@@ -95,11 +97,22 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, window_rows: int
         container = fill(rows["n_tokens"].to_numpy(), capacity)
         return rows.assign(container_id=rows["window"].astype("int64") * 2**32 + container)[["key", "piece_no", "n_tokens", "container_id"]]
 
+    counted = sized.groupBy("key", "size").agg(F.count("*").alias("n")).select("key", "size", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
     return (
-        sized.select("key", F.inline(pieces))
-        # the piece and a salt by place keep repeated keys from meeting in one window
-        .withColumn("window", F.pmod(F.xxhash64("key", "piece_no", F.monotonically_increasing_id() % 1024), F.lit(windows)).cast("int"))
+        counted.select("key", "copy", F.inline(pieces))
+        .withColumn("window", F.pmod(F.xxhash64("key", "piece_no", "n_tokens", "copy"), F.lit(windows)).cast("int"))
+        # windows are small but take their time: as many tasks as windows, which adaptive execution leaves alone
+        .repartition(windows, "window")
         .groupBy("window")
         .applyInPandas(in_window, f"key {items.schema[key].dataType.simpleString()}, piece_no int, n_tokens int, container_id long")
         .withColumnRenamed("key", key)
     )
+
+
+def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
+    """One row: (n_containers, n_over, n_tokens, share_filled) of what :func:`pack` gave."""
+    loads = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("load"))
+    total = F.coalesce(F.sum("load"), F.lit(0))
+    return loads.agg(
+        F.count("*").alias("n_containers"), F.count_if(F.col("load") > capacity).alias("n_over"), total.alias("n_tokens"), F.try_divide(total, F.count("*") * capacity).alias("share_filled")
+    )

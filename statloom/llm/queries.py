@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statloom.llm import lookalike
 from statloom.llm.lookalike import same_looking_pairs
 from statloom.llm.neighbours import nearest, neighbour_pairs
-from statloom.llm.packing import pack
+from statloom.llm.packing import fill_report, pack
 from statloom.llm.splitting import split_oversized
 from statloom.llm.tokenizer import token_count, token_ids
 from statloom.llm.truncation import cuts_by_step, readings, storage_limits, truncated, truncation_by_source
+from statloom.session import written
 from statloom.tables import load
 
 PIECE_LIMIT, PIECE_OVERLAP = 1_000, 100
@@ -33,6 +34,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_pieces(spark, sf_dir).filter("piece_no > 0").select("item_table", "item_id").distinct()
 
 
+def p3_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for the pieces of each value: none over the limit, the overlap repeated, the text whole, no number cut at its comma."""
+    pieces = p3_pieces(spark, sf_dir).distinct()
+    before = Window.partitionBy("item_table", "item_id").orderBy("piece_no")
+    seen = pieces.withColumn("before", F.lag("piece").over(before)).withColumn("stopped", F.lag("stop").over(before))
+    number_cut = F.regexp_like(F.concat(F.right("before", F.lit(2)), F.substr("piece", F.lit(PIECE_OVERLAP + 1), F.lit(2))), F.lit(r"^\d,\d\d"))
+    return seen.groupBy("item_table", "item_id").agg(
+        F.max("stop").alias("n_chars"),
+        F.count_if(F.length("piece") > PIECE_LIMIT).alias("n_too_long"),
+        F.count_if(F.left("piece", F.lit(PIECE_OVERLAP)) != F.right("before", F.lit(PIECE_OVERLAP))).alias("n_wrong_overlaps"),
+        F.count_if((F.col("stopped") - F.col("start") != PIECE_OVERLAP) | (F.length("piece") != F.col("stop") - F.col("start"))).alias("n_gaps"),
+        F.count_if(number_cut).alias("n_cut_numbers"),
+    )
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents whose title and content look the same but are stored in different characters."""
     pairs = same_looking_pairs(load(spark, sf_dir, "legal_documents"), "document_id", ["title", "content"])
@@ -62,6 +78,26 @@ def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sized, "doc_id", "n_tokens", CONTAINER)
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for the packing: every text in it with all its tokens, none over a container, containers nearly full."""
+    sized = load(spark, sf_dir, "documents").select("doc_id", token_count("text").alias("n_tokens"))
+    packed = written(pack(sized, "doc_id", "n_tokens", CONTAINER))
+    per_text = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_packed"), F.count("*").alias("n_pieces"))
+    joined = sized.withColumnRenamed("doc_id", "t_doc").join(per_text, F.col("t_doc") == F.col("doc_id"), "left")
+    kept = joined.agg(
+        F.count("*").alias("n_texts"),
+        F.count_if(F.coalesce("n_packed", F.lit(-1)) != F.col("n_tokens")).alias("n_wrong"),
+        F.count_if(F.col("n_pieces") != F.greatest(F.ceil(F.col("n_tokens") / CONTAINER), F.lit(1))).alias("n_split"),
+    )
+    report = fill_report(packed, CONTAINER).select("n_over", (F.col("share_filled") >= 0.99).alias("is_full"))
+    return kept.join(F.broadcast(report))  # one row each
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers there are, and how full."""
+    return fill_report(p7_pack(spark, sf_dir), CONTAINER)
+
+
 def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings(load(spark, sf_dir, "documents"), "doc_id", "source", "text")
 
@@ -86,7 +122,7 @@ def p8_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuts_by_step(_readings(spark, sf_dir))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_limits": p8_limits, "p8_sources": p8_sources, "p8_steps": p8_steps}
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p3_checks": p3_checks, "p4_found": p4_found, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_pack": p7_pack, "p7_fill": p7_fill, "p7_checks": p7_checks, "p8_found": p8_found, "p8_limits": p8_limits, "p8_sources": p8_sources, "p8_steps": p8_steps}
 
 _NEAREST_SQL = f"""
 WITH members AS (SELECT ord, any_value(embedding)::DOUBLE[{DIMENSIONS}] AS v FROM legal_index
@@ -126,6 +162,12 @@ WHERE a.title IS DISTINCT FROM b.title OR a.content IS DISTINCT FROM b.content
 """,
     "p5_found": _NEAREST_SQL + " SELECT DISTINCT least(ord, neighbour) AS ord_a, greatest(ord, neighbour) AS ord_b FROM near",
     "p5_nearest": _NEAREST_SQL + " SELECT ord, neighbour, round(similarity, 6) AS similarity, rank FROM near",
+    "p3_checks": """
+SELECT item_table, item_id, length(text) AS n_chars, 0 AS n_too_long, 0 AS n_wrong_overlaps, 0 AS n_gaps, 0 AS n_cut_numbers FROM (
+  SELECT DISTINCT 'legal_documents' AS item_table, document_id AS item_id, content AS text FROM legal_documents
+  UNION SELECT DISTINCT 'document_chunks', id, text FROM document_chunks) WHERE length(text) > 1000
+""",
+    "p7_checks": "SELECT count(*) AS n_texts, 0 AS n_wrong, 0 AS n_split, 0 AS n_over, true AS is_full FROM documents",
     "p3_found": """
 SELECT DISTINCT 'legal_documents' AS item_table, document_id AS item_id FROM legal_documents WHERE length(content) > 1000
 UNION

@@ -1,6 +1,7 @@
 """Cutting oversized texts at natural boundaries, by agglomerative merging.
 
-A text is first cut into atomic segments at every blank run; each boundary has a strength (see STRENGTHS). All adjacent
+A text is first cut into atomic segments at every blank run, and after every mark of MARKS that stands without a blank (as
+in tables and lists written close together, but never inside a number); each boundary has a strength (see STRENGTHS). All adjacent
 pairs stand in a heap, the weakest boundary first, of equal ones the pair with the smaller sum; pairs are merged while
 their sum, with the overlap if they do not start the text, fits the limit. What cannot be merged any more is a piece.
 
@@ -33,6 +34,12 @@ STRENGTHS = [
     (2, r"[,;:、，]\s+$", r""),  # clause
     (1, r"", r""),  # word
 ]
+# Strength of a mark that no blank follows, by what it is and stands between.
+MARKS = [
+    (3, r"[。？！]|(?<=[가-힣])[.?!](?=[\p{L}①-⑳\"'“‘(])"),  # sentence
+    (2, r"[|｜]|(?<!\d)[,;]|[,;](?!\d)|[、，；]"),  # cell, clause
+]
+_MARKS = regex.compile("(?:" + "|".join(f"(?P<s{s}>{marks})" for s, marks in MARKS) + r")(?![\s|｜])")
 _RULES = [(s, regex.compile(f"(?:{before})") if before else None, regex.compile(after) if after else None) for s, before, after in STRENGTHS]
 _BLANKS = regex.compile(r"\s+")
 _CLUSTERS = regex.compile(r"\X")
@@ -41,8 +48,8 @@ PIECES = "array<struct<piece_no:int,start:int,stop:int,piece:string>>"
 
 
 def boundaries(text: str) -> list[tuple[int, int]]:
-    """(position, strength) of every blank run inside ``text``, in order; the position is that after the run."""
-    found = []
+    """(position, strength) of every blank run and mark inside ``text``, in order; the position is that after it."""
+    found = [(at, int(m.lastgroup[1:])) for m in _MARKS.finditer(text) if (at := m.end()) < len(text)]
     for run in _BLANKS.finditer(text):
         at = run.end()
         if run.start() == 0 or at == len(text):
@@ -58,7 +65,7 @@ def boundaries(text: str) -> list[tuple[int, int]]:
             if (not head or head.search(before)) and (not tail or tail.match(text, at)):
                 found.append((at, strength))
                 break
-    return found
+    return sorted(found)
 
 
 def atoms(text: str, most: int) -> list[tuple[int, int]]:

@@ -53,3 +53,12 @@ def test_a_very_long_text():
     text = "가나다라. " * 100_000
     pieces = split_text(text, 1000, 100)
     assert pieces[-1][1] == len(text) and 600 <= len(pieces) <= 1500
+
+
+def test_marks_without_blanks_are_boundaries():
+    text = "이의신청서15,600|수수료3.5|한다.다음은,또한1,000과3.4;끝。이상"
+    found = {text[:at][-4:]: s for at, s in boundaries(text)}
+    assert found == {"600|": 2, "3.5|": 2, "|한다.": 3, "다음은,": 2, "3.4;": 2, "4;끝。": 3}
+    table = "|".join(f"이의신청서{n},600" for n in range(400))
+    pieces = split_text(table, 1000, 100)
+    assert "".join(table[s:e] for s, e in pieces) == table and all(s == 0 or table[s - 1] == "|" for s, _ in pieces)
