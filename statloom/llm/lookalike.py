@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from statloom.session import cut_lineage
 
 # Letters of the same shape. Columns are scripts in order of preference; "." where a script has none.
-SCRIPTS = ("Latin", "Greek", "Cyrillic", "Armenian")
+SCRIPTS = ("Latin", "Greek", "Cyrillic", "Armenian", "Cherokee", "Coptic")
 SAME_SHAPE = """
 A Α А .
 B Β В .
@@ -61,6 +61,8 @@ q . ԛ գ
 s . ѕ .
 u . . ս
 v ν ѵ .
+V . Ѵ .
+l . ӏ .
 w . ԝ .
 x . х .
 y . у .
@@ -69,6 +71,34 @@ y . у .
 . Φ Ф .
 . κ к .
 """
+# Further letters of the same shape as a Latin one: Latin, Cherokee, Coptic.
+SAME_SHAPE_AS_LATIN = """
+A Ꭺ .
+B Ᏼ Ⲃ
+C Ꮯ Ⲥ
+D Ꭰ .
+E Ꭼ Ⲉ
+H Ꮋ Ⲏ
+J Ꭻ .
+K Ꮶ Ⲕ
+L Ꮮ .
+M Ꮇ Ⲙ
+N . Ⲛ
+O . Ⲟ
+P Ꮲ Ⲣ
+R Ꭱ .
+S Ꮪ .
+T Ꭲ Ⲧ
+V Ꮩ .
+W Ꮃ .
+X . Ⲭ
+Y . Ⲩ
+Z Ꮓ Ⲍ
+c . ⲥ
+o . ⲟ
+p . ⲣ
+x . ⲭ
+"""
 # Marks of the same shape; the first of a line stands for all.
 SAME_MARKS = """
 · 00B7 0387 1427 16EB 2022 2027 2219 22C5 30FB 318D 119E FF65 A78F
@@ -79,8 +109,8 @@ SAME_MARKS = """
 INVISIBLE = "034F 115F 1160 17B4 17B5 180B 180C 180D 3164 FFA0"
 LINE_ENDS = "\r\n\x0b\x0c\x85\u2028\u2029"
 
-_OTHER_SCRIPTS = regex.compile(r"[\p{Greek}\p{Cyrillic}\p{Armenian}]")
-_TOKEN = regex.compile(r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{Armenian}\p{M}]*[\p{Greek}\p{Cyrillic}\p{Armenian}][\p{Latin}\p{Greek}\p{Cyrillic}\p{Armenian}\p{M}]*")
+_OTHER_SCRIPTS = regex.compile(r"[\p{Greek}\p{Cyrillic}\p{Armenian}\p{Cherokee}\p{Coptic}]")
+_TOKEN = regex.compile(r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{Armenian}\p{Cherokee}\p{Coptic}\p{M}]*[\p{Greek}\p{Cyrillic}\p{Armenian}\p{Cherokee}\p{Coptic}][\p{Latin}\p{Greek}\p{Cyrillic}\p{Armenian}\p{Cherokee}\p{Coptic}\p{M}]*")
 
 
 @cache
@@ -90,6 +120,11 @@ def spellings() -> dict[str, dict[str, str]]:
     for line in SAME_SHAPE.split("\n"):
         row = {script: x for script, x in zip(SCRIPTS, line.split(), strict=False) if x != "."}
         table |= {x: row for x in row.values()}
+    for line in SAME_SHAPE_AS_LATIN.split("\n"):
+        if line:
+            latin, cherokee, coptic = line.split()
+            row = table.get(latin, {"Latin": latin}) | {s: x for s, x in (("Cherokee", cherokee), ("Coptic", coptic)) if x != "."}
+            table |= {x: row for x in row.values()}
     return table
 
 

@@ -57,3 +57,9 @@ def test_pairs_against_brute_force(spark):
     got = [tuple(r) for r in same_looking_pairs(df, "id", ["title", "content"]).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows)
     assert same_looking_pairs(df.limit(0), "id", ["title", "content"]).count() == 0
+
+
+def test_cherokee_coptic_and_rarer_cyrillic_letters():
+    for text, plain in (("ᎪᏚᏒ", "AᏚᏒ"), ("Ꭺct", "Act"), ("ⲟrder", "order"), ("Ѵalue", "Value"), ("ӏaw", "law")):
+        assert one_form(text) == one_form(plain)
+    assert one_form("ᏣᎳᎩ") == "ᏣᎳᎩ"
