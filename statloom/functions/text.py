@@ -18,9 +18,11 @@ PARTICLES = (
 #: The lazy head keeps at least two characters and leaves the longest particle to the tail.
 PARTICLE_TAIL = "^(.{2,}?)(" + "|".join(sorted(PARTICLES, key=len, reverse=True)) + ")$"
 CLAIM_MARKS = r"[.,!?\"'()\[\]{}:;]"
+#: White space within a line.
+INLINE_SPACE = SPACE.replace(r"\n", "")
 # Fixed value: a reference to an article, with the name of its statute where it stands before it.
 CITATION = (
-    r"(?:(?:[가-힣A-Za-z0-9·ㆍ]+[\t\x0b\f\r \x{a0}\x{3000}]){0,2}[가-힣A-Za-z0-9·ㆍ]*(?:법률|법|규칙|조례|시행령|시행규칙)[\t\x0b\f\r \x{a0}\x{3000}]*)?"
+    r"(?:(?:[가-힣A-Za-z0-9·ㆍ]+" + INLINE_SPACE + r"){0,2}[가-힣A-Za-z0-9·ㆍ]*(?:법률|법|규칙|조례|시행령|시행규칙)" + INLINE_SPACE + r"*)?"
     r"제\d+(?:-\d+)?조(?:의\d+)?(?:\([^)\n]{1,24}\))?"
 )
 

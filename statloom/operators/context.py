@@ -66,10 +66,11 @@ def overlap(terms: Column, context: Column) -> Column:
 
 def claim_support(answers: DataFrame) -> DataFrame:
     """(answer_id, claim_no, claim, score, supported) for ``answers`` (answer_id, answer, context)."""
-    return (
-        answers.select("answer_id", F.lower(F.coalesce("context", F.lit(""))).alias("context"), F.posexplode(claims(F.coalesce("answer", F.lit("")))).alias("claim_no", "claim"))
-        .withColumn("score", F.round(overlap(claim_terms("claim"), F.col("context")), 6))
-        .select("answer_id", "claim_no", "claim", "score", (F.col("score") >= SUPPORTED_FROM).alias("supported"))
+    context = F.lower(F.coalesce("context", F.lit("")))
+    # claims are scored within their row, so that no context is copied onto each of them
+    scored = F.transform(claims(F.coalesce("answer", F.lit(""))), lambda c: F.struct(c.alias("claim"), F.round(overlap(claim_terms(c), context), 6).alias("score")))
+    return answers.select("answer_id", F.posexplode(scored).alias("claim_no", "c")).select(
+        "answer_id", "claim_no", "c.claim", "c.score", (F.col("c.score") >= SUPPORTED_FROM).alias("supported")
     )
 
 

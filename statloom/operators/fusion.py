@@ -48,7 +48,8 @@ def rerank(candidates: DataFrame, queries: DataFrame, corpus: DataFrame, candida
     """(query_id, ord, score, rank): candidates by how many query terms their title and text hold, then by old rank."""
     kept = candidates.filter(F.col("rank") <= candidate_limit).select("query_id", "ord", F.col("rank").alias("old_rank"))
     terms = queries.select("query_id", letter_runs("query").alias("terms"))
-    held = corpus.select("ord", F.array_distinct(letter_runs(F.concat_ws(" ", "title", "text"))).alias("held"))
-    scored = kept.join(terms, "query_id").join(held, "ord").select("query_id", "ord", "old_rank", F.size(F.filter("terms", lambda t: F.array_contains("held", t))).alias("score"))
+    # the candidates are few: only their texts are cut into terms
+    held = kept.join(terms, "query_id").join(corpus.select("ord", "title", "text"), "ord").withColumn("held", F.array_distinct(letter_runs(F.concat_ws(" ", "title", "text"))))
+    scored = held.select("query_id", "ord", "old_rank", F.size(F.filter("terms", lambda t: F.array_contains("held", t))).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "old_rank")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).drop("old_rank")

@@ -19,10 +19,10 @@ HEADING_STRICT = r"^제\s*\d+\s*(편|장|절|관)(?=[A-Za-z0-9_])"
 
 
 def search_documents(df: DataFrame, record_id: str, payload: str, source_id: str) -> DataFrame:
-    """(record_id, position, document_id, title, text) of each search item."""
+    """(record_id, position, document_id, title, text) of each search item; its values are not trimmed."""
     _, nodes = inline_shared(df, record_id, payload, {"법령ID", "법령일련번호", "법령명한글", "법령구분명", "소관부처명", "공포일자", "시행일자"}, REPEATABLE)
     items = nodes.filter((F.col("table_name") == "law") & (F.col("parent_table") == "$"))
-    attr = lambda n: non_empty(F.col("attrs")[n])
+    attr = lambda n: F.nullif(F.col("attrs")[n], F.lit(""))
     sources = df.select(F.col(record_id).alias("s_record"), F.col(source_id).alias("s_source")).distinct()
     return (
         items.join(sources, F.col("record_id") == F.col("s_record"))
@@ -40,7 +40,7 @@ def search_documents(df: DataFrame, record_id: str, payload: str, source_id: str
 def statute_articles(df: DataFrame, record_id: str, payload: str, strict_headings: bool = False) -> DataFrame:
     """(document_id, record_id, statute_id, article, jo, title, text) of each article, one row for each document_id."""
     names = {"조문번호", "조문가지번호", "조문제목", "조문내용", "항내용", "호내용", "목내용", "법령ID", "법령명_한글", "법령명한글", "법령명", "공포일자", "시행일자"}
-    _, nodes = inline_shared(df, record_id, payload, names, REPEATABLE | {"기본정보"})
+    _, nodes = inline_shared(df, record_id, payload, names, REPEATABLE | {"기본정보", "법령"})
     attr = lambda n: non_empty(F.col("attrs")[n])
     last, path = F.element_at("path_names", -1), F.col("path_positions")
     unit = F.array_position("path_names", "조문단위")
@@ -55,15 +55,18 @@ def statute_articles(df: DataFrame, record_id: str, payload: str, strict_heading
         # an article's own lines; the paths sort them depth first
         .agg(F.transform(F.array_sort(F.collect_set(F.struct("path_positions", "line"))), lambda x: x["line"]).alias("lines"))
     )
+    # the basics of a statute stand in their own object, or in the root if there is none
+    place = F.when((last == "기본정보") & F.col("parent_table").isin("법령", "$"), 0).when(last == "법령", 1).when(last == "$", 2)
+    titles = F.coalesce(attr("법령명_한글"), attr("법령명한글"), attr("법령명"))
+    found = F.struct(attr("법령ID").alias("statute_id"), titles.alias("statute_title"), attr("공포일자").alias("promulgated"), attr("시행일자").alias("enforced"))
     basics = (
-        nodes.filter(last == "기본정보")
+        nodes.select("record_id", place.alias("place"), found.alias("found"))
+        .filter("place is not null")
+        .groupBy("record_id", "place")
+        .agg(F.struct(*(F.max(f"found.{c}").alias(c) for c in ("statute_id", "statute_title", "promulgated", "enforced"))).alias("found"))
         .groupBy("record_id")
-        .agg(
-            F.max(attr("법령ID")).alias("statute_id"),
-            F.max(F.coalesce(attr("법령명_한글"), attr("법령명한글"), attr("법령명"))).alias("statute_title"),
-            F.max(attr("공포일자")).alias("promulgated"),
-            F.max(attr("시행일자")).alias("enforced"),
-        )
+        .agg(F.min_by("found", "place").alias("found"))
+        .select("record_id", "found.*")
     )
     articles = (
         inside.filter(last.isin("조문", "조문단위") & (F.size("path_positions") == F.size("article_path")))

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statloom.functions.text import utrim
 
@@ -25,7 +26,7 @@ def fold_by_key(df: DataFrame, key: str, order: list[str], extra: list[str], sta
 
     The result has the key, the ``order`` columns and what ``step`` gives, as in ``schema``.
     """
-    names = [x.strip().split()[0] for x in schema.split(",")]
+    names = [f.name for f in T.StructType.fromDDL(schema)]
     columns = [key, *order, *extra]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,6 +46,11 @@ def fold_by_key(df: DataFrame, key: str, order: list[str], extra: list[str], sta
     return by_key.mapInArrow(run, schema)
 
 
+def _schema(df: DataFrame, columns: list[str]) -> str:
+    """DDL of the columns, with the types that ``df`` has."""
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
 def rate_limit(events: DataFrame, key: str, time_ms: str, event_id: str, most: int = 100, window_ms: int = 60_000) -> DataFrame:
     """(key, time_ms, event_id, allowed, remaining): fixed windows that start at a key's first request after the last."""
 
@@ -56,7 +62,7 @@ def rate_limit(events: DataFrame, key: str, time_ms: str, event_id: str, most: i
         used += allowed
         return (opened, used), (allowed, most - used)
 
-    return fold_by_key(events, key, [time_ms, event_id], [], lambda: (None, 0), step, f"{key} long, {time_ms} long, {event_id} long, allowed boolean, remaining long")
+    return fold_by_key(events, key, [time_ms, event_id], [], lambda: (None, 0), step, _schema(events, [key, time_ms, event_id]) + ", allowed boolean, remaining long")
 
 
 def circuit_breaker(events: DataFrame, key: str, time_ms: str, event_id: str, failed: str, failures: int = 5, reset_ms: int = 30_000) -> DataFrame:
@@ -75,7 +81,7 @@ def circuit_breaker(events: DataFrame, key: str, time_ms: str, event_id: str, fa
             name, count = "closed", 0
         return (name, count, opened), (admitted, name)
 
-    return fold_by_key(events, key, [time_ms, event_id], [failed], lambda: ("closed", 0, 0), step, f"{key} long, {time_ms} long, {event_id} long, admitted boolean, state string")
+    return fold_by_key(events, key, [time_ms, event_id], [failed], lambda: ("closed", 0, 0), step, _schema(events, [key, time_ms, event_id]) + ", admitted boolean, state string")
 
 
 def admission(requests: DataFrame, decisions: DataFrame, event_id: str, text: str, most_characters: int) -> DataFrame:

@@ -29,6 +29,12 @@ def import_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.import_policy(incoming, load(spark, sf_dir, "legal_documents"), "document_id")
 
 
+def import_policy_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delivered rows whose document is not stored."""
+    incoming = load(spark, sf_dir, "legal_document_snapshots").select("snapshot_no", "source", "document_id")
+    return store.import_policy(incoming, load(spark, sf_dir, "legal_documents"), "document_id")
+
+
 def import_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of known and unknown documents, by their order."""
     return store.import_counts(load(spark, sf_dir, "document_chunks"), load(spark, sf_dir, "legal_documents"), "document_id", "chunk_order")
@@ -127,13 +133,13 @@ def grounding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checks of each chunk as an answer that should name its document's first line and cite it."""
+    """Checks of each chunk as an answer that should name its document's first line and cite the articles that the document cites."""
     answers = _answers(spark, sf_dir).select(
         "answer_id",
         "answer",
         F.array(T.first_line("context")).alias("keywords"),
-        F.when(F.col("document_id").isNull(), F.array().cast("array<string>")).otherwise(F.array("document_id")).alias("cited"),
-        F.when(F.col("document_id").isNull(), F.array().cast("array<string>")).otherwise(F.array("document_id")).alias("expected_citations"),
+        T.citations("answer").alias("cited"),
+        F.coalesce(T.citations("context"), F.array().cast("array<string>")).alias("expected_citations"),
     )
     return C.answer_checks(answers)
 
@@ -183,6 +189,7 @@ QUERIES = {
     "search_documents": search_documents,
     "statute_articles": statute_articles,
     "import_policy": import_policy,
+    "import_policy_deliveries": import_policy_deliveries,
     "import_counts": import_counts,
     "upsert_documents": upsert_documents,
     "upsert_documents_whole": upsert_documents_whole,
@@ -233,6 +240,11 @@ def _member(item: str, name: str) -> str:
     return P.scalar_sql(f"json_extract({item}, '$.{name}')")
 
 
+def _untrimmed(item: str, name: str) -> str:
+    value = f"json_extract({item}, '$.{name}')"
+    return f"nullif(CASE json_type({value}) WHEN 'OBJECT' THEN json_extract_string({value}, '$.content') ELSE json_extract_string({value}, '$') END, '')"
+
+
 def _number(value: str) -> str:
     return f"CASE WHEN regexp_extract({value}, '^([+-]?[0-9]+)', 1) = '' THEN {value} ELSE regexp_extract({value}, '^([+-]?[0-9]+)', 1)::HUGEINT::VARCHAR END"
 
@@ -251,7 +263,7 @@ lines AS (SELECT record_id, string_split(path, '.')[1] AS article, list(line ORD
     WHERE line IS NOT NULL) GROUP BY ALL),
 basics AS (SELECT record_id, max({_member("b", "법령ID")}) AS statute_id, max(coalesce({_member("b", "법령명_한글")}, {_member("b", "법령명한글")}, {_member("b", "법령명")})) AS statute_title,
     max({_member("b", "공포일자")}) AS promulgated, max({_member("b", "시행일자")}) AS enforced
-  FROM (SELECT record_id, json_extract(r, '$.기본정보') AS b FROM roots) WHERE json_type(b) = 'OBJECT' GROUP BY ALL),
+  FROM (SELECT record_id, CASE WHEN json_type(r, '$.기본정보') = 'OBJECT' THEN json_extract(r, '$.기본정보') ELSE r END AS b FROM roots) WHERE json_type(b) = 'OBJECT' GROUP BY ALL),
 entries AS (
   SELECT DISTINCT a.record_id, a.path::INT AS place, {_number(_member("a.item", "조문번호"))} AS number, {_number(_member("a.item", "조문가지번호"))} AS branch,
     {_member("a.item", "조문제목")} AS article_title, {_member("a.item", "조문내용")} AS content, coalesce(l.lines, []) AS lines, b.statute_id, coalesce(b.statute_title, '') AS st, b.promulgated, b.enforced
@@ -284,12 +296,14 @@ _NEWEST = ", ".join(f"{c} DESC NULLS LAST" for c in ["updated_at", *(c for c in
 
 ORACLE_SQL = {
     "search_documents": P.NODES_SQL
-    + f""" SELECT DISTINCT record_id, position, coalesce({_member("item", "법령ID")}, {_member("item", "법령일련번호")}, source_id) AS document_id, coalesce({_member("item", "법령명한글")}, '') AS title,
-  concat_ws(' ', {", ".join(_member("item", n) for n in ("법령명한글", "법령구분명", "소관부처명", "공포일자", "시행일자"))}) AS text
+    + f""" SELECT DISTINCT record_id, position, coalesce({_untrimmed("item", "법령ID")}, {_untrimmed("item", "법령일련번호")}, source_id) AS document_id, coalesce({_untrimmed("item", "법령명한글")}, '') AS title,
+  concat_ws(' ', {", ".join(_untrimmed("item", n) for n in ("법령명한글", "법령구분명", "소관부처명", "공포일자", "시행일자"))}) AS text
 FROM law JOIN raw_legal_data r ON r.id = record_id""",
     "statute_articles": _ARTICLES_SQL,
     "import_policy": """
 SELECT ord, id AS document_id, source_type FROM legal_index i WHERE id IS NULL OR NOT EXISTS (SELECT 1 FROM legal_documents d WHERE d.document_id = i.id)""",
+    "import_policy_deliveries": """
+SELECT snapshot_no, source, document_id FROM legal_document_snapshots s WHERE document_id IS NULL OR document_id NOT IN (SELECT document_id FROM legal_documents WHERE document_id IS NOT NULL)""",
     "import_counts": """
 SELECT chunk_order, count(*) AS n_total, count(*) FILTER (d.document_id IS NULL) AS n_saved, count(*) FILTER (d.document_id IS NOT NULL) AS n_skipped
 FROM document_chunks c LEFT JOIN (SELECT DISTINCT document_id FROM legal_documents) d ON d.document_id = c.document_id GROUP BY chunk_order""",
@@ -341,8 +355,9 @@ SELECT count(*) AS n_answers, round(avg(grounded), 6) AS grounded_share, sum(uns
     "answer_checks": _ANSWERS
     + f""", checked AS (SELECT answer_id, trim(lower(coalesce(answer, ''))) <> '' AS not_empty,
   CASE WHEN contains(lower(coalesce(answer, '')), lower({_first_line('context')})) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS keyword_share,
-  document_id IS NOT NULL AS has_citation, 1.0::DOUBLE AS citation_share FROM answers)
-SELECT *, not_empty AND keyword_share >= 1 AND has_citation AS passed FROM checked""",
+  len({R.sql_citations("coalesce(answer, '')")}) > 0 AS has_citation, list_distinct({R.sql_citations("coalesce(context, '')")}) AS expected, list_distinct({R.sql_citations("coalesce(answer, '')")}) AS cited FROM answers),
+shared AS (SELECT answer_id, not_empty, keyword_share, has_citation, CASE WHEN len(expected) = 0 THEN 1.0::DOUBLE ELSE round(len(list_intersect(expected, cited))::DOUBLE / len(expected), 6) END AS citation_share FROM checked)
+SELECT *, not_empty AND keyword_share >= 1 AND has_citation AND citation_share >= 1 AS passed FROM shared""",
     "rate_limit": _RATE_LIMIT + " SELECT user_id, at_ms, event_id, allowed, 3 - used AS remaining FROM walk",
     "admission": _RATE_LIMIT
     + """ SELECT event_id, CASE WHEN NOT allowed THEN 429 WHEN trim(coalesce(props, '')) = '' OR length(props) > 9 OR contains(props, chr(0)) THEN 400 ELSE 200 END AS status

@@ -140,8 +140,17 @@ def sql_text(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-SPACES = sql_text(T.SPACE + "+")
-_TRIM = sql_text(f"^{T.SPACE}+|{T.SPACE}+$")
+# SQL spells its own white space, particles and reference pattern, so that a slip in the library's shows.
+_WHITE = [*range(0x9, 0xE), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+_SPACE = "[" + "".join(rf"\x{{{c:x}}}" for c in _WHITE) + "]"
+_INLINE = "[" + "".join(rf"\x{{{c:x}}}" for c in _WHITE if c != 0xA) + "]"
+# Particles that may trail a query word.
+_PARTICLES = "의 은 는 이 가 을 를 로 와 과 도 만 나 에서의 으로부터 로부터 에게서 이라는 이란 라는 란 에서 에게 으로 이나 라면 지만 라고 으로서 이라면 이지만 이라고".split()
+_SQL_CITATION = (
+    rf"(?:(?:[A-Za-z0-9가-힣·ㆍ]+{_INLINE}){{0,2}}[A-Za-z0-9가-힣·ㆍ]*(?:법률|법|규칙|조례|시행령|시행규칙){_INLINE}*)?제[0-9]+(?:-[0-9]+)?조(?:의[0-9]+)?(?:\([^)\n]{{1,24}}\))?"
+)
+SPACES = sql_text(_SPACE + "+")
+_TRIM = sql_text(f"^{_SPACE}+|{_SPACE}+$")
 
 
 def sql_trim(text: str) -> str:
@@ -154,7 +163,9 @@ def sql_words(text: str) -> str:
 
 def sql_query_terms(text: str) -> str:
     bare = f"list_filter(list_transform({sql_words(text)}, lambda x: regexp_replace(x, '[?!.,]+$', '')), lambda x: x <> '')"
-    return f"list_transform({bare}, lambda x: regexp_replace(x, {sql_text(T.PARTICLE_TAIL)}, '\\1'))"
+    longest_first = "[" + ", ".join(f"'{p}'" for p in sorted(_PARTICLES, key=len, reverse=True)) + "]"
+    fits = f"list_filter({longest_first}, lambda p: ends_with(x, p) AND length(x) - length(p) >= 2)[1]"
+    return f"list_transform({bare}, lambda x: CASE WHEN {fits} IS NULL THEN x ELSE left(x, length(x) - length({fits})) END)"
 
 
 def sql_letter_runs(text: str) -> str:
@@ -162,7 +173,8 @@ def sql_letter_runs(text: str) -> str:
 
 
 def sql_claim_terms(text: str) -> str:
-    return f"list_filter(string_split_regex(lower(regexp_replace({text}, {sql_text(T.CLAIM_MARKS)}, ' ', 'g')), {SPACES}), lambda x: x <> '')"
+    marks = sql_text(".,!?\"'()[]{}:;")
+    return f"list_filter(string_split_regex(lower(translate({text}, {marks}, repeat(' ', 14))), {SPACES}), lambda x: x <> '')"
 
 
 CORPUS = """
@@ -220,7 +232,12 @@ reranked AS (SELECT query_id, ord, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old_rank) AS rank FROM candidates) WHERE rank <= 5)"""
 
 _BARE = sql_trim("regexp_replace(x, '[*_`]', '', 'g')")
-_CITATIONS = f"list_filter(list_transform(regexp_extract_all(text, {sql_text(T.CITATION)}, 0), lambda x: {_BARE}), lambda x: x <> '')"
+
+
+def sql_citations(text: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all({text}, {sql_text(_SQL_CITATION)}, 0), lambda x: {_BARE}), lambda x: x <> '')"
+
+
 _LINES = f"list_filter(list_transform(string_split(coalesce(content, ''), chr(10)), lambda x: {sql_trim('x')}), lambda x: x <> '')"
 
 ORACLE_SQL = {
@@ -252,12 +269,12 @@ SELECT doc_id, place - 1 AS claim_no, claims[place] AS claim FROM (
   SELECT doc_id, claims, unnest(range(1, len(claims) + 1)) AS place FROM (
     SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[.!?\\n]+'), lambda x: {sql_trim('x')}), lambda x: x <> '') AS claims FROM documents))""",
     "cited_articles": f"""
-WITH found AS (SELECT doc_id, {_CITATIONS} AS c FROM documents),
+WITH found AS (SELECT doc_id, {sql_citations('text')} AS c FROM documents),
 each AS (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM found),
 firsts AS (SELECT doc_id, c[i] AS citation, min(i) AS i FROM each GROUP BY ALL)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS place, citation FROM firsts""",
     "citation_segments": f"""
-WITH cut AS (SELECT doc_id, string_split_regex(text, {sql_text(T.CITATION)}) AS gaps, regexp_extract_all(text, {sql_text(T.CITATION)}, 0) AS refs FROM documents WHERE text IS NOT NULL)
+WITH cut AS (SELECT doc_id, string_split_regex(text, {sql_text(_SQL_CITATION)}) AS gaps, regexp_extract_all(text, {sql_text(_SQL_CITATION)}, 0) AS refs FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, len(list_filter(gaps, lambda x: x <> '')) + len(refs) AS n_segments, len(refs) AS n_citations, true AS is_whole FROM cut""",
     "snippets": f"SELECT DISTINCT document_id, coalesce({_LINES}[1], '') AS snippet, string_split(document_id, ':')[1] AS prefix FROM legal_documents",
 }

@@ -43,11 +43,14 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of the cluster; set one of our own only where the session names none."""
+    """Use the shared folder of the cluster; set one of our own only where a local session names none."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
-    context.setCheckpointDir(spark.conf.get(CHECKPOINT_KEY, None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    folder = spark.conf.get(CHECKPOINT_KEY, None)
+    if not folder and not context.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_KEY} is unset: executors need a folder that they share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Readers and writers of document files and tables.
 
-A missing folder reads as an empty table with the given schema; unreadable records are null in ``_corrupt`` mode, never
-an error. Point lookups are filters, which reach the scan.
+A missing folder reads as an empty table with the given schema. An unreadable record is a row of nulls with its text in
+``_corrupt``, never an error and never lost. Point lookups are filters, which reach the scan.
 """
 
 from __future__ import annotations
@@ -26,15 +26,21 @@ CASE = "id string, caseNumber string, caseName string, court string, summary str
 
 
 def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
-    """JSON files that hold one record or an array of records each."""
+    """JSON files that hold one record or an array of records each: the columns of ``schema`` and ``_corrupt``."""
+    schema = (T.StructType.fromDDL(schema) if isinstance(schema, str) else T.StructType([*schema])).add("_corrupt", T.StringType())
     try:
-        return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+        return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in (e.getCondition() or ""):
             return spark.createDataFrame([], schema)
         raise
 
 
+def readable(df: DataFrame) -> DataFrame:
+    """The records of :func:`read_json` that could be read."""
+    return df.filter("_corrupt is null").drop("_corrupt")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -76,6 +82,22 @@ def all_documents(articles: DataFrame, cases: DataFrame) -> DataFrame:
     return articles_as_documents(articles).unionByName(cases_as_documents(cases))
 
 
+def exists(df: DataFrame, key: str, values: DataFrame) -> DataFrame:
+    """``values`` (one column, named as ``key``) with ``found``: does ``df`` hold it? Null is never found."""
+    known = df.select(F.col(key).alias("known_key")).distinct().withColumn("known", F.lit(True))
+    return values.join(known, F.col(key) == F.col("known_key"), "left").select(key, F.coalesce("known", F.lit(False)).alias("found"))
+
+
+def search_url(base: str, key: str, query, display: int = 100):
+    """Address of a statute search."""
+    return F.concat(F.lit(f"{base}?OC={key}&target=law&type=JSON&display={display}&query="), F.url_encode(query))
+
+
+def detail_url(base: str, key: str, statute_id):
+    """Address of a statute's articles."""
+    return F.concat(F.lit(f"{base}?OC={key}&target=law&type=JSON&ID="), F.url_encode(statute_id))
+
+
 def view_url(base: str, statute_id, jo=None):
     """Address of a statute, or of one of its articles."""
     url = F.concat(F.lit(f"{base}?ID="), F.url_encode(statute_id))

@@ -36,8 +36,9 @@ def rate_limit_stream(events: DataFrame, key: str, time_ms: str, most: int = 100
         state.setTimeoutDuration(idle_ms)
         yield rows[[key, time_ms]].assign(allowed=allowed, remaining=remaining)
 
+    schema = ", ".join(f"`{c}` {events.schema[c].dataType.simpleString()}" for c in (key, time_ms)) + ", allowed boolean, remaining long"
     return (
         events.select(key, time_ms)
         .groupBy(key)
-        .applyInPandasWithState(admit, f"{key} long, {time_ms} long, allowed boolean, remaining long", "opened long, used long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        .applyInPandasWithState(admit, schema, "opened long, used long", "append", GroupStateTimeout.ProcessingTimeTimeout)
     )

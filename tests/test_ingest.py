@@ -44,7 +44,7 @@ def test_search_documents(spark):
     items = [{"법령ID": " 7 ", "법령명한글": "가", "공포일자": ""}, {"법령일련번호": 8, "소관부처명": "나"}, {}]
     df = spark.createDataFrame([("r", json.dumps({"LawSearch": {"law": items}}), "src")], "id string, payload string, source_id string")
     got = {tuple(r) for r in ingest.search_documents(df, "id", "payload", "source_id").select("position", "document_id", "title", "text").collect()}
-    assert got == {(0, "7", "가", "가"), (1, "8", "", "나"), (2, "src", "", "")}
+    assert got == {(0, " 7 ", "가", "가"), (1, "8", "", "나"), (2, "src", "", "")}  # values as they are
 
 
 def test_upsert_keeps_creation_and_takes_the_latest(spark):
@@ -86,3 +86,13 @@ def test_json_documents(spark, tmp_path):
     assert sources.by_id(sources.read_json(spark, str(tmp_path / "out"), sources.DOCUMENT), "id", "c").first().title == "1"
     url = spark.createDataFrame([("0 1", None), ("2", "001502")], "id string, jo string").select(sources.view_url("http://x", F.col("id"), F.col("jo"))).collect()
     assert [r[0] for r in url] == ["http://x?ID=0+1", "http://x?ID=2&JO=001502"]
+
+
+def test_unreadable_records_are_kept(spark, tmp_path):
+    (tmp_path / "good.json").write_text('[{"id": "1"}, {"id": "2"}]')
+    (tmp_path / "bad.json").write_text('{"id": "3"')
+    got = sources.read_json(spark, str(tmp_path), sources.CASE)
+    assert sorted((r.id or "", bool(r._corrupt)) for r in got.collect()) == [("", True), ("1", False), ("2", False)]
+    assert {r.id for r in sources.readable(sources.read_json(spark, str(tmp_path), sources.CASE).cache()).collect()} == {"1", "2"}
+    asked = spark.createDataFrame([("1",), ("9",), (None,)], "id string")
+    assert {tuple(r) for r in sources.exists(got, "id", asked).collect()} == {("1", True), ("9", False), (None, False)}

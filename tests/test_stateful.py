@@ -63,3 +63,11 @@ def test_streaming_rate_limit(spark, tmp_path):
         assert query.exception() is None
     got = {(r.user, r.at): (r.allowed, r.remaining) for r in spark.read.parquet(str(out)).collect()}
     assert got == {(1, 0): (True, 1), (1, 10): (True, 0), (2, 5): (True, 1), (1, 20): (False, 0), (1, 1_000): (True, 1), (2, 6): (True, 0)}
+
+
+def test_keys_keep_their_type(spark):
+    rows = spark.createDataFrame([("a b", 0, 1, False), (None, 1, 2, True)], "`the key` string, at long, id int, failed boolean")
+    limited, broken = stateful.rate_limit(rows, "the key", "at", "id"), stateful.circuit_breaker(rows, "the key", "at", "id", "failed")
+    for df in (limited, broken):
+        assert [df.schema[c].dataType.simpleString() for c in ("the key", "at", "id")] == ["string", "bigint", "int"]
+        assert {r["the key"] for r in df.collect()} == {"a b", None}
