@@ -59,6 +59,28 @@ def prompt_text(context: DataFrame) -> DataFrame:
     return context.select("query_id", F.when(F.size("documents") > 0, grounded).otherwise(plain).alias("prompt"))
 
 
+#: What the model is told beside the prompt, and in place of a context that was not found; callers may pass their own.
+SYSTEM = "Answer from the retrieved legal context alone, and say so where it does not suffice. Cite only the listed citations, exactly as they are written, near the claims they support."
+UNGROUNDED = "No retrieved legal sources were found for this question.\nDo not answer from memory: state that no sufficient source was found, and point to the text of the statute or to a professional."
+
+
+def prompt_request(context: DataFrame, system: str = SYSTEM, ungrounded: str = UNGROUNDED) -> DataFrame:
+    """(query_id, system, prompt): the documents with their sources, the citations allowed, and the question."""
+    number = lambda i: (i + 1).cast("string")
+    documents = F.transform(
+        F.arrays_zip("documents", "citations"),
+        lambda x, i: F.concat(
+            F.lit("["), number(i), F.lit("] "), x["documents"]["title"], F.lit("\nSource: "), x["citations"]["title"], F.lit(" ("), x["citations"]["source_url"], F.lit(")\nText: "), x["documents"]["text"]
+        ),
+    )
+    cited = F.transform("citations", lambda c, i: F.concat(number(i), F.lit(". "), c["title"], F.lit(" - "), c["source_url"]))
+    grounded = F.concat(
+        F.lit("Retrieved legal context:\n"), F.array_join(documents, "\n\n"), F.lit("\n\nAvailable citations (cite only these, exactly as written):\n"), F.array_join(cited, "\n")
+    )
+    body = F.when(F.size("documents") > 0, grounded).otherwise(F.lit(ungrounded))
+    return context.select("query_id", F.lit(system).alias("system"), F.concat(body, F.lit("\n\nQuestion: "), "query").alias("prompt"))
+
+
 def overlap(terms: Column, context: Column) -> Column:
     """Share of terms that the lower-cased context contains; 1 if there is no term."""
     return F.coalesce(F.try_divide(F.size(F.filter(terms, lambda t: F.contains(context, t))), F.size(terms)), F.lit(1.0))
@@ -89,6 +111,45 @@ def grounding_report(answers: DataFrame, support: DataFrame) -> DataFrame:
     )
 
 
+def case_grounding(answers: DataFrame) -> DataFrame:
+    """(case_id, n_expected, context_coverage, grounded_answer, unsupported_claims, citation_coverage, passed) of each answered case.
+
+    ``answers`` has case_id, answer, context, and arrays expected, retrieved and cited of document ids. What is not expected
+    or cited counts as covered; an answer without claims is grounded.
+    """
+    empty = F.array().cast(answers.schema["retrieved"].dataType)
+    expected, retrieved, cited = (F.array_distinct(F.coalesce(c, empty)) for c in ("expected", "retrieved", "cited"))
+    share = lambda of: F.coalesce(F.try_divide(F.size(F.array_intersect(of, retrieved)), F.size(of)), F.lit(1.0))
+    context = F.lower(F.coalesce("context", F.lit("")))
+    scores = F.transform(claims(F.coalesce("answer", F.lit(""))), lambda c: F.round(overlap(claim_terms(c), context), 6))
+    scored = answers.select("case_id", F.size(expected).alias("n_expected"), share(expected).alias("context_coverage"), scores.alias("scores"), share(cited).alias("citation_coverage"))
+    supported = F.size(F.filter("scores", lambda s: s >= SUPPORTED_FROM))
+    out = scored.select(
+        "case_id",
+        "n_expected",
+        F.round("context_coverage", 6).alias("context_coverage"),
+        F.round(F.coalesce(F.try_divide(supported, F.size("scores")), F.lit(1.0)), 6).alias("grounded_answer"),
+        (F.size("scores") - supported).alias("unsupported_claims"),
+        F.round("citation_coverage", 6).alias("citation_coverage"),
+    )
+    passed = (F.col("context_coverage") == 1) & (F.col("grounded_answer") == 1) & (F.col("unsupported_claims") == 0) & (F.col("citation_coverage") == 1)
+    return out.withColumn("passed", passed)
+
+
+def case_grounding_report(grounding: DataFrame) -> DataFrame:
+    """One row: context coverage over the cases that expect something, all else over all cases."""
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
+    return grounding.agg(
+        F.count("*").alias("n_cases"),
+        F.count_if(F.col("n_expected") > 0).alias("n_positive"),
+        mean(F.when(F.col("n_expected") > 0, F.col("context_coverage"))).alias("context_coverage"),
+        mean("grounded_answer").alias("grounded_answer"),
+        F.coalesce(F.sum("unsupported_claims"), F.lit(0)).alias("unsupported_claims"),
+        F.count_if(F.col("unsupported_claims") > 0).alias("cases_with_unsupported"),
+        mean("citation_coverage").alias("citation_coverage"),
+    )
+
+
 def answer_checks(answers: DataFrame) -> DataFrame:
     """(answer_id, not_empty, keyword_share, has_citation, citation_share, passed).
 

@@ -9,6 +9,9 @@ of a report; precision is 0 if nothing was retrieved; an expected document that
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,6 +144,47 @@ def failure_report(analysis: DataFrame) -> DataFrame:
     return names.join(counted, "category", "left").select("category", "place", F.coalesce("n_cases", F.lit(0)).alias("n_cases"))
 
 
+def failure_summary(analysis: DataFrame) -> DataFrame:
+    """One row: how many cases apply, succeeded and failed, and the mean rank of what was found (null if nothing was)."""
+    return analysis.agg(
+        F.count("*").alias("n_applicable"), F.count_if("success").alias("n_success"), F.count_if(~F.col("success")).alias("n_failed"), F.round(F.avg("rank"), 6).alias("mean_found_rank")
+    )
+
+
+def failed_cases(analysis: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
+    """(place, case_id, query, rank, category) of the failed cases, those found best first and those never found last."""
+    failed = analysis.filter(~F.col("success")).join(queries.select(F.col("query_id").alias("case_id"), "query"), "case_id", "left")
+    kept = failed.orderBy(F.col("rank").asc_nulls_last(), "case_id").limit(top)
+    return kept.withColumn("place", F.row_number().over(Window.orderBy(F.col("rank").asc_nulls_last(), "case_id"))).select("place", "case_id", "query", "rank", "category")
+
+
+def failure_patterns(report: DataFrame, advice: dict[str, str]) -> DataFrame:
+    """(category, n_cases, recommendation) of the categories that occur, the most frequent first."""
+    known = F.create_map(*(F.lit(x) for pair in advice.items() for x in pair))
+    return report.filter("n_cases > 0").orderBy(F.desc("n_cases"), "place").select("category", "n_cases", known[F.col("category")].alias("recommendation"))
+
+
+def comparison_summary(comparison: DataFrame) -> DataFrame:
+    """One row: how many metrics improved, stayed and regressed, and whether any regressed."""
+    of = lambda s: F.count_if(F.col("status") == s)
+    return comparison.agg(
+        of("improved").alias("n_improved"), of("unchanged").alias("n_unchanged"), of("regressed").alias("n_regressed"), (of("regressed") > 0).alias("has_regressions")
+    )
+
+
+def timed(jobs: dict[str, Callable[[], DataFrame]], passes: int = 3) -> list[dict]:
+    """(name, passes, average, least, greatest) seconds of each job, its rows counted and thrown away."""
+    out = []
+    for name, job in jobs.items():
+        seconds = []
+        for _ in range(passes):
+            started = time.perf_counter()
+            job().write.format("noop").mode("overwrite").save()
+            seconds.append(time.perf_counter() - started)
+        out.append({"name": name, "passes": passes, "average": sum(seconds) / passes, "least": min(seconds), "greatest": max(seconds)})
+    return out
+
+
 def missed_documents(ranked: DataFrame, cases: DataFrame, top: int = 10) -> DataFrame:
     """(expected_ord, n_missed): the documents that were most often expected and not found among the best."""
     missed = expected_ranks(ranked, cases).filter(F.coalesce("rank", F.lit(1 << 30)) > SUCCESS_RANK)

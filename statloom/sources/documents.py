@@ -38,7 +38,7 @@ def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def readable(df: DataFrame) -> DataFrame:
     """The records of :func:`read_json` that could be read."""
-    return df.filter("_corrupt is null").drop("_corrupt")
+    return df.filter("_corrupt is null").drop("_corrupt") if "_corrupt" in df.columns else df
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -79,7 +79,8 @@ def cases_as_documents(df: DataFrame) -> DataFrame:
 
 
 def all_documents(articles: DataFrame, cases: DataFrame) -> DataFrame:
-    return articles_as_documents(articles).unionByName(cases_as_documents(cases))
+    """Both as documents, without the records that could not be read."""
+    return articles_as_documents(readable(articles)).unionByName(cases_as_documents(readable(cases)))
 
 
 def exists(df: DataFrame, key: str, values: DataFrame) -> DataFrame:
