@@ -2,8 +2,9 @@
 
 A token matches a text that contains it, also inside a word. Tokens hold no white space, so it is enough to look into the
 distinct words of the corpus: words and tokens meet in an equi-join on the token's first two characters, and only words
-that match are joined back to the documents. Neither side is broadcast by hand, and no pair of query and document is
-formed unless they share a token.
+that match are joined back to the documents. That list of words is written and counted first: up to MOST_BROADCAST rows
+are broadcast, so that the documents' words stay where they are, more are joined by shuffle. No pair of query and
+document is formed unless they share a token.
 
 Defined cases: null titles and texts match nothing; a query without tokens has no result; repeated query tokens count
 each time; equal queries are scored once; ties keep the order of ``ord``.
@@ -21,6 +22,8 @@ from statloom.session import written
 
 #: Scores are rounded before they are ranked, so that the order of summation decides nothing.
 DIGITS = 6
+#: Rows of (word, token) that are broadcast, some 10 MB; more meet the documents' words in a shuffle.
+MOST_BROADCAST = 200_000
 
 
 @dataclass(frozen=True)
@@ -86,8 +89,8 @@ def matches(corpus: DataFrame, tokens: DataFrame) -> DataFrame:
     vocabulary = in_words.select("word").filter("word <> ''").distinct()
     starts = vocabulary.select("word", F.explode(_starts(F.col("word"))).alias("start"))
     keyed = tokens.select("token", F.substring("token", 1, 2).alias("token_start"))
-    hits = starts.join(keyed, F.col("start") == F.col("token_start")).filter(F.contains("word", "token")).select("word", "token").distinct()
-    return in_words.join(hits, "word").groupBy("ord", "token").agg(F.bool_or("of_title").alias("in_title"), F.bool_or(~F.col("of_title")).alias("in_text"))
+    hits = written(starts.join(keyed, F.col("start") == F.col("token_start")).filter(F.contains("word", "token")).select("word", "token").distinct())
+    return in_words.join(F.broadcast(hits) if hits.count() <= MOST_BROADCAST else hits, "word").groupBy("ord", "token").agg(F.bool_or("of_title").alias("in_title"), F.bool_or(~F.col("of_title")).alias("in_text"))
 
 
 def ranked(scored: DataFrame, size: int | None) -> DataFrame:
@@ -122,12 +125,19 @@ def document_frequency(corpus: DataFrame, tokens: DataFrame, found: DataFrame |
     return counted.join(F.broadcast(total)).select("token", df.alias("df"), F.ln(1 + (F.col("total") - df + 0.5) / (df + 0.5)).alias("idf"))
 
 
-def bm25_search(corpus: DataFrame, queries: DataFrame, config: Bm25Config = PRODUCTION) -> DataFrame:
-    """(query, ord, score, rank): idf of the tokens in each field, boosted; the best field and a share of the other."""
+def weighted_matches(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """The matches of all query terms, written: every search of these queries reads them, however it is configured."""
+    return written(matches(corpus, query_tokens(queries, query_terms).select("token").distinct()))
+
+
+def bm25_search(corpus: DataFrame, queries: DataFrame, config: Bm25Config = PRODUCTION, found: DataFrame | None = None) -> DataFrame:
+    """(query, ord, score, rank): idf of the tokens in each field, boosted; the best field and a share of the other.
+
+    ``found`` are the :func:`weighted_matches` of these queries, where several searches share them.
+    """
     tokens = query_tokens(queries, query_terms)
     distinct = tokens.select("token").distinct()
-    # two steps read the matches, which took two passes over the texts to find
-    found = written(matches(corpus, distinct))
+    found = weighted_matches(corpus, queries) if found is None else found
     weighted = found.join(document_frequency(corpus, distinct, found).select("token", "idf"), "token")
     lengths = tokens.groupBy("query").agg(F.sum("n").alias("n_tokens"))
     weight = F.col("n") * F.col("idf")

@@ -145,7 +145,8 @@ def _nine(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame:
 
 def report_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nine metrics of the legacy search against those of the present one."""
-    return E.compare_reports(_nine(spark, sf_dir, R.bm25_legacy(spark, sf_dir)), _nine(spark, sf_dir, R.bm25(spark, sf_dir)))
+    found = R.matches(spark, sf_dir)
+    return E.compare_reports(_nine(spark, sf_dir, R.bm25_legacy(spark, sf_dir, found)), _nine(spark, sf_dir, R.bm25(spark, sf_dir, found=found)))
 
 
 def comparison_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from statloom.functions.text import utrim
 from statloom.operators import evaluation as E
 from statloom.operators import fusion, retrieval
 from statloom.plans import retrieval as R
+from statloom.session import written
 from statloom.tables import load
 
 RRF_GRID = (1, 5, 10, 30, 60)
@@ -78,8 +79,10 @@ def _report(spark: SparkSession, sf_dir: str, ranked: DataFrame, variant: str, p
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One report for each way to search, in the order in which they are compared."""
-    ways = {"keyword": R.keyword_retrieve, "bm25": R.bm25, "legacy": R.bm25_legacy, "hybrid": R.rrf_fusion, "reranked": R.rerank}
-    reports = [_report(spark, sf_dir, way(spark, sf_dir), name, i) for i, (name, way) in enumerate(ways.items())]
+    found = R.matches(spark, sf_dir)  # one pass over the texts for all weighted searches
+    ways = {"keyword": R.keyword_retrieve(spark, sf_dir), "bm25": R.bm25(spark, sf_dir, found=found), "legacy": R.bm25_legacy(spark, sf_dir, found)}
+    ways |= {"hybrid": R.rrf_fusion(spark, sf_dir, found), "reranked": R.rerank(spark, sf_dir, found)}
+    reports = [_report(spark, sf_dir, ranked, name, i) for i, (name, ranked) in enumerate(ways.items())]
     out = reports[0]
     for report in reports[1:]:
         out = out.unionByName(report)
@@ -93,7 +96,8 @@ def best_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regression_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The legacy report against that of the present search."""
     long = lambda ranked: E.long_report(_report(spark, sf_dir, ranked, "v", 0).drop("place"), "variant")
-    return E.compare_reports(long(R.bm25_legacy(spark, sf_dir)), long(R.bm25(spark, sf_dir)))
+    found = R.matches(spark, sf_dir)
+    return E.compare_reports(long(R.bm25_legacy(spark, sf_dir, found)), long(R.bm25(spark, sf_dir, found=found)))
 
 
 def rrf_k_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,8 +117,9 @@ def rrf_k_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rerank_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of all pairs of candidate and result limits, from one list of scored candidates."""
-    candidates = fusion.rerank(R.rrf_fusion(spark, sf_dir), R.asked(spark, sf_dir), R.corpus(spark, sf_dir), max(k for k, _ in RERANK_GRID), 1 << 30)
-    fused = R.rrf_fusion(spark, sf_dir).select("query_id", "ord", F.col("rank").alias("old_rank"))
+    fused = written(R.rrf_fusion(spark, sf_dir))  # candidates and their old ranks are read from it
+    candidates = fusion.rerank(fused, R.asked(spark, sf_dir), R.corpus(spark, sf_dir), max(k for k, _ in RERANK_GRID), 1 << 30)
+    fused = fused.select("query_id", "ord", F.col("rank").alias("old_rank"))
     grid = spark.createDataFrame([*RERANK_GRID], "candidates int, results int")
     order = F.row_number().over(E.Window.partitionBy("setting", "query_id").orderBy(F.desc("score"), "old_rank"))
     ranked = (

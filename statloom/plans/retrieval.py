@@ -37,13 +37,18 @@ def token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.document_frequency(corpus(spark, sf_dir), tokens).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
-def bm25(spark: SparkSession, sf_dir: str, config: retrieval.Bm25Config = retrieval.PRODUCTION) -> DataFrame:
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of the asked titles, for several searches to share."""
+    return retrieval.weighted_matches(corpus(spark, sf_dir), asked(spark, sf_dir))
+
+
+def bm25(spark: SparkSession, sf_dir: str, config: retrieval.Bm25Config = retrieval.PRODUCTION, found: DataFrame | None = None) -> DataFrame:
     queries = asked(spark, sf_dir)
-    return per_query(queries, retrieval.bm25_search(corpus(spark, sf_dir), queries, config))
+    return per_query(queries, retrieval.bm25_search(corpus(spark, sf_dir), queries, config, found))
 
 
-def bm25_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25(spark, sf_dir, retrieval.LEGACY)
+def bm25_legacy(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    return bm25(spark, sf_dir, retrieval.LEGACY, found)
 
 
 def bm25_minimum_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,20 +60,20 @@ def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.knn_search(rows, rows.filter("ord % 50 = 0").withColumnRenamed("ord", "query_id"), SIZE)
 
 
-def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.with_sources(bm25(spark, sf_dir), knn(spark, sf_dir))
+def _lists(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    return fusion.with_sources(bm25(spark, sf_dir, found=found), knn(spark, sf_dir))
 
 
-def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.reciprocal_rank_fusion(_lists(spark, sf_dir))
+def rrf_fusion(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    return fusion.reciprocal_rank_fusion(_lists(spark, sf_dir, found))
 
 
 def raw_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.raw_score_fusion(_lists(spark, sf_dir))
 
 
-def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.rerank(rrf_fusion(spark, sf_dir), asked(spark, sf_dir), corpus(spark, sf_dir), 20, 5)
+def rerank(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    return fusion.rerank(rrf_fusion(spark, sf_dir, found), asked(spark, sf_dir), corpus(spark, sf_dir), 20, 5)
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
