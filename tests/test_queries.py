@@ -64,3 +64,19 @@ def test_awkward_rows(spark, folders, name):
 def test_empty_tables(spark, folders, name):
     found = registry.queries()[name](spark, folders[0]).collect()
     assert all(r.n_cases == 0 for r in found) if name == "failure_report" else found == []
+
+
+@pytest.mark.parametrize("name", ["p1_laws", "p1_cited_statutes", "ingest_statuses", "ingest_to_index", "index_results", "reindexed_documents", "import_runs", "case_grounding", "failed_cases", "failure_patterns", "prompt_requests", "letter_vectors"])
+def test_chains_over_empty_tables(spark, folders, name):
+    assert registry.queries()[name](spark, folders[0]).collect() == []
+
+
+@pytest.mark.parametrize("name", ["overall_report", "case_grounding_report", "index_summary", "failure_summary", "ingest_to_table"])
+def test_reports_over_empty_tables(spark, folders, name):
+    (row,) = registry.queries()[name](spark, folders[0]).collect()
+    assert not any(row)
+
+
+@pytest.mark.parametrize("name", ["case_grounding", "overall_report", "failed_cases", "prompt_requests", "report_comparison", "regression_by_target"])
+def test_chains_over_awkward_rows(spark, folders, name):
+    test_awkward_rows(spark, folders, name)
