@@ -81,13 +81,16 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four tokenisers, on titles."""
+    """The four tokenisers: what they make of titles, and how many tokens, and distinct ones, of whole texts."""
+    of_texts = {"words": T.words("text"), "query_terms": T.query_terms("text"), "letter_runs": T.letter_runs("text"), "claim_terms": T.claim_terms("text")}
     return _texts(spark, sf_dir).select(
         "doc_id",
         F.concat_ws("|", T.words("title")).alias("words"),
         F.concat_ws("|", T.query_terms("title")).alias("query_terms"),
         F.concat_ws("|", T.letter_runs("title")).alias("letter_runs"),
         F.concat_ws("|", T.claim_terms("title")).alias("claim_terms"),
+        *(F.when(F.col("text").isNotNull(), F.size(tokens)).alias(f"n_text_{name}") for name, tokens in of_texts.items()),
+        *(F.when(F.col("text").isNotNull(), F.size(F.array_distinct(tokens))).alias(f"n_distinct_{name}") for name, tokens in of_texts.items()),
     )
 
 
@@ -267,7 +270,8 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_so
     "rerank_topn": LISTS + RERANK_CTE + " SELECT * FROM reranked",
     "tokens_by_rule": f"""
 SELECT doc_id, coalesce(array_to_string({sql_words('title')}, '|'), '') AS words, coalesce(array_to_string({sql_query_terms('title')}, '|'), '') AS query_terms,
-       coalesce(array_to_string({sql_letter_runs('title')}, '|'), '') AS letter_runs, coalesce(array_to_string({sql_claim_terms('title')}, '|'), '') AS claim_terms
+       coalesce(array_to_string({sql_letter_runs('title')}, '|'), '') AS letter_runs, coalesce(array_to_string({sql_claim_terms('title')}, '|'), '') AS claim_terms,
+       {", ".join(f"len({f('text')}) AS n_text_{n}, len(list_distinct({f('text')})) AS n_distinct_{n}" for n, f in (("words", sql_words), ("query_terms", sql_query_terms), ("letter_runs", sql_letter_runs), ("claim_terms", sql_claim_terms)))}
 FROM documents""",
     "claim_sentences": f"""
 SELECT doc_id, place - 1 AS claim_no, claims[place] AS claim FROM (
