@@ -24,8 +24,8 @@ def row_hash(columns: list[str]):
 def validity_intervals(df: DataFrame, source: str, snapshot: str, key: str, time: str, compared: list[str]) -> DataFrame:
     """Islands of deliveries over which a key kept one row hash.
 
-    One shuffle by (source, key) serves the choice of the current row and both windows, and carries hashes, not texts.
-    The deliveries of the sources are pre-aggregated before they meet the rows.
+    Rows of one document in one delivery are aggregated before they are shuffled, so that one that is repeated very often
+    does not gather; what is left is shuffled once more by (source, key) for both windows. Both carry hashes, not texts.
     """
     # the table's own names are left behind here, whatever they are
     rows = df.select(F.col(source).alias("source"), F.col(snapshot).alias("snapshot_no"), F.col(key).alias("key"), F.col(time).alias("at"), row_hash(compared).alias("hash"))
@@ -36,8 +36,7 @@ def validity_intervals(df: DataFrame, source: str, snapshot: str, key: str, time
         .select("d_source", "d_no", F.row_number().over(by_source).alias("delivery"), F.lead("d_no").over(by_source).alias("next_no"))
     )
     current = (
-        rows.repartition("source", "key")
-        .groupBy("source", "key", "snapshot_no")
+        rows.groupBy("source", "key", "snapshot_no")
         .agg(F.max(F.struct("at", "hash"))["hash"].alias("hash"))
         .join(deliveries, F.col("source").eqNullSafe(F.col("d_source")) & F.col("snapshot_no").eqNullSafe(F.col("d_no")))
         .select("source", "key", "snapshot_no", "hash", "delivery", "next_no")
