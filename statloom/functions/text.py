@@ -5,6 +5,8 @@ The four tokenisers differ on purpose. Nulls give null, empty texts the empty ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ CITATION = (
 )
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` worked out once for each row, even if it is used within lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def utrim(text: Column | str) -> Column:
     """Trim of Unicode white space."""
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")

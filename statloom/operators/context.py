@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions.text import claim_terms, claims, first_line
+from statloom.functions.text import claim_terms, claims, first_line, once
 
 SUPPORTED_FROM = 0.6
 
@@ -88,9 +88,12 @@ def overlap(terms: Column, context: Column) -> Column:
 
 def claim_support(answers: DataFrame) -> DataFrame:
     """(answer_id, claim_no, claim, score, supported) for ``answers`` (answer_id, answer, context)."""
-    context = F.lower(F.coalesce("context", F.lit("")))
     # claims are scored within their row, so that no context is copied onto each of them
-    scored = F.transform(claims(F.coalesce("answer", F.lit(""))), lambda c: F.struct(c.alias("claim"), F.round(overlap(claim_terms(c), context), 6).alias("score")))
+    score = lambda claim, context: once(claim_terms(claim), lambda terms: F.round(overlap(terms, context), 6))
+    scored = once(
+        F.lower(F.coalesce("context", F.lit(""))),
+        lambda context: F.transform(claims(F.coalesce("answer", F.lit(""))), lambda c: F.struct(c.alias("claim"), score(c, context).alias("score"))),
+    )
     return answers.select("answer_id", F.posexplode(scored).alias("claim_no", "c")).select(
         "answer_id", "claim_no", "c.claim", "c.score", (F.col("c.score") >= SUPPORTED_FROM).alias("supported")
     )
