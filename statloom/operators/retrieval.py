@@ -1,10 +1,11 @@
 """Keyword and idf-weighted retrieval for whole batches of queries.
 
-A token matches a text that contains it, also inside a word. Tokens hold no white space, so it is enough to look into the
-distinct words of the corpus: words and tokens meet in an equi-join on the token's first two characters, and only words
-that match are joined back to the documents. That list of words is written and counted first: up to MOST_BROADCAST rows
-are broadcast, so that the documents' words stay where they are, more are joined by shuffle. No pair of query and
-document is formed unless they share a token.
+A token matches a text that contains it, also inside a word. The distinct tokens of the queries are counted first. Up to
+MOST_TOKENS are handed to the tasks, where one automaton finds all of them in a single pass over each text: texts are read
+once and not shuffled, only matches are. More tokens meet the distinct words of the corpus, which hold them as tokens hold
+no white space, in an equi-join on the token's first two characters, and only words that match are joined back to the
+documents: as a broadcast up to MOST_BROADCAST rows, by shuffle beyond. Both ways give the same rows. No pair of query and
+document is formed unless they share a token, and the pairs of one document meet in one task.
 
 Defined cases: null titles and texts match nothing; a query without tokens has no result; repeated query tokens count
 each time; equal queries are scored once; ties keep the order of ``ord``.
@@ -12,8 +13,11 @@ each time; equal queries are scored once; ties keep the order of ``ord``.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +26,11 @@ from statloom.session import written
 
 #: Scores are rounded before they are ranked, so that the order of summation decides nothing.
 DIGITS = 6
-#: Rows of (word, token) that are broadcast, some 10 MB; more meet the documents' words in a shuffle.
+#: Tokens, characters of one and of all of them, that are handed to each task (some 50 MB as an automaton).
+MOST_TOKENS, LONGEST_TOKEN, MOST_CHARACTERS = 100_000, 200, 500_000
+#: Matches that a task holds before it hands them on.
+HELD = 100_000
+#: Rows of (word, token) or (query, token, n) that are broadcast, some 10 MB; more are joined by shuffle.
 MOST_BROADCAST = 200_000
 
 
@@ -69,28 +77,81 @@ def query_tokens(queries: DataFrame, tokens=words) -> DataFrame:
     return queries.select("query").distinct().select("query", F.explode(tokens("query")).alias("token")).groupBy("query", "token").agg(F.count("*").alias("n"))
 
 
+def _counted(df: DataFrame) -> DataFrame:
+    """``df``, written, as a broadcast up to MOST_BROADCAST rows."""
+    df = written(df)
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 def _starts(word: Column) -> Column:
     """Every place in a word where a token could begin: its two-character and one-character parts."""
     places = F.sequence(F.lit(1), F.length(word))
     return F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(F.substring(word, i, F.lit(1)), F.substring(word, i, F.lit(2))))))
 
 
-def matches(corpus: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(ord, token, in_title, in_text) of every document that contains a token; ``tokens`` has distinct tokens."""
-    in_words = corpus.select(
+def _matches_in_texts(texts: DataFrame, tokens: list[str]) -> DataFrame:
+    """(ord, token, in_title, in_text), found by one automaton of all tokens; ``texts`` are lower-cased."""
+    kind = texts.schema["ord"].dataType.simpleString()
+    shared = texts.sparkSession.sparkContext.broadcast(tokens)
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, automaton = pa.array(shared.value, pa.string()), ahocorasick.Automaton()
+        for i, token in enumerate(shared.value):
+            automaton.add_word(token, i)
+        automaton.make_automaton()
+        held_in = lambda x: {i for _, i in automaton.iter(x)} if x and len(automaton) else set()
+        for batch in batches:
+            ords, titles, bodies = batch.columns
+            at, token, in_title, in_text = [], [], [], []
+            for row, (title, text) in enumerate(zip(titles, bodies, strict=True)):
+                of_title, of_text = held_in(title.as_py()), held_in(text.as_py())
+                both = of_title | of_text
+                at += [row] * len(both)
+                token += both
+                in_title += [i in of_title for i in both]
+                in_text += [i in of_text for i in both]
+                if len(at) >= HELD or row == len(batch) - 1:
+                    columns = [ords.take(pa.array(at, pa.int64())), names.take(pa.array(token, pa.int64())), pa.array(in_title, pa.bool_()), pa.array(in_text, pa.bool_())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["ord", "token", "in_title", "in_text"])
+                    at, token, in_title, in_text = [], [], [], []
+
+    return texts.mapInArrow(find, f"ord {kind}, token string, in_title boolean, in_text boolean")
+
+
+def _matches_by_words(texts: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The same for any number of tokens, by way of the distinct words of the corpus."""
+    in_words = texts.select(
         "ord",
         F.inline(
             F.array(
-                F.struct(F.lit(True).alias("of_title"), F.array_distinct(F.split(F.lower("title"), f"{SPACE}+")).alias("list")),
-                F.struct(F.lit(False).alias("of_title"), F.array_distinct(F.split(F.lower("text"), f"{SPACE}+")).alias("list")),
+                F.struct(F.lit(True).alias("of_title"), F.array_distinct(F.split("title", f"{SPACE}+")).alias("list")),
+                F.struct(F.lit(False).alias("of_title"), F.array_distinct(F.split("text", f"{SPACE}+")).alias("list")),
             )
         ),
     ).select("ord", "of_title", F.explode("list").alias("word"))
     vocabulary = in_words.select("word").filter("word <> ''").distinct()
     starts = vocabulary.select("word", F.explode(_starts(F.col("word"))).alias("start"))
     keyed = tokens.select("token", F.substring("token", 1, 2).alias("token_start"))
-    hits = written(starts.join(keyed, F.col("start") == F.col("token_start")).filter(F.contains("word", "token")).select("word", "token").distinct())
-    return in_words.join(F.broadcast(hits) if hits.count() <= MOST_BROADCAST else hits, "word").groupBy("ord", "token").agg(F.bool_or("of_title").alias("in_title"), F.bool_or(~F.col("of_title")).alias("in_text"))
+    hits = _counted(starts.join(keyed, F.col("start") == F.col("token_start")).filter(F.contains("word", "token")).select("word", "token").distinct())
+    joined = in_words.join(hits, "word")
+    return joined.select("ord", "token", F.col("of_title").alias("in_title"), (~F.col("of_title")).alias("in_text"))
+
+
+def matches(corpus: DataFrame, tokens: DataFrame, most_tokens: int = MOST_TOKENS) -> DataFrame:
+    """(ord, token, in_title, in_text) of every document that contains a token; ``tokens`` has distinct tokens."""
+    texts = corpus.select("ord", F.lower("title").alias("title"), F.lower("text").alias("text"))
+    tokens = tokens.select("token").filter("token <> ''")
+    # no more than one token over the bound reaches the driver, and none of unbounded length
+    seen = [r.token for r in tokens.select(F.when(F.length("token") <= LONGEST_TOKEN, F.col("token")).alias("token")).limit(most_tokens + 1).collect()]
+    few = len(seen) <= most_tokens and None not in seen and sum(map(len, seen)) <= MOST_CHARACTERS
+    found = _matches_in_texts(texts, seen) if few else _matches_by_words(texts, tokens)
+    # rows of one ord, also repeated ones, are one document
+    return by_document(found).groupBy("ord", "token").agg(F.bool_or("in_title").alias("in_title"), F.bool_or("in_text").alias("in_text"))
+
+
+def by_document(found: DataFrame) -> DataFrame:
+    """Matches of one document in one partition. The number of partitions is given, so that it is kept: matches are few bytes, but become many pairs."""
+    return found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ord")
 
 
 def ranked(scored: DataFrame, size: int | None) -> DataFrame:
@@ -102,17 +163,13 @@ def ranked(scored: DataFrame, size: int | None) -> DataFrame:
 
 def keyword_search(corpus: DataFrame, queries: DataFrame, size: int | None = None) -> DataFrame:
     """(query, ord, score, matched_terms, rank): 2 for each token in the title, 1 for each in the text."""
-    tokens = query_tokens(queries)
-    found = matches(corpus, tokens.select("token").distinct())
-    scored = (
-        tokens.join(found, "token")
-        .groupBy("query", "ord")
-        .agg(
-            F.sum(F.col("n") * (F.when(F.col("in_title"), 2).otherwise(0) + F.when(F.col("in_text"), 1).otherwise(0))).alias("score"),
-            F.sort_array(F.collect_set("token")).alias("matched_terms"),
-        )
-    )
-    return ranked(scored, size)
+    tokens = _counted(query_tokens(queries))
+    found = written(matches(corpus, tokens.select("token").distinct()))
+    points = F.col("n") * (F.when(F.col("in_title"), 2).otherwise(0) + F.when(F.col("in_text"), 1).otherwise(0))
+    kept = ranked(by_document(found).join(tokens, "token").groupBy("query", "ord").agg(F.sum(points).alias("score")), size)
+    # terms are gathered for the results only
+    terms = kept.join(tokens.select("query", "token"), "query").join(found.select("ord", "token"), ["ord", "token"])
+    return terms.groupBy("query", "ord", "score", "rank").agg(F.sort_array(F.collect_set("token")).alias("matched_terms")).select("query", "ord", "score", "matched_terms", "rank")
 
 
 def document_frequency(corpus: DataFrame, tokens: DataFrame, found: DataFrame | None = None) -> DataFrame:
@@ -135,14 +192,14 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, config: Bm25Config = PROD
 
     ``found`` are the :func:`weighted_matches` of these queries, where several searches share them.
     """
-    tokens = query_tokens(queries, query_terms)
+    tokens = _counted(query_tokens(queries, query_terms))
     distinct = tokens.select("token").distinct()
     found = weighted_matches(corpus, queries) if found is None else found
-    weighted = found.join(document_frequency(corpus, distinct, found).select("token", "idf"), "token")
+    weighted = by_document(found).join(document_frequency(corpus, distinct, found).select("token", "idf"), "token")
     lengths = tokens.groupBy("query").agg(F.sum("n").alias("n_tokens"))
     weight = F.col("n") * F.col("idf")
     fields = (
-        tokens.join(weighted, "token")
+        weighted.join(tokens, "token")
         .groupBy("query", "ord")
         .agg(
             F.sum(F.when(F.col("in_title"), weight).otherwise(0.0)).alias("title_score"),

@@ -47,6 +47,17 @@ def test_against_brute_force(spark):
     assert set(tuples(retrieval.bm25_search(corpus, asked, config), "query", "ord", "score")) == want
 
 
+def test_many_tokens_match_as_few_do(spark):
+    corpus = spark.createDataFrame([(1, "Alpha", "beta\u3000alphabet"), (1, None, "lph"), (2, None, None), (3, "", "가나 x" * 5_000), (4, "\U0001f600b", "B")], CORPUS)
+    tokens = spark.createDataFrame([(t,) for t in ("alpha", "lph", "b", "가", "나 x".strip(" x"), "\U0001f600", "zzz", "", None)], "token string").distinct()
+    few, many = (tuples(retrieval.matches(corpus, tokens, n), "ord", "token", "in_title", "in_text") for n in (retrieval.MOST_TOKENS, 0))
+    want = {(1, "alpha", True, True), (1, "lph", True, True), (1, "b", False, True), (3, "가", False, True), (3, "나", False, True), (4, "\U0001f600", True, False), (4, "b", True, True)}
+    assert set(few) == set(many) == want and len(few) == len(many) == len(want)
+    long = spark.createDataFrame([("x" * (retrieval.LONGEST_TOKEN + 1),)], "token string")
+    assert tuples(retrieval.matches(spark.createDataFrame([(5, "X" * 300, None)], CORPUS), long), "ord", "in_title", "in_text") == [(5, True, False)]
+    assert tuples(retrieval.matches(corpus, tokens.limit(0)), "ord") == []
+
+
 def test_empty_corpus_and_required_matches(spark):
     corpus, queries = spark.createDataFrame([], CORPUS), spark.createDataFrame([(1, "a")], QUERIES)
     assert retrieval.keyword_search(corpus, queries).count() == retrieval.bm25_search(corpus, queries).count() == 0
