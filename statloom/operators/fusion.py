@@ -5,7 +5,7 @@ Sources are numbered in the order in which they were asked; ties keep the earlie
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.text import letter_runs
@@ -44,6 +44,12 @@ def raw_score_fusion(lists: DataFrame) -> DataFrame:
     return _rank(fused)
 
 
+def filtered(ranked: DataFrame, corpus: DataFrame, keep: Column) -> DataFrame:
+    """Results whose document in ``corpus`` (by ord) fulfils ``keep``, ranked anew in their old order; unknown is not kept."""
+    kept = ranked.join(corpus.filter(keep).select("ord").distinct(), "ord", "left_semi").withColumnRenamed("rank", "old_rank")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("old_rank"))).drop("old_rank")
+
+
 def rerank(candidates: DataFrame, queries: DataFrame, corpus: DataFrame, candidate_limit: int = 50, limit: int = 10) -> DataFrame:
     """(query_id, ord, score, rank): candidates by how many query terms their title and text hold, then by old rank."""
     kept = candidates.filter(F.col("rank") <= candidate_limit).select("query_id", "ord", F.col("rank").alias("old_rank"))

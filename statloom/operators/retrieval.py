@@ -44,6 +44,12 @@ class Bm25Config:
     minimum_should_match: int | str | None = None
     size: int = 10
 
+    @classmethod
+    def of_fields(cls, *fields: str, **others) -> Bm25Config:
+        """Boosts as in "title^2", "text"; a field that is not named is not searched."""
+        boosts = dict(map(parse_boost, fields))
+        return cls(title_boost=boosts.get("title", 0.0), text_boost=boosts.get("text", 0.0), **others)
+
 
 PRODUCTION = Bm25Config()
 LEGACY = Bm25Config(title_boost=1.0, tie_breaker=0.0)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from statloom.plans import chains, evaluation, pipeline, problems, retrieval, unified
+from statloom.plans import access, chains, evaluation, pipeline, problems, retrieval, unified
 
-MODULES = (problems, retrieval, evaluation, pipeline, unified, chains)
+MODULES = (problems, retrieval, evaluation, pipeline, unified, chains, access)
 
 flagship = retrieval.keyword_retrieve
 

@@ -25,11 +25,11 @@ ARTICLE = "id string, statuteId string, articleNo string, articleTitle string, t
 CASE = "id string, caseNumber string, caseName string, court string, summary string, fullText string"
 
 
-def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
-    """JSON files that hold one record or an array of records each: the columns of ``schema`` and ``_corrupt``."""
+def read_json(spark: SparkSession, path: str, schema, lines: bool = False) -> DataFrame:
+    """JSON files that hold one record or an array of records each, or with ``lines`` a record a line, which Spark can split: the columns of ``schema`` and ``_corrupt``."""
     schema = (T.StructType.fromDDL(schema) if isinstance(schema, str) else T.StructType([*schema])).add("_corrupt", T.StringType())
     try:
-        return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+        return spark.read.schema(schema).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in (e.getCondition() or ""):
             return spark.createDataFrame([], schema)
@@ -42,6 +42,7 @@ def readable(df: DataFrame) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str) -> None:
+    """A record a line; ``read_json(..., lines=True)`` reads them."""
     df.write.mode("overwrite").json(path)
 
 

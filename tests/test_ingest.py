@@ -83,7 +83,7 @@ def test_json_documents(spark, tmp_path):
     found = {r.id: (r.documentType, r.title, r.text) for r in sources.all_documents(articles, cases).collect()}
     assert found == {"x:1": ("STATUTE_ARTICLE", "Article 1", "p\nq"), "x:2": ("STATUTE_ARTICLE", "T", "t"), "c": ("COURT_CASE", "1", "s\nf")}
     sources.write_json(sources.all_documents(articles, cases), str(tmp_path / "out"))
-    assert sources.by_id(sources.read_json(spark, str(tmp_path / "out"), sources.DOCUMENT), "id", "c").first().title == "1"
+    assert sources.by_id(sources.read_json(spark, str(tmp_path / "out"), sources.DOCUMENT, lines=True), "id", "c").first().title == "1"
     url = spark.createDataFrame([("0 1", None), ("2", "001502")], "id string, jo string").select(sources.view_url("http://x", F.col("id"), F.col("jo"))).collect()
     assert [r[0] for r in url] == ["http://x?ID=0+1", "http://x?ID=2&JO=001502"]
 
@@ -96,3 +96,9 @@ def test_unreadable_records_are_kept(spark, tmp_path):
     assert {r.id for r in sources.readable(sources.read_json(spark, str(tmp_path), sources.CASE).cache()).collect()} == {"1", "2"}
     asked = spark.createDataFrame([("1",), ("9",), (None,)], "id string")
     assert {tuple(r) for r in sources.exists(got, "id", asked).collect()} == {("1", True), ("9", False), (None, False)}
+
+
+def test_written_records_are_all_read(spark, tmp_path):
+    sources.write_json(spark.createDataFrame([("a", "x\ny"), ("b", None), ("c", "")], "id string, summary string").coalesce(1), str(tmp_path / "out"))
+    read = sources.read_json(spark, str(tmp_path / "out"), "id string, summary string", lines=True)
+    assert {(r.id, r.summary) for r in read.collect()} == {("a", "x\ny"), ("b", None), ("c", "")}

@@ -66,7 +66,7 @@ def test_empty_tables(spark, folders, name):
     assert all(r.n_cases == 0 for r in found) if name == "failure_report" else found == []
 
 
-@pytest.mark.parametrize("name", ["p1_laws", "p1_cited_statutes", "ingest_statuses", "ingest_to_index", "index_results", "reindexed_documents", "import_runs", "case_grounding", "failed_cases", "failure_patterns", "prompt_requests", "letter_vectors"])
+@pytest.mark.parametrize("name", ["p1_laws", "p1_cited_statutes", "ingest_statuses", "ingest_to_index", "index_results", "reindexed_documents", "import_runs", "case_grounding", "failed_cases", "failure_patterns", "prompt_requests", "letter_vectors", "json_documents", "chunk_parents", "document_urls", "embedded_search", "search_results"])
 def test_chains_over_empty_tables(spark, folders, name):
     assert registry.queries()[name](spark, folders[0]).collect() == []
 
@@ -77,6 +77,6 @@ def test_reports_over_empty_tables(spark, folders, name):
     assert not any(row)
 
 
-@pytest.mark.parametrize("name", ["case_grounding", "overall_report", "failed_cases", "prompt_requests", "report_comparison", "regression_by_target"])
+@pytest.mark.parametrize("name", ["case_grounding", "overall_report", "failed_cases", "prompt_requests", "report_comparison", "regression_by_target", "bm25_fields", "filtered_results", "search_results"])
 def test_chains_over_awkward_rows(spark, folders, name):
     test_awkward_rows(spark, folders, name)

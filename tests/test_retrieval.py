@@ -108,3 +108,13 @@ def test_rerank_keeps_old_order_on_ties(spark):
     queries = spark.createDataFrame([(1, "alpha, beta")], QUERIES)
     got = fusion.rerank(candidates, queries, corpus, 10, 3).orderBy("rank")
     assert tuples(got, "ord", "score") == [(2, 2), (3, 2), (1, 1)]
+
+
+def test_boosts_as_text_and_filtered_results(spark):
+    config = retrieval.Bm25Config.of_fields("title^3", "text", size=5)
+    assert (config.title_boost, config.text_boost, config.size) == (3.0, 1.0, 5) and retrieval.Bm25Config.of_fields("title^x").text_boost == 0.0
+    ranked = spark.createDataFrame([(1, 10, 0.9, 1), (1, 11, 0.8, 2), (1, 12, 0.7, 3), (2, 11, 0.5, 1), (2, 99, 0.4, 2)], "query_id long, ord long, score double, rank int")
+    corpus = spark.createDataFrame([(10, "a"), (11, "b"), (11, "b"), (12, "b"), (13, None), (99, None)], "ord long, kind string")
+    got = fusion.filtered(ranked, corpus, F.col("kind") == "b")
+    assert set(tuples(got, "query_id", "ord", "rank")) == {(1, 11, 1), (1, 12, 2), (2, 11, 1)}
+    assert fusion.filtered(ranked, corpus.limit(0), F.col("kind") == "b").count() == 0
