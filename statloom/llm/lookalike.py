@@ -207,6 +207,23 @@ def _digest(*columns: Column | str) -> Column:
     return F.unhex(F.md5(F.concat(*(F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in columns))))
 
 
+def _looks(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, look, form), distinct: digests of what a row looks like and of how it is stored."""
+    return df.select(F.col(key).alias("key"), _digest(*(in_one_form(c) for c in columns)).alias("look"), _digest(*columns).alias("form")).distinct()
+
+
+def same_looking(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, representative, n_forms), one row for each key and look: the smallest key that looks the same, and in how many stored forms that look occurs.
+
+    Linear in the rows, whatever their number of one look: looks are aggregated before they are shuffled. A row that
+    looks like no other represents itself; a null key is represented, but represents only where there is no other.
+    """
+    docs = cut_lineage(_looks(df, key, columns))
+    forms = docs.groupBy("look", "form").agg(F.min("key").alias("first"))
+    looks = forms.groupBy("look").agg(F.min("first").alias("representative"), F.count("*").alias("n_forms"))
+    return docs.select("key", "look").distinct().join(looks, "look").select("key", "representative", "n_forms")
+
+
 def same_looking_pairs(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(a, b), a < b: keys whose rows look the same in all columns and differ as stored in at least one.
 
@@ -214,13 +231,7 @@ def same_looking_pairs(df: DataFrame, key: str, columns: list[str]) -> DataFrame
     however often it is repeated, costs one row. Only keys and digests are shuffled; they are written to the checkpoint
     folder because three steps read them.
     """
-    docs = cut_lineage(
-        df.select(
-            F.col(key).alias("key"),
-            _digest(*(in_one_form(c) for c in columns)).alias("look"),
-            _digest(*columns).alias("form"),
-        ).distinct()
-    )
+    docs = cut_lineage(_looks(df, key, columns))
     forms = docs.select("look", "form").distinct()
     pairs = forms.alias("x").join(forms.alias("y"), (F.col("x.look") == F.col("y.look")) & (F.col("x.form") < F.col("y.form"))).select("x.look", F.col("x.form").alias("form_x"), F.col("y.form").alias("form_y"))
     left = docs.select(F.col("key").alias("key_x"), F.col("look").alias("look_x"), F.col("form").alias("form_of_x"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statloom.llm import lookalike
-from statloom.llm.lookalike import same_looking_pairs
+from statloom.llm.lookalike import same_looking, same_looking_pairs
 from statloom.llm.neighbours import nearest, neighbour_pairs
 from statloom.llm.packing import fill_report, pack
 from statloom.llm.splitting import split_oversized
@@ -55,6 +55,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("document_id_a"), F.col("b").alias("document_id_b"))
 
 
+def p4_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document that stands for each look, and its number of stored forms."""
+    members = same_looking(load(spark, sf_dir, "legal_documents"), "document_id", ["title", "content"])
+    return members.select(F.col("key").alias("document_id"), "representative", "n_forms")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of indexed documents of which one is among the nearest of the other."""
     pairs = neighbour_pairs(load(spark, sf_dir, "legal_index"), "ord", "embedding", NEIGHBOURS, DIMENSIONS, probes=PROBES)
@@ -122,7 +128,7 @@ def p8_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuts_by_step(_readings(spark, sf_dir))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p3_checks": p3_checks, "p4_found": p4_found, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_pack": p7_pack, "p7_fill": p7_fill, "p7_checks": p7_checks, "p8_found": p8_found, "p8_limits": p8_limits, "p8_sources": p8_sources, "p8_steps": p8_steps}
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p3_checks": p3_checks, "p4_found": p4_found, "p4_looks": p4_looks, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_pack": p7_pack, "p7_fill": p7_fill, "p7_checks": p7_checks, "p8_found": p8_found, "p8_limits": p8_limits, "p8_sources": p8_sources, "p8_steps": p8_steps}
 
 _NEAREST_SQL = f"""
 WITH members AS (SELECT ord, any_value(embedding)::DOUBLE[{DIMENSIONS}] AS v FROM legal_index
@@ -152,10 +158,17 @@ def _plain_sql(column: str) -> str:
     return f"nfc_normalize(translate(regexp_replace(nfc_normalize({column}), '{hidden}', '', 'g'), '{old}', '{new}'))"
 
 
-ORACLE_SQL = {
-    "p4_found": f"""
+_PLAIN = f"""
 WITH rows_of AS (SELECT DISTINCT document_id, title, content FROM legal_documents),
-plain AS (SELECT *, {_plain_sql("title")} AS t, {_plain_sql("content")} AS c FROM rows_of)
+plain AS (SELECT *, {_plain_sql("title")} AS t, {_plain_sql("content")} AS c FROM rows_of)"""
+
+ORACLE_SQL = {
+    "p4_looks": _PLAIN
+    + """,
+looks AS (SELECT t, c, min(document_id) AS representative, count(DISTINCT (title, content)) AS n_forms FROM plain GROUP BY ALL)
+SELECT DISTINCT document_id, representative, n_forms FROM plain p JOIN looks l ON p.t IS NOT DISTINCT FROM l.t AND p.c IS NOT DISTINCT FROM l.c""",
+    "p4_found": _PLAIN
+    + """
 SELECT DISTINCT a.document_id AS document_id_a, b.document_id AS document_id_b FROM plain a JOIN plain b
   ON a.t IS NOT DISTINCT FROM b.t AND a.c IS NOT DISTINCT FROM b.c AND a.document_id < b.document_id
 WHERE a.title IS DISTINCT FROM b.title OR a.content IS DISTINCT FROM b.content

@@ -3,7 +3,7 @@ import unicodedata
 
 import pytest
 
-from statloom.llm.lookalike import one_form, same_looking_pairs, settle
+from statloom.llm.lookalike import one_form, same_looking, same_looking_pairs, settle
 
 
 @pytest.mark.parametrize(
@@ -59,6 +59,14 @@ def test_pairs_against_brute_force(spark):
     assert same_looking_pairs(df.limit(0), "id", ["title", "content"]).count() == 0
 
 
+def test_looks_have_one_representative(spark):
+    rows = [("b", "ＡＢ", None), ("a", "AB", None), ("a", "AB", None), ("c", "АВ", None), ("d", "AB", ""), ("e", None, None), (None, None, None), (None, "Z", "z")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "id string, title string, content string, look string")
+    got = sorted((tuple(r) for r in same_looking(df, "id", ["title", "content"]).collect()), key=str)
+    assert got == sorted([("a", "a", 3), ("b", "a", 3), ("c", "a", 3), ("d", "d", 1), ("e", "e", 1), (None, "e", 1), (None, None, 1)], key=str)
+    assert same_looking(df.limit(0), "id", ["title", "content"]).count() == 0
+
+
 def test_cherokee_coptic_and_rarer_cyrillic_letters():
     for text, plain in (("ᎪᏚᏒ", "AᏚᏒ"), ("Ꭺct", "Act"), ("ⲟrder", "order"), ("Ѵalue", "Value"), ("ӏaw", "law")):
         assert one_form(text) == one_form(plain)
