@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.text import SPACE, query_terms, words
+from statloom.operators.best import Score, best_documents
 from statloom.session import written
 
 #: Scores are rounded before they are ranked, so that the order of summation decides nothing.
@@ -89,6 +90,11 @@ def _counted(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
+def documents_of(corpus: DataFrame, ords: DataFrame) -> DataFrame:
+    """The rows of ``corpus`` whose ord is in ``ords``: results are few, and only their texts go on to a shuffle."""
+    return corpus.join(_counted(ords.select("ord").distinct()), "ord", "left_semi")
+
+
 def _starts(word: Column) -> Column:
     """Every place in a word where a token could begin: its two-character and one-character parts."""
     places = F.sequence(F.lit(1), F.length(word))
@@ -167,12 +173,36 @@ def ranked(scored: DataFrame, size: int | None) -> DataFrame:
     return out.filter(F.col("rank") <= size) if size else out
 
 
+def _best(found: DataFrame, weighted: DataFrame, score: Score, size: int | None) -> DataFrame | None:
+    """(query, ord, score, rank), written, by scores that are bounded early; none where all results are asked for or the tokens are many.
+
+    ``weighted`` is (query, token, n, weight, required).
+    """
+    if not size or min(score.title_boost, score.text_boost, score.tie_breaker) < 0:
+        return None
+    numbered = written(weighted.select("query").distinct().withColumn("query_no", F.monotonically_increasing_id()))
+    token = F.when(F.length("token") <= LONGEST_TOKEN, F.col("token")).alias("token")
+    rows = weighted.join(numbered, "query").select("query_no", token, "n", "weight", "required").limit(MOST_BROADCAST + 1).toArrow()
+    if rows.num_rows > MOST_BROADCAST or rows["token"].null_count:
+        return None
+    return written(ranked(best_documents(found, rows, score, size).join(numbered, "query_no").select("query", "ord", "score"), size))
+
+
+def keyword_best(tokens: DataFrame, found: DataFrame, size: int | None = None) -> DataFrame:
+    """(query, ord, score, rank) of ``tokens`` (query, token, n), from ``found`` matches of these tokens and perhaps of others."""
+    weighted = tokens.withColumn("weight", F.col("n").cast("double")).withColumn("required", F.lit(1))
+    best = _best(found, weighted, Score(2.0, 1.0, 1.0, DIGITS), size)
+    if best is not None:
+        return best.withColumn("score", F.col("score").cast("long"))
+    points = F.col("n") * (F.when(F.col("in_title"), 2).otherwise(0) + F.when(F.col("in_text"), 1).otherwise(0))
+    return ranked(by_document(found).join(tokens, "token").groupBy("query", "ord").agg(F.sum(points).alias("score")), size)
+
+
 def keyword_search(corpus: DataFrame, queries: DataFrame, size: int | None = None) -> DataFrame:
     """(query, ord, score, matched_terms, rank): 2 for each token in the title, 1 for each in the text."""
     tokens = _counted(query_tokens(queries))
     found = written(matches(corpus, tokens.select("token").distinct()))
-    points = F.col("n") * (F.when(F.col("in_title"), 2).otherwise(0) + F.when(F.col("in_text"), 1).otherwise(0))
-    kept = ranked(by_document(found).join(tokens, "token").groupBy("query", "ord").agg(F.sum(points).alias("score")), size)
+    kept = keyword_best(tokens, found, size)
     # terms are gathered for the results only
     terms = kept.join(tokens.select("query", "token"), "query").join(found.select("ord", "token"), ["ord", "token"])
     return terms.groupBy("query", "ord", "score", "rank").agg(F.sort_array(F.collect_set("token")).alias("matched_terms")).select("query", "ord", "score", "matched_terms", "rank")
@@ -188,9 +218,15 @@ def document_frequency(corpus: DataFrame, tokens: DataFrame, found: DataFrame |
     return counted.join(F.broadcast(total)).select("token", df.alias("df"), F.ln(1 + (F.col("total") - df + 0.5) / (df + 0.5)).alias("idf"))
 
 
-def weighted_matches(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """The matches of all query terms, written: every search of these queries reads them, however it is configured."""
-    return written(matches(corpus, query_tokens(queries, query_terms).select("token").distinct()))
+def weighted_matches(corpus: DataFrame, queries: DataFrame, keywords: bool = False) -> DataFrame:
+    """The matches of all query terms, written: every search of these queries reads them, however it is configured.
+
+    With ``keywords`` those of all words as well, for a keyword search to share them.
+    """
+    tokens = query_tokens(queries, query_terms).select("token")
+    if keywords:
+        tokens = tokens.union(query_tokens(queries).select("token"))
+    return written(matches(corpus, tokens.distinct()))
 
 
 def bm25_search(corpus: DataFrame, queries: DataFrame, config: Bm25Config = PRODUCTION, found: DataFrame | None = None) -> DataFrame:
@@ -201,11 +237,17 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, config: Bm25Config = PROD
     tokens = _counted(query_tokens(queries, query_terms))
     distinct = tokens.select("token").distinct()
     found = weighted_matches(corpus, queries) if found is None else found
-    weighted = by_document(found).join(document_frequency(corpus, distinct, found).select("token", "idf"), "token")
+    idf = document_frequency(corpus, distinct, found).select("token", "idf")
     lengths = tokens.groupBy("query").agg(F.sum("n").alias("n_tokens"))
-    weight = F.col("n") * F.col("idf")
+    weight, required = F.col("n") * F.col("idf"), required_matches(F.col("n_tokens"), config.minimum_should_match)
+    of_queries = tokens.join(idf, "token").join(lengths, "query").select("query", "token", "n", weight.alias("weight"), required.alias("required"))
+    best = _best(found, of_queries, Score(config.title_boost, config.text_boost, config.tie_breaker, DIGITS), config.size)
+    if best is not None:
+        return best
     fields = (
-        weighted.join(tokens, "token")
+        by_document(found)
+        .join(idf, "token")
+        .join(tokens, "token")
         .groupBy("query", "ord")
         .agg(
             F.sum(F.when(F.col("in_title"), weight).otherwise(0.0)).alias("title_score"),
@@ -213,7 +255,7 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, config: Bm25Config = PROD
             F.sum("n").alias("n_matched"),
         )
         .join(lengths, "query")
-        .filter(F.col("n_matched") >= required_matches(F.col("n_tokens"), config.minimum_should_match))
+        .filter(F.col("n_matched") >= required)
     )
     title, text = F.col("title_score") * config.title_boost, F.col("text_score") * config.text_boost
     score = F.round(F.greatest(title, text) + config.tie_breaker * F.least(title, text), DIGITS)
