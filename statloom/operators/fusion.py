@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.text import letter_runs
+from statloom.operators.retrieval import documents_of
+from statloom.session import written
 
 RRF_K = 60
 
@@ -52,10 +54,11 @@ def filtered(ranked: DataFrame, corpus: DataFrame, keep: Column) -> DataFrame:
 
 def rerank(candidates: DataFrame, queries: DataFrame, corpus: DataFrame, candidate_limit: int = 50, limit: int = 10) -> DataFrame:
     """(query_id, ord, score, rank): candidates by how many query terms their title and text hold, then by old rank."""
-    kept = candidates.filter(F.col("rank") <= candidate_limit).select("query_id", "ord", F.col("rank").alias("old_rank"))
+    kept = written(candidates.filter(F.col("rank") <= candidate_limit).select("query_id", "ord", F.col("rank").alias("old_rank")))
     terms = queries.select("query_id", letter_runs("query").alias("terms"))
-    # the candidates are few: only their texts are cut into terms
-    held = kept.join(terms, "query_id").join(corpus.select("ord", "title", "text"), "ord").withColumn("held", F.array_distinct(letter_runs(F.concat_ws(" ", "title", "text"))))
+    # the candidates are few: only their texts are cut into terms, each once
+    texts = documents_of(corpus, kept).select("ord", F.array_distinct(letter_runs(F.concat_ws(" ", "title", "text"))).alias("held"))
+    held = kept.join(terms, "query_id").join(texts, "ord")
     scored = held.select("query_id", "ord", "old_rank", F.size(F.filter("terms", lambda t: F.array_contains("held", t))).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "old_rank")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).drop("old_rank")

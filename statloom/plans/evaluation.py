@@ -73,17 +73,19 @@ def missed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.missed_documents(as_cases(R.bm25(spark, sf_dir)), cases(spark, sf_dir))
 
 
-def _report(spark: SparkSession, sf_dir: str, ranked: DataFrame, variant: str, place: int) -> DataFrame:
-    report = E.metrics_report(E.case_metrics(as_cases(ranked), cases(spark, sf_dir)))
+def _report(asked: DataFrame, ranked: DataFrame, variant: str, place: int) -> DataFrame:
+    report = E.metrics_report(E.case_metrics(as_cases(ranked), asked))
     return report.select(F.lit(variant).alias("variant"), F.lit(place).alias("place"), *report.columns)
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One report for each way to search, in the order in which they are compared."""
-    found = R.matches(spark, sf_dir)  # one pass over the texts for all weighted searches
-    ways = {"keyword": R.keyword_retrieve(spark, sf_dir), "bm25": R.bm25(spark, sf_dir, found=found), "legacy": R.bm25_legacy(spark, sf_dir, found)}
-    ways |= {"hybrid": R.rrf_fusion(spark, sf_dir, found), "reranked": R.rerank(spark, sf_dir, found)}
-    reports = [_report(spark, sf_dir, ranked, name, i) for i, (name, ranked) in enumerate(ways.items())]
+    found = R.matches(spark, sf_dir, keywords=True)  # one pass over the texts for all searches
+    asked, weighted = written(cases(spark, sf_dir)), R.bm25(spark, sf_dir, found=found)
+    fused = written(R.rrf_fusion(spark, sf_dir, weighted))  # a report reads its results twice
+    ways = {"keyword": R.keyword_ranks(spark, sf_dir, found), "bm25": weighted, "legacy": R.bm25_legacy(spark, sf_dir, found)}
+    ways |= {"hybrid": fused, "reranked": written(R.rerank(spark, sf_dir, fused))}
+    reports = [_report(asked, ranked, name, i) for i, (name, ranked) in enumerate(ways.items())]
     out = reports[0]
     for report in reports[1:]:
         out = out.unionByName(report)
@@ -96,7 +98,7 @@ def best_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def regression_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The legacy report against that of the present search."""
-    long = lambda ranked: E.long_report(_report(spark, sf_dir, ranked, "v", 0).drop("place"), "variant")
+    long = lambda ranked: E.long_report(_report(cases(spark, sf_dir), ranked, "v", 0).drop("place"), "variant")
     found = R.matches(spark, sf_dir)
     return E.compare_reports(long(R.bm25_legacy(spark, sf_dir, found)), long(R.bm25(spark, sf_dir, found=found)))
 

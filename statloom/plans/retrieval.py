@@ -37,9 +37,15 @@ def token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.document_frequency(corpus(spark, sf_dir), tokens).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
-def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches of the asked titles, for several searches to share."""
-    return retrieval.weighted_matches(corpus(spark, sf_dir), asked(spark, sf_dir))
+def matches(spark: SparkSession, sf_dir: str, keywords: bool = False) -> DataFrame:
+    """Matches of the asked titles, for several searches to share, a keyword search among them if ``keywords``."""
+    return retrieval.weighted_matches(corpus(spark, sf_dir), asked(spark, sf_dir), keywords)
+
+
+def keyword_ranks(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    """``keyword_retrieve`` without the matched terms, from shared matches."""
+    queries = asked(spark, sf_dir)
+    return per_query(queries, retrieval.keyword_best(retrieval.query_tokens(queries), found, SIZE))
 
 
 def bm25(spark: SparkSession, sf_dir: str, config: retrieval.Bm25Config = retrieval.PRODUCTION, found: DataFrame | None = None) -> DataFrame:
@@ -60,20 +66,21 @@ def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.knn_search(rows, rows.filter("ord % 50 = 0").withColumnRenamed("ord", "query_id"), SIZE)
 
 
-def _lists(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
-    return fusion.with_sources(bm25(spark, sf_dir, found=found), knn(spark, sf_dir))
+def _lists(spark: SparkSession, sf_dir: str, weighted: DataFrame | None = None) -> DataFrame:
+    return fusion.with_sources(bm25(spark, sf_dir) if weighted is None else weighted, knn(spark, sf_dir))
 
 
-def rrf_fusion(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
-    return fusion.reciprocal_rank_fusion(_lists(spark, sf_dir, found))
+def rrf_fusion(spark: SparkSession, sf_dir: str, weighted: DataFrame | None = None) -> DataFrame:
+    """Weighted search, anew or as given, fused with vector search."""
+    return fusion.reciprocal_rank_fusion(_lists(spark, sf_dir, weighted))
 
 
 def raw_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.raw_score_fusion(_lists(spark, sf_dir))
 
 
-def rerank(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
-    return fusion.rerank(rrf_fusion(spark, sf_dir, found), asked(spark, sf_dir), corpus(spark, sf_dir), 20, 5)
+def rerank(spark: SparkSession, sf_dir: str, fused: DataFrame | None = None) -> DataFrame:
+    return fusion.rerank(rrf_fusion(spark, sf_dir) if fused is None else fused, asked(spark, sf_dir), corpus(spark, sf_dir), 20, 5)
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:

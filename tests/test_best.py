@@ -75,3 +75,20 @@ def test_failures_read_the_cases_once(spark, reads):
     folder, made = reads
     plan = evaluation.failure_analysis(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert len(made) == 1 and "regexp_replace" not in plan  # texts are not looked at again for blanks
+
+
+def test_variants_share_cases_and_matches(spark, reads, monkeypatch):
+    folder, made = reads
+    passes, matches = [], retrieval.matches
+    monkeypatch.setattr(retrieval, "matches", lambda *a: passes.append(1) or matches(*a))
+    rows = evaluation.variants(spark, folder).collect()
+    assert len(made) == 1 and len(passes) == 1 and [r.variant for r in sorted(rows, key=lambda r: r.place)] == ["keyword", "bm25", "legacy", "hybrid", "reranked"]
+
+
+def test_shared_matches_of_other_tokens_change_nothing(spark):
+    corpus = spark.createDataFrame([(1, "title 3", "의무는 있다"), (2, "의무", "3"), (3, "x", "title")], "ord long, title string, text string")
+    queries = spark.createDataFrame([(1, "의무는 3!"), (2, "title 3")], "query_id long, query string")
+    shared = retrieval.weighted_matches(corpus, queries, keywords=True)
+    rows = lambda df: {tuple(r) for r in df.select("query", "ord", "score", "rank").collect()}
+    assert rows(retrieval.keyword_best(retrieval.query_tokens(queries), shared, 5)) == rows(retrieval.keyword_search(corpus, queries, 5))
+    assert rows(retrieval.bm25_search(corpus, queries, found=shared)) == rows(retrieval.bm25_search(corpus, queries))
