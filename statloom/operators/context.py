@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.text import claim_terms, claims, first_line, once
+from statloom.operators.retrieval import documents_of
 
 SUPPORTED_FROM = 0.6
 
@@ -32,7 +33,7 @@ def prompt_context(ranked: DataFrame, corpus: DataFrame, queries: DataFrame) ->
     cited = citation(F.col("document_id"), F.col("title"), F.col("source_type"), F.col("source_url"), F.col("text"))
     gathered = (
         ranked.select("query_id", "ord", "rank")
-        .join(corpus, "ord")
+        .join(documents_of(corpus, ranked), "ord")
         .groupBy("query_id")
         .agg(F.sort_array(F.collect_list(F.struct("rank", document.alias("document"), cited.alias("cited")))).alias("found"))
     )
@@ -123,8 +124,9 @@ def case_grounding(answers: DataFrame) -> DataFrame:
     empty = F.array().cast(answers.schema["retrieved"].dataType)
     expected, retrieved, cited = (F.array_distinct(F.coalesce(c, empty)) for c in ("expected", "retrieved", "cited"))
     share = lambda of: F.coalesce(F.try_divide(F.size(F.array_intersect(of, retrieved)), F.size(of)), F.lit(1.0))
-    context = F.lower(F.coalesce("context", F.lit("")))
-    scores = F.transform(claims(F.coalesce("answer", F.lit(""))), lambda c: F.round(overlap(claim_terms(c), context), 6))
+    # the context is lower-cased once for each answer, and a claim is cut into terms once
+    score = lambda claim, context: once(claim_terms(claim), lambda terms: F.round(overlap(terms, context), 6))
+    scores = once(F.lower(F.coalesce("context", F.lit(""))), lambda context: F.transform(claims(F.coalesce("answer", F.lit(""))), lambda c: score(c, context)))
     scored = answers.select("case_id", F.size(expected).alias("n_expected"), share(expected).alias("context_coverage"), scores.alias("scores"), share(cited).alias("citation_coverage"))
     supported = F.size(F.filter("scores", lambda s: s >= SUPPORTED_FROM))
     out = scored.select(

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from statloom.operators import context as C
 from statloom.operators import evaluation as E
 from statloom.operators import ingest, pipelines
+from statloom.operators.retrieval import documents_of
 from statloom.operators.vector import letter_vector
 from statloom.plans import evaluation, pipeline, unified
 from statloom.plans import problems as P
 from statloom.plans import retrieval as R
+from statloom.session import written
 from statloom.tables import load
 
 MOST_INDEXED_CHARACTERS = 1_000
@@ -112,14 +114,16 @@ def regression_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.run_by_target(asked, {name: runner(way) for name, way in ways.items()})
 
 
-def _grounded(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame:
+def _grounded(spark: SparkSession, sf_dir: str, ranked: DataFrame, cases: DataFrame | None = None) -> DataFrame:
     """The text of each asked document as an answer, to be grounded in what the search retrieved; it cites itself."""
     context = C.prompt_context(ranked, pipeline._cited_corpus(spark, sf_dir), R.asked(spark, sf_dir))
     retrieved = context.select(
         F.col("query_id").alias("case_id"), F.array_join(F.transform("documents", lambda d: d["text"]), "\n").alias("context"), F.transform("documents", lambda d: d["id"]).alias("retrieved")
     )
-    answers = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("a_doc"), F.col("text").alias("answer"))
-    asked = evaluation.cases(spark, sf_dir).select("case_id", F.transform("expected", lambda x: x.cast("string")).alias("expected"))
+    cases = evaluation.cases(spark, sf_dir) if cases is None else cases
+    texts = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text")
+    answers = documents_of(texts, cases.select(F.col("case_id").alias("ord"))).select(F.col("ord").alias("a_doc"), F.col("text").alias("answer"))
+    asked = cases.select("case_id", F.transform("expected", lambda x: x.cast("string")).alias("expected"))
     return C.case_grounding(
         asked.join(answers, F.col("case_id") == F.col("a_doc")).join(retrieved, "case_id", "left").withColumn("cited", F.array(F.col("case_id").cast("string")))
     )
@@ -136,17 +140,17 @@ def case_grounding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 COMPARED = ("hit_rate", "recall_at_1", "recall_at_3", "recall_at_5", "mrr", "context_coverage", "grounded_answer", "unsupported_claims", "citation_coverage")
 
 
-def _nine(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame:
+def _nine(spark: SparkSession, sf_dir: str, ranked: DataFrame, cases: DataFrame) -> DataFrame:
     """(metric, value) of the nine metrics that two runs are compared by."""
-    retrieval = E.metrics_report(E.case_metrics(evaluation.as_cases(ranked), evaluation.cases(spark, sf_dir)))
-    grounding = C.case_grounding_report(_grounded(spark, sf_dir, ranked))
+    retrieval = E.metrics_report(E.case_metrics(evaluation.as_cases(ranked), cases))
+    grounding = C.case_grounding_report(_grounded(spark, sf_dir, ranked, cases))
     return unified._long(retrieval, "x", COMPARED[:5]).unionByName(unified._long(grounding, "x", COMPARED[5:])).drop("report")
 
 
 def report_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nine metrics of the legacy search against those of the present one."""
-    found = R.matches(spark, sf_dir)
-    return E.compare_reports(_nine(spark, sf_dir, R.bm25_legacy(spark, sf_dir, found)), _nine(spark, sf_dir, R.bm25(spark, sf_dir, found=found)))
+    found, cases = R.matches(spark, sf_dir), written(evaluation.cases(spark, sf_dir))
+    return E.compare_reports(_nine(spark, sf_dir, R.bm25_legacy(spark, sf_dir, found), cases), _nine(spark, sf_dir, R.bm25(spark, sf_dir, found=found), cases))
 
 
 def comparison_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

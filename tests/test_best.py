@@ -4,9 +4,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from statloom.functions.text import CLAIM_MARKS
 from statloom.operators import best as B
-from statloom.operators import retrieval
-from statloom.plans import evaluation
+from statloom.operators import context, retrieval
+from statloom.plans import chains, evaluation
 
 
 @pytest.mark.parametrize(("score", "required"), [(B.Score(2.0, 1.0, 0.3, 6), 1), (B.Score(1.0, 1.0, 0.0, 6), 2), (B.Score(2.0, 1.0, 1.0, 6), 1)])
@@ -92,3 +93,13 @@ def test_shared_matches_of_other_tokens_change_nothing(spark):
     rows = lambda df: {tuple(r) for r in df.select("query", "ord", "score", "rank").collect()}
     assert rows(retrieval.keyword_best(retrieval.query_tokens(queries), shared, 5)) == rows(retrieval.keyword_search(corpus, queries, 5))
     assert rows(retrieval.bm25_search(corpus, queries, found=shared)) == rows(retrieval.bm25_search(corpus, queries))
+
+
+def test_report_comparison_reads_the_cases_once_and_grounds_in_the_texts_of_results(spark, reads):
+    folder, made = reads
+    rows = chains.report_comparison(spark, folder).collect()
+    assert len(made) == 1 and len(rows) == 9
+    answers = spark.createDataFrame([(1, "Alpha beta. gamma", "ALPHA beta", ["1"], ["1"], ["1"])], "case_id long, answer string, context string, expected array<string>, retrieved array<string>, cited array<string>")
+    grounding = context.case_grounding(answers)
+    assert grounding._jdf.queryExecution().analyzed().toString().count(CLAIM_MARKS) == 1  # a claim is cut into terms once
+    assert [r.grounded_answer for r in grounding.collect()] == [0.5]
