@@ -103,3 +103,10 @@ def test_report_comparison_reads_the_cases_once_and_grounds_in_the_texts_of_resu
     grounding = context.case_grounding(answers)
     assert grounding._jdf.queryExecution().analyzed().toString().count(CLAIM_MARKS) == 1  # a claim is cut into terms once
     assert [r.grounded_answer for r in grounding.collect()] == [0.5]
+
+
+def test_best_variant_seeks_no_terms_that_it_does_not_show(spark, reads, monkeypatch):
+    folder, made = reads
+    terms, search = [], retrieval.keyword_search
+    monkeypatch.setattr(retrieval, "keyword_search", lambda *a: terms.append(1) or search(*a))
+    assert evaluation.best_variant(spark, folder).count() == 1 and not terms and len(made) == 1
