@@ -98,8 +98,8 @@ def best_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def regression_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The legacy report against that of the present search."""
-    long = lambda ranked: E.long_report(_report(cases(spark, sf_dir), ranked, "v", 0).drop("place"), "variant")
-    found = R.matches(spark, sf_dir)
+    asked, found = written(cases(spark, sf_dir)), R.matches(spark, sf_dir)
+    long = lambda ranked: E.long_report(_report(asked, ranked, "v", 0).drop("place"), "variant")
     return E.compare_reports(long(R.bm25_legacy(spark, sf_dir, found)), long(R.bm25(spark, sf_dir, found=found)))
 
 

@@ -110,3 +110,8 @@ def test_best_variant_seeks_no_terms_that_it_does_not_show(spark, reads, monkeyp
     terms, search = [], retrieval.keyword_search
     monkeypatch.setattr(retrieval, "keyword_search", lambda *a: terms.append(1) or search(*a))
     assert evaluation.best_variant(spark, folder).count() == 1 and not terms and len(made) == 1
+
+
+def test_regression_status_reads_the_cases_once(spark, reads):
+    folder, made = reads
+    assert len(evaluation.regression_status(spark, folder).collect()) == 6 and len(made) == 1
