@@ -4,8 +4,9 @@ A token matches a text that contains it, also inside a word. The distinct tokens
 MOST_TOKENS are handed to the tasks, where one automaton finds all of them in a single pass over each text: texts are read
 once and not shuffled, only matches are. More tokens meet the distinct words of the corpus, which hold them as tokens hold
 no white space, in an equi-join on the token's first two characters, and only words that match are joined back to the
-documents: as a broadcast up to MOST_BROADCAST rows, by shuffle beyond. Both ways give the same rows. No pair of query and
-document is formed unless they share a token, and the pairs of one document meet in one task.
+documents: as a broadcast up to MOST_BROADCAST rows, by shuffle beyond. Both ways give the same rows. The best documents of
+each query are kept in the tasks (see ``best``) up to MOST_BROADCAST rows of query and token; beyond, a pair of query and
+document is formed where they share a token, and the pairs of one document meet in one task.
 
 Defined cases: null titles and texts match nothing; a query without tokens has no result; repeated query tokens count
 each time; equal queries are scored once; ties keep the order of ``ord``.
